@@ -92,9 +92,11 @@ def filter_blocks(prints: DataFrame, bits: int, block_bits: int, run_bits: int =
                 held, counts = fold()
                 waiting, size = [], 0
         held, counts = fold()
+        if not len(held):
+            return
         blocks = (held >> np.uint64(inner)).astype(np.int64) if inner < 64 else np.zeros(len(held), np.int64)
         low = held & np.uint64((1 << inner) - 1)
-        starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(held) else []
+        starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
         rows = []
         for s, e in zip(starts, [*starts[1:], len(held)], strict=True):
             rows.append(CountingQuotientFilter.of(low[s:e], counts[s:e], run_bits, r_bits).row(int(blocks[s])))
