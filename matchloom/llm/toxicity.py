@@ -190,14 +190,19 @@ def pick_landmarks(rows: DataFrame, landmarks: int) -> list[str]:
     chosen: list[str] = []
     if not words:
         return chosen
-    table = Kernel(words).values(words)
-    picked: list[int] = []
-    for i in range(len(words)):
-        if all(table[i, j] < 0.65 for j in picked):
-            picked.append(i)
-            if len(picked) == landmarks:
+    vectors: list[dict[int, float]] = [{} for _ in words]
+    for i, code, weight in zip(*(x.tolist() for x in features(words)), strict=True):
+        vectors[i][code] = vectors[i].get(code, 0.0) + weight
+    picked: list[dict[int, float]] = []
+    for word, vector in zip(words, vectors, strict=True):
+        norm = sum(v * v for v in vector.values()) ** 0.5 or 1.0
+        unit = {k: v / norm for k, v in vector.items()}
+        if all(sum(v * other.get(k, 0.0) for k, v in unit.items()) < 0.65 for other in picked):
+            picked.append(unit)
+            chosen.append(word)
+            if len(chosen) == landmarks:
                 break
-    return [words[i] for i in picked]
+    return chosen
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
