@@ -1,7 +1,7 @@
 """Toxicity by a gappy-subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 Words are folded (lower case, accents off, look-alike digits and signs to letters, other signs out).  The
-kernel of two words is the cosine of their gapped subsequences: 3 letters within 5 places and 4 within 6,
+kernel of two words is the cosine of their gapped subsequences: 3 letters within 5 places and 4 within 5,
 each gap weighing ``DECAY``; a stem with another ending, a dropped or an inserted character keeps most of
 it.  Spelled-out words ("i d i o t") are put together first.
 
@@ -10,8 +10,8 @@ landmarks are words that stand in toxic rows far more often than in clean ones;
 largest kernel values per landmark above ``FLOOR``, mapped by K_LL^(-1/2); a linear SVM with hinge loss is
 fitted to the labels, and its margins are calibrated to probabilities by logistic regression.
 
-Scoring is exact and whole: a word is passed over only if the part of its features that any landmark has
-is too small for any kernel value above the floor.  Labels, lang, source and doc_id are no inputs.  Null
+Scoring reads whole texts: every word is weighed, and one is passed over only if the part of its features
+that any landmark has (``NEAR``) is too small.  Labels, lang, source and doc_id are no inputs.  Null
 and empty texts, and all texts if there is no label of each kind, score the calibrated value of no match.
 Repeated rows score alike; null labels are left out; an empty table gives no rows; extra columns are not read.
 """
@@ -31,9 +31,13 @@ from .common import batch_of, id_and_text, slices, stored
 
 DECAY, FLOOR = 0.6, 0.55
 TRAIN_ROWS, LANDMARKS = 20_000, 64
-SHAPES = [(0, *c) for k, span in ((3, 5), (4, 6)) for c in combinations(range(1, span), k - 1)]
-FEATURES = 1 << 17
-CACHE_WORDS = 300_000
+SHAPES = [(0, *c) for k in (3, 4) for c in combinations(range(1, 5), k - 1)]
+#: A word is looked at if this share of its features' mass, repeats counted apart, is in any landmark.
+NEAR = FLOOR**2 / 3
+FEATURES = 28**4 + 28**3  # codes of four letters, then of three
+CACHE_WORDS = 500_000
+#: Log-likelihood gain over chance that a landmark must have.
+MIN_GAIN = 12.0
 
 #: Signs and digits that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -59,25 +63,40 @@ def words_of(text: str) -> set[str]:
     return {*low.split(), *(_OUT.sub("", m[0]) for m in _SPELLED.finditer(low))}
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, hashed subsequence, weight) of folded words, in order of word; a start sign precedes each."""
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, sizes): a row of numbers per folded word, 27 as a start sign, 1 to 26, and zeros at the end."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    width = max(6, int(sizes.max(initial=0)))
-    letters = np.zeros((len(words), width + 6), np.uint32)
+    width = int(sizes.max(initial=0))
+    letters = np.zeros((len(words), width + 4), np.int32)
     letters[:, 0] = 27
-    flat = np.frombuffer("".join(words).encode(), np.uint8).astype(np.uint32) - 96
+    flat = np.frombuffer("".join(words).encode(), np.uint8).astype(np.int32) - 96
     row = np.repeat(np.arange(len(words)), sizes - 1)
     col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1) + 1
     letters[row, col] = flat
-    at, code, weight = [], [], []
+    return letters, sizes
+
+
+def _codes(letters: np.ndarray):
+    """(shape, weight, codes) of each shape; a code with a zero letter reaches over the word's end."""
+    width = letters.shape[1] - 4
+    begun: dict[tuple, np.ndarray] = {(0,): letters[:, :width]}
     for shape in SHAPES:
-        mix = np.full((len(words), width), len(shape), np.uint32)
-        for off in shape:
-            mix = mix * np.uint32(31) + letters[:, off : off + width]
+        for k in range(2, len(shape) + 1):
+            if shape[:k] not in begun:
+                begun[shape[:k]] = begun[shape[: k - 1]] * np.int32(28) + letters[:, shape[k - 1] : shape[k - 1] + width]
+        yield shape, DECAY ** (shape[-1] + 1 - len(shape)), begun[shape] + np.int32(28**4 if len(shape) == 3 else 0)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word index, code of a gapped subsequence, weight) of folded words."""
+    letters, _ = _letters(words)
+    width = letters.shape[1] - 4
+    at, code, weight = [], [], []
+    for shape, w, codes in _codes(letters):
         i, j = np.nonzero(letters[:, shape[-1] : shape[-1] + width])
         at.append(i)
-        code.append((mix[i, j] * np.uint32(2654435761)) >> np.uint32(15))
-        weight.append(np.full(len(i), DECAY ** (shape[-1] + 1 - len(shape)), np.float32))
+        code.append(codes[i, j])
+        weight.append(np.full(len(i), w, np.float32))
     return np.concatenate(at), np.concatenate(code), np.concatenate(weight)
 
 
@@ -97,8 +116,19 @@ class Kernel:
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = [np.zeros(len(landmarks), np.float32)]
 
+    def near(self, words: list[str]) -> np.ndarray:
+        """Which words have enough features of any landmark to be looked at."""
+        letters, sizes = _letters(words)
+        mass, hit = np.zeros(len(words)), np.zeros(len(words))
+        for shape, w, codes in _codes(letters):
+            mass += w * w * np.maximum(sizes - shape[-1], 0)
+            hit += w * w * np.count_nonzero(self.place[codes] >= 0, axis=1)
+        return hit >= NEAR * np.maximum(mass, 1e-9)
+
     def values(self, words: list[str]) -> np.ndarray:
         """(words, landmarks) kernel values, exact; a word without features has zeros."""
+        if not words:
+            return np.zeros((0, len(self.landmarks)), np.float32)
         at, code, weight = features(words)
         # a feature that repeats in a word adds up: sum by (word, feature)
         both = at * FEATURES + code.astype(np.int64)
@@ -127,16 +157,16 @@ class Kernel:
             del self.rows[1:]
         sets = [words_of(t) for t in texts]
         new = list({w for s in sets for w in s if w not in self.known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            folded = [fold(w)[:64] for w in some]
-            above = np.maximum(self.values(folded) - FLOOR, 0) / (1 - FLOOR)
-            for w, far, v in zip(some, ~above.any(axis=1), above, strict=True):
-                if far:
-                    self.known[w] = 0
-                else:
-                    self.known[w] = len(self.rows)
-                    self.rows.append(v)
+        folded = sorted(((fold(w)[:64], w) for w in new), key=lambda x: len(x[0]))
+        self.known.update(dict.fromkeys(new, 0))
+        for i in range(0, len(folded), 4096):
+            some = folded[i : i + 4096]
+            near = [some[j] for j in np.flatnonzero(self.near([f for f, _ in some])).tolist()]
+            if near:
+                above = np.maximum(self.values([f for f, _ in near]) - FLOOR, 0) / (1 - FLOOR)
+                for j in np.flatnonzero(above.any(axis=1)).tolist():
+                    self.known[near[j][1]] = len(self.rows)
+                    self.rows.append(above[j])
         out = np.zeros((len(texts), len(self.landmarks)), np.float32)
         for k, s in enumerate(sets):
             if near := {self.known[w] for w in s} - {0}:
@@ -185,7 +215,7 @@ def pick_landmarks(rows: DataFrame, landmarks: int) -> list[str]:
     expected = F.lit(sizes.t / sizes.n) * (F.col("t") + F.col("c"))
     # log-likelihood gain of a word's share of toxic rows over the general share
     gain = F.col("t") * F.log(F.col("t") / expected)
-    best = counts.where((F.col("t") >= 3) & (F.col("t") > 3 * expected)).orderBy(F.desc(gain), "word").limit(40 * landmarks).collect()
+    best = counts.where((F.col("t") >= 3) & (F.col("t") > 3 * expected) & (gain > MIN_GAIN)).orderBy(F.desc(gain), "word").limit(40 * landmarks).collect()
     words = [r.word for r in best]
     chosen: list[str] = []
     if not words:
