@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, id_and_text, slices, stored
 
-WINDOW, GRAM, HOT = 50, 8, 5000
+WINDOW, GRAM, HOT = 50, 8, 500
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _INVERSE = tuple(np.uint64(pow(int(c), -1, 1 << 64)) for c in _ODD)
@@ -227,7 +227,8 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
     lines = with_text(home).mapInArrow(cut_out, "h long, doc_id long, c1 long, c2 long, words binary")
     matched = lines.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(stream, "h long, c1 long, c2 long, spans array<struct<a:int,b:int>>")
-    facts = classes.drop("n").join(matched, ["h", "c1", "c2"], "left")
+    # stored, so that both sides of the next join are dealt anew and hot classes can be split
+    facts = stored(classes.drop("n").join(matched, ["h", "c1", "c2"], "left"), "substring-facts")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     lost = rows.join(facts, ["h", "c1", "c2"]).select("doc_id", "tkey", "s0", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
     lost = lost.where("spans is not null").select("doc_id", "tkey", F.transform("spans", lambda x: F.struct((x["a"] + F.col("s0")).alias("a"), (x["b"] + F.col("s0")).alias("b"))).alias("spans"))
