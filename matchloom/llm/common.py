@@ -13,6 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
+_HOLDER: list = []
+
+
+def claim(owner: str, clear) -> None:
+    """One operator's cache at a time in a Python worker: another owner's is cleared first."""
+    if _HOLDER and _HOLDER[0] != owner:
+        _HOLDER[1]()
+    _HOLDER[:] = [owner, clear]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

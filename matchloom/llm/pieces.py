@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import claim, id_and_text, slices
 
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 200_000
 #: Segments longer than this, rare in text, are walked one at a time.
 BATCHED_LENGTH = 48
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -293,6 +293,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 def encoder(path: str) -> PieceEncoder:
     """The worker's own encoder of a model file."""
+    claim("pieces", _ENCODERS.clear)
     if path not in _ENCODERS:
         with open(path, "rb") as f:
             _ENCODERS[path] = PieceEncoder(f.read())

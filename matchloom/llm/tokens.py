@@ -14,12 +14,14 @@ from array import array
 
 import numpy as np
 
+from .common import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Id appended to each document.
 END_ID = 1
 #: Pre-tokens kept per worker; beyond it the cache starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 
 #: Texts of these characters alone are split by _MARKS; all others go word by word through the library's own splitter.
 _OTHER = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
@@ -108,6 +110,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     """The worker's own encoder of a tokenizer file."""
+    claim("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_and_text, slices, stored
+from .common import batch_of, claim, id_and_text, slices, stored
 
 DECAY, FLOOR = 0.6, 0.55
 TRAIN_ROWS, LANDMARKS = 20_000, 64
@@ -35,7 +35,7 @@ SHAPES = [(0, *c) for k in (3, 4) for c in combinations(range(1, 5), k - 1)]
 #: A word is looked at if this share of its features' mass, repeats counted apart, is in any landmark.
 NEAR = FLOOR**2 / 3
 FEATURES = 28**4 + 28**3  # codes of four letters, then of three
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Log-likelihood gain over chance that a landmark must have.
 MIN_GAIN = 12.0
 
@@ -113,6 +113,7 @@ class Kernel:
         self.place = np.full(FEATURES, -1, np.int32)  # of a feature among those that landmarks have
         self.place[used] = np.arange(len(used))
         self.dense = np.ascontiguousarray(dense[:, used].T)
+        claim("toxicity", lambda: None)  # freed with the task
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = [np.zeros(len(landmarks), np.float32)]
 
