@@ -1 +1 @@
-
+"""Column functions: text normalisation and similarity, all JVM-side."""

@@ -5,10 +5,458 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity as S
+from ..functions import text as X
+from ..operators import blocking as B
+from ..operators import embedding, features, metrics, sampling, tfidf
+from ..operators import validate as V
+from ..operators.blocking import PAIR
+from . import fixtures as fx
+from . import linkage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ shared DuckDB expressions
+_NW = r"[^\p{L}\p{N}_]+"
+_IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_ABBR = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.ADDRESS_ABBREVIATIONS.items()) + "}"
+_TOKENS = lambda c: f"list_sort(list_distinct(list_filter(string_split({c}, ' '), lambda t: length(t) >= 3 AND t NOT IN ({_IN(X.STOPWORDS)}))))"
+_REC = rf"""
+ent AS (SELECT doc_id, concat('S', CAST(1 + doc_id % 3 AS VARCHAR), '-', CAST(doc_id AS VARCHAR)) AS entity_id, 1 + doc_id % 3 AS src,
+        CASE lang WHEN 'en' THEN 'us' WHEN 'fr' THEN 'france' WHEN 'de' THEN 'india' ELSE lang END AS country,
+        replace(substring(text, 1, 60), chr(10), ' ') AS business_name,
+        concat(replace(substring(text, 61, 120), chr(10), ' '), ' ',
+               CAST(CASE WHEN lang = 'de' THEN 100000 + n_chars ELSE n_chars END AS VARCHAR)) AS business_address,
+        substring(text, 1, 20) AS head FROM documents),
+ent2 AS (SELECT *, lower(trim(country)) AS n,
+        array_to_string(list_filter(string_split(regexp_replace(replace(lower(business_name), '&', ' and '), '{_NW}', ' ', 'g'), ' '),
+            lambda t: t <> '' AND t NOT IN ({_IN(X.LEGAL_SUFFIXES)})), ' ') AS norm_name,
+        array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(business_address), '{_NW}', ' ', 'g'), ' '), lambda t: t <> ''),
+            lambda t: coalesce({_ABBR}[t], t)), ' ') AS norm_addr,
+        list_filter(string_split(regexp_replace(business_address, '{_NW}', ' ', 'g'), ' '), lambda t: regexp_full_match(t, '\p{{Nd}}+')) AS nums
+        FROM ent),
+rec AS (SELECT *, {_TOKENS('norm_name')} AS name_tokens, {_TOKENS('norm_addr')} AS addr_tokens, list_sort(list_distinct(nums)) AS num_tokens,
+        coalesce(list_filter(nums, lambda t: CASE n WHEN 'india' THEN regexp_full_match(t, '[1-9]\p{{Nd}}{{5}}')
+            WHEN 'us' THEN regexp_full_match(t, '\p{{Nd}}{{5}}') WHEN 'france' THEN regexp_full_match(t, '\p{{Nd}}{{5}}')
+            ELSE regexp_full_match(t, '\p{{Nd}}{{4,6}}') END)[1], '') AS postal_code,
+        trim(norm_name || ' ' || norm_addr) AS embed_text FROM ent2),
+s1 AS (SELECT * FROM rec WHERE src = 1), oth AS (SELECT * FROM rec WHERE src > 1),
+freq AS (SELECT n, token, count(*) AS df FROM (SELECT n, unnest(name_tokens) AS token FROM oth) GROUP BY ALL),
+tot AS (SELECT n, count(*) AS total FROM oth GROUP BY n),
+rare AS (SELECT n, token, df, total FROM freq JOIN tot USING (n) WHERE df <= greatest(CAST(floor(0.02 * total) AS BIGINT), 3)),
+rare_p AS (SELECT n, token, df, total FROM freq JOIN tot USING (n) WHERE df <= least(50, greatest(5, CAST(floor(total * 0.0005) AS BIGINT)))),
+exact AS (SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM s1 a JOIN oth b ON a.n = b.n AND a.norm_name = b.norm_name
+          WHERE length(a.norm_name) >= 3),
+srt AS (SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM s1 a JOIN oth b ON a.n = b.n AND a.name_tokens = b.name_tokens
+        WHERE length(a.norm_name) >= 3 AND length(b.norm_name) >= 3 AND len(a.name_tokens) > 0),
+rows_of AS (SELECT n, entity_id, unnest(name_tokens) AS token FROM s1), rows_oth AS (SELECT n, entity_id, unnest(name_tokens) AS token FROM oth),
+tok AS (SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM rows_of a JOIN rows_oth b USING (n, token) JOIN rare USING (n, token)),
+gold AS (SELECT a.entity_id AS source1_entity_id, b.entity_id FROM s1 a JOIN oth b ON a.country = b.country AND a.head = b.head)
+"""
+_JAC = lambda a, b: (
+    f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 "
+    f"ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
+)
+_LEV = lambda a, b: f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein({a}, {b}) AS DOUBLE) / greatest(length({a}), length({b})) END"
+_SCORED = f""",
+scored AS (SELECT source1_entity_id, candidate_entity_id, round({_JAC('a.name_tokens', 'b.name_tokens')}, 6) AS prob
+           FROM (SELECT * FROM exact UNION SELECT * FROM tok) p JOIN s1 a ON a.entity_id = p.source1_entity_id JOIN oth b ON b.entity_id = p.candidate_entity_id)
+"""
+_GRID = f""",
+grid AS (SELECT unnest([{', '.join(map(str, metrics.GRID))}]::DOUBLE[]) AS thr),
+tru AS (SELECT source1_entity_id, count(*) AS n_true FROM (SELECT DISTINCT * FROM gold) GROUP BY 1),
+hits AS (SELECT s.source1_entity_id, s.prob, (g.entity_id IS NOT NULL)::INT AS hit FROM scored s
+         LEFT JOIN (SELECT DISTINCT * FROM gold) g ON g.source1_entity_id = s.source1_entity_id AND g.entity_id = s.candidate_entity_id),
+cell AS (SELECT g.thr, e.entity_id AS source1_entity_id, coalesce(any_value(t.n_true), 0) AS n_true,
+                coalesce(sum((h.prob >= g.thr)::INT), 0) AS n_pred, coalesce(sum((h.prob >= g.thr)::INT * h.hit), 0) AS tp
+         FROM grid g CROSS JOIN s1 e LEFT JOIN tru t ON t.source1_entity_id = e.entity_id LEFT JOIN hits h ON h.source1_entity_id = e.entity_id GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN tp = 0 THEN 0.0
+      ELSE 1.25 * (tp / n_pred::DOUBLE) * (tp / n_true::DOUBLE) / (0.25 * tp / n_pred::DOUBLE + tp / n_true::DOUBLE) END AS f05 FROM cell),
+per AS (SELECT thr, avg(f05) AS raw_f05, coalesce(avg(f05) FILTER (n_true > 0), 0) AS matched_f05, coalesce(avg(f05) FILTER (n_true = 0), 1) AS singleton_f05 FROM f GROUP BY thr),
+adj AS (SELECT *, 0.94415 * matched_f05 + 0.05585 * singleton_f05 AS adjusted_f05 FROM per)
+"""
+_PAIRS = "source1_entity_id, candidate_entity_id"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+    """For each entity of source 1 its best candidates by name: exact and rare-token pairs, top 20."""
+    return best_candidates(spark, sf_dir)
+
+
+@_query(f"""WITH {_REC}{_SCORED} SELECT {_PAIRS}, prob, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY prob DESC, candidate_entity_id) AS rank FROM scored) WHERE rank <= 20""")
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(PAIR[0]).orderBy(F.desc("prob"), PAIR[1])).cast("long")
+    return fx.scored(spark, sf_dir).withColumn("rank", rank).where("rank <= 20")
+
+
+@_query(f"""WITH {_REC} SELECT entity_id, n AS country_norm, norm_name, norm_addr, array_to_string(name_tokens, ' ') AS name_tokens,
+    array_to_string(addr_tokens, ' ') AS addr_tokens, array_to_string(num_tokens, ' ') AS num_tokens, embed_text FROM rec""")
+def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import tsv
+
+    rows = tsv.records(fx.entities(spark, sf_dir))
+    return rows.select("entity_id", "country_norm", "norm_name", "norm_addr", *(X.sorted_key(c).alias(c) for c in ("name_tokens", "addr_tokens", "num_tokens")), "embed_text")
+
+
+@_query(f"""WITH {_REC} SELECT entity_id, postal_code FROM rec""")
+def postal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import tsv
+
+    return tsv.records(fx.entities(spark, sf_dir)).select("entity_id", "postal_code")
+
+
+@_query("""SELECT * FROM (VALUES (1, ''), (2, '560001'), (3, '12345'), (4, '75008'), (5, ''), (6, '1234'), (7, ''), (8, '98765')) t(case_id, code)""")
+def postal_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.postal_cases(spark).select("case_id", "code")
+
+
+@_query(f"WITH {_REC} SELECT n, token, df FROM freq")
+def token_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.token_frequencies(fx.sides(spark, sf_dir)[1]).select("n", "token", "df")
+
+
+@_query(f"WITH {_REC} SELECT n, token, df FROM rare")
+def rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rare_tokens_train(fx.sides(spark, sf_dir)[1]).select("n", "token", "df")
+
+
+@_query(f"WITH {_REC} SELECT n, token, df FROM rare_p")
+def rarer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rare_tokens_predict(fx.sides(spark, sf_dir)[1]).select("n", "token", "df")
+
+
+@_query(f"WITH {_REC} SELECT * FROM exact")
+def exact_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.exact_name_pairs(*fx.sides(spark, sf_dir))
+
+
+@_query(f"WITH {_REC} SELECT * FROM srt")
+def sorted_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.sorted_token_pairs(*fx.sides(spark, sf_dir))
+
+
+@_query(f"WITH {_REC} SELECT * FROM tok")
+def rare_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rare_token_pairs(*fx.sides(spark, sf_dir))
+
+
+@_query(f"""WITH {_REC},
+    k1 AS (SELECT DISTINCT n, entity_id, norm_name, unnest(list_concat([substring(norm_name, 1, 3)], name_tokens)) AS k FROM s1 WHERE regexp_full_match(norm_name, '[a-z0-9_ ]*') AND length(norm_name) >= 3),
+    k2 AS (SELECT DISTINCT n, entity_id, norm_name, unnest(list_concat([substring(norm_name, 1, 3)], name_tokens)) AS k FROM oth WHERE regexp_full_match(norm_name, '[a-z0-9_ ]*') AND length(norm_name) >= 3),
+    c AS (SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id, a.norm_name AS x, b.norm_name AS y FROM k1 a JOIN k2 b USING (n, k)
+          WHERE abs(length(a.norm_name) - length(b.norm_name)) <= greatest(1, CAST(floor(0.12 * length(a.norm_name)) AS INT)))
+    SELECT {_PAIRS} FROM c WHERE levenshtein(x, y) * 10 < greatest(length(x), length(y))""")
+def fuzzy_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.fuzzy_name_pairs(*map(fx.ascii_only, fx.sides(spark, sf_dir)))
+
+
+def _ascii_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s1, others = fx.sides(spark, sf_dir)
+    return B.exact_name_pairs(s1, others).union(B.rare_token_pairs(s1, others)).distinct(), s1, others
+
+
+@_query(f"""WITH {_REC} SELECT {_PAIRS}, round({_JAC('a.name_tokens', 'b.name_tokens')}, 6) AS name_jaccard,
+    round({_JAC('a.addr_tokens', 'b.addr_tokens')}, 6) AS addr_jaccard,
+    CASE WHEN regexp_full_match(a.norm_name || b.norm_name, '[a-z0-9_ ]*') THEN round({_LEV('a.norm_name', 'b.norm_name')}, 6) END AS name_lev,
+    CASE WHEN regexp_full_match(a.norm_addr || b.norm_addr, '[a-z0-9_ ]*') THEN round({_LEV('a.norm_addr', 'b.norm_addr')}, 6) END AS addr_lev,
+    CAST(a.n = b.n AS INT) AS country_match, CAST(abs(length(a.norm_name) - length(b.norm_name)) AS INT) AS name_len_diff,
+    CAST(len(list_intersect(a.name_tokens, b.name_tokens)) AS INT) AS common_name_tokens,
+    CASE WHEN a.postal_code = '' OR b.postal_code = '' THEN 0.0 WHEN a.postal_code = b.postal_code THEN 1.0 ELSE -1.0 END::DOUBLE AS postal_match,
+    round({_JAC('a.num_tokens', 'b.num_tokens')}, 6) AS num_token_jaccard, CAST(len(list_intersect(a.num_tokens, b.num_tokens)) AS DOUBLE) AS num_token_overlap
+    FROM (SELECT * FROM exact UNION SELECT * FROM tok) p JOIN s1 a ON a.entity_id = p.source1_entity_id JOIN oth b ON b.entity_id = p.candidate_entity_id""")
+def pair_lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, s1, others = _ascii_pairs(spark, sf_dir)
+    out = features.lexical(pairs, s1, others)
+    for col, name in (("norm_name", "name_lev"), ("norm_addr", "addr_lev")):
+        a = s1.select(F.col("entity_id").alias(PAIR[0]), F.col(col).alias("x"))
+        b = others.select(F.col("entity_id").alias(PAIR[1]), F.col(col).alias("y"))
+        plain = F.concat("x", "y").rlike("^[a-z0-9_ ]*$")
+        out = out.join(a, PAIR[0]).join(b, PAIR[1]).withColumn(name, F.when(plain, F.round(name, 6))).drop("x", "y")
+    return out.select(*PAIR, *(F.round(c, 6).alias(c) if c in ("name_jaccard", "addr_jaccard", "num_token_jaccard") else F.col(c) for c in out.columns if c not in PAIR))
+
+
+_GRAMS = """list_concat(list_transform(range(1, length(w)), lambda i: substring(w, i, 2)),
+    list_concat(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4))))"""
+
+
+@_query(f"""WITH {_REC},
+    p AS (SELECT * FROM exact UNION SELECT * FROM tok),
+    w AS (SELECT entity_id, ' ' || unnest(list_filter(string_split(norm_name, ' '), lambda t: t <> '')) || ' ' AS w FROM rec),
+    g AS (SELECT entity_id, unnest({_GRAMS}) AS gram FROM w),
+    tf AS (SELECT entity_id, gram, count(*) AS tf FROM g GROUP BY ALL),
+    df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
+    raw AS (SELECT entity_id, gram, tf * (ln((1.0 + (SELECT count(*) FROM rec)) / (1.0 + df)) + 1.0) AS x FROM tf JOIN df USING (gram)),
+    wt AS (SELECT entity_id, gram, x / sqrt(sum(x * x) OVER (PARTITION BY entity_id)) AS x FROM raw),
+    s AS (SELECT source1_entity_id, candidate_entity_id, sum(a.x * b.x) AS c FROM p JOIN wt a ON a.entity_id = source1_entity_id JOIN wt b ON b.entity_id = candidate_entity_id AND a.gram = b.gram GROUP BY ALL)
+    SELECT {_PAIRS}, round(coalesce(c, 0), 6) AS name_tfidf_cos FROM p LEFT JOIN s USING ({_PAIRS})""")
+def tfidf_name_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, s1, others = _ascii_pairs(spark, sf_dir)
+    idf = tfidf.fit(s1.select("norm_name").unionByName(others.select("norm_name")), "norm_name")
+    left, right = (tfidf.weigh(rows, idf, "entity_id", "norm_name") for rows in (s1, others))
+    return tfidf.pair_cosine(pairs, left, right, *PAIR, "c").select(*PAIR, F.round("c", 6).alias("name_tfidf_cos"))
+
+
+_DOT = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
+
+
+@_query(f"""WITH x AS (SELECT a.vec_id::VARCHAR AS source1_entity_id, b.vec_id::VARCHAR AS candidate_entity_id, {_DOT} AS sim
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY sim DESC, candidate_entity_id) AS k FROM x WHERE sim >= 0.3)
+    SELECT {_PAIRS}, round(sim, 4) AS sim FROM r WHERE k <= 20""")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = B.knn_pairs(*fx.vectors(spark, sf_dir), k=20, min_sim=0.3)
+    return near.select(*PAIR, F.round("sim", 4).alias("sim"))
+
+
+@_query(f"""WITH {_REC}{_SCORED},
+    nm AS (SELECT * FROM exact UNION SELECT * FROM srt),
+    allp AS (SELECT {_PAIRS}, bool_or(nm) AS nm FROM (SELECT *, false AS nm FROM tok UNION ALL SELECT *, true AS nm FROM nm) GROUP BY ALL),
+    sc AS (SELECT {_PAIRS}, CASE WHEN nm THEN greatest(j, 0.88) ELSE j END AS embed_cos FROM (
+        SELECT p.*, round({_JAC('a.name_tokens', 'b.name_tokens')}, 6) AS j FROM allp p JOIN s1 a ON a.entity_id = p.source1_entity_id JOIN oth b ON b.entity_id = p.candidate_entity_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY embed_cos DESC, candidate_entity_id) AS k FROM sc WHERE embed_cos >= 0.3)
+    SELECT {_PAIRS}, embed_cos FROM r WHERE k <= 20""")
+def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge of token and name streams, with the name Jaccard in the place of the cosine."""
+    s1, others = fx.sides(spark, sf_dir)
+    tokens = B.rare_token_pairs(s1, others)
+    names = B.exact_name_pairs(s1, others).union(B.sorted_token_pairs(s1, others)).distinct()
+    a = s1.select(F.col("entity_id").alias(PAIR[0]), F.col("name_tokens").alias("ta"))
+    b = others.select(F.col("entity_id").alias(PAIR[1]), F.col("name_tokens").alias("tb"))
+    sim = tokens.union(names).distinct().join(a, PAIR[0]).join(b, PAIR[1]).select(*PAIR, F.round(S.jaccard("ta", "tb"), 6).alias("sim"))
+    return B.merge_streams(None, tokens, names, sim)
+
+
+_CAPPED = f""",
+ex AS (SELECT * FROM exact UNION SELECT * FROM srt),
+tr AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id, dense_rank() OVER (PARTITION BY a.entity_id ORDER BY df, token) AS rank
+       FROM rows_of a JOIN rows_oth b USING (n, token) JOIN rare_p USING (n, token)),
+fst AS (SELECT {_PAIRS}, min(rank) AS rank FROM (SELECT *, 0 AS rank FROM ex UNION ALL SELECT * FROM tr) GROUP BY ALL),
+sz AS (SELECT source1_entity_id, rank, count(*) AS k FROM fst GROUP BY ALL),
+bf AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY source1_entity_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sz),
+cap AS (SELECT {_PAIRS}, fst.rank = 0 AS exact FROM fst JOIN bf USING (source1_entity_id, rank) WHERE before <= 20)
+"""
+
+
+@_query(f"WITH {_REC}{_CAPPED} SELECT {_PAIRS}, exact FROM cap")
+def capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.capped_candidates(*fx.sides(spark, sf_dir), cap=20)
+
+
+@_query(f"""WITH {_REC}{_CAPPED},
+    sc AS (SELECT {_PAIRS}, exact, CASE WHEN exact THEN 1.0 ELSE {_LEV('a.norm_name', 'b.norm_name')} END AS name_sim
+           FROM cap JOIN s1 a ON a.entity_id = source1_entity_id JOIN oth b ON b.entity_id = candidate_entity_id
+           WHERE regexp_full_match(a.norm_name || b.norm_name, '[a-z0-9_ ]*')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY name_sim DESC, candidate_entity_id) AS k FROM sc WHERE exact OR name_sim >= 0.25)
+    SELECT {_PAIRS}, round(name_sim, 6) AS name_sim FROM r WHERE k <= 15""")
+def name_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s1, others = fx.sides(spark, sf_dir)
+    capped = B.capped_candidates(s1, others, cap=20)
+    plain = [fx.ascii_only(x) for x in (s1, others)]
+    return B.name_top(capped, *plain).select(*PAIR, F.round("name_sim", 6).alias("name_sim"))
+
+
+@_query(f"""WITH {_REC}, p AS (SELECT * FROM exact UNION SELECT * FROM tok),
+    e AS (SELECT DISTINCT g.source1_entity_id, g.entity_id, s1.n FROM gold g JOIN s1 ON s1.entity_id = g.source1_entity_id),
+    h AS (SELECT e.n, (p.source1_entity_id IS NULL)::INT AS missed FROM e LEFT JOIN p ON p.source1_entity_id = e.source1_entity_id AND p.candidate_entity_id = e.entity_id)
+    SELECT coalesce(n, '') AS country, grouping(n) = 1 AS overall, count(*) AS n_true, sum(missed)::BIGINT AS n_missed, 1 - sum(missed) / count(*)::DOUBLE AS recall
+    FROM h GROUP BY GROUPING SETS ((n), ())""")
+def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, s1, _ = _ascii_pairs(spark, sf_dir)
+    return metrics.recall_ceiling(pairs, fx.gold(spark, sf_dir), s1.select(F.col("entity_id").alias(PAIR[0]), F.col("country_norm").alias("country")))
+
+
+@_query(f"""WITH {_REC}, p AS (SELECT * FROM exact UNION SELECT * FROM tok)
+    SELECT count(*) AS n_pairs, round(count(*)::DOUBLE / count(DISTINCT source1_entity_id), 6) AS mean_per_covered,
+           round(count(*)::DOUBLE / (SELECT count(*) FROM s1), 6) AS mean_per_entity FROM p""")
+def candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, s1, _ = _ascii_pairs(spark, sf_dir)
+    return metrics.candidate_stats(pairs, s1).select("n_pairs", *(F.round(c, 6).alias(c) for c in ("mean_per_covered", "mean_per_entity")))
+
+
+@_query(f"""WITH {_REC}{_SCORED} SELECT s.source1_entity_id, s.candidate_entity_id, (g.entity_id IS NOT NULL)::INT AS label FROM scored s
+    LEFT JOIN (SELECT DISTINCT * FROM gold) g ON g.source1_entity_id = s.source1_entity_id AND g.entity_id = s.candidate_entity_id""")
+def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.label(fx.scored(spark, sf_dir).select(*PAIR), fx.gold(spark, sf_dir))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.entities(spark, sf_dir).where("src = 1").select(F.col("entity_id").alias(PAIR[0]))
+
+
+@_query(f"WITH {_REC}{_SCORED}{_GRID} SELECT thr, round(raw_f05, 6) AS raw_f05, round(matched_f05, 6) AS matched_f05, round(singleton_f05, 6) AS singleton_f05, round(adjusted_f05, 6) AS adjusted_f05 FROM adj")
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = metrics.threshold_grid(fx.scored(spark, sf_dir), fx.gold(spark, sf_dir), _entities(spark, sf_dir))
+    return grid.select("thr", *(F.round(c, 6).alias(c) for c in ("raw_f05", "matched_f05", "singleton_f05", "adjusted_f05")))
+
+
+@_query(f"WITH {_REC}{_SCORED}{_GRID} SELECT thr, round(raw_f05, 6) AS raw_f05 FROM adj ORDER BY round(adjusted_f05, 12) DESC, thr LIMIT 1")
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = metrics.threshold_grid(fx.scored(spark, sf_dir), fx.gold(spark, sf_dir), _entities(spark, sf_dir))
+    return metrics.best_threshold(grid.withColumn("adjusted_f05", F.round("adjusted_f05", 12))).select("thr", F.round("raw_f05", 6).alias("raw_f05"))
+
+
+@_query(f"WITH {_REC}{_SCORED}{_GRID} SELECT round(raw_f05, 6) AS macro_f05 FROM adj WHERE thr = 0.5")
+def macro_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = fx.scored(spark, sf_dir).where("prob >= 0.5")
+    return metrics.macro_f05(predicted, fx.gold(spark, sf_dir), _entities(spark, sf_dir)).select(F.round("macro_f05", 6).alias("macro_f05"))
+
+
+@_query(f"""WITH {_REC}{_SCORED} SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(candidate_entity_id, ',' ORDER BY prob DESC, candidate_entity_id), '') AS candidate_entity_ids
+    FROM s1 e LEFT JOIN scored s ON s.source1_entity_id = e.entity_id GROUP BY 1""")
+def output_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s1, _ = fx.sides(spark, sf_dir)
+    return linkage.output_lists(fx.scored(spark, sf_dir), s1, "candidate_entity_ids", order="prob")
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = fx.gold(spark, sf_dir).groupBy("source1_entity_id").agg(F.array_join(F.array_sort(F.collect_set("entity_id")), ",").alias("matched_entity_ids"))
+    return _entities(spark, sf_dir).join(lists, PAIR[0], "left").fillna("", ["matched_entity_ids"])
+
+
+@_query("SELECT * FROM (VALUES ('matched', 19::BIGINT), ('singleton', 1::BIGINT)) t(stratum, n)")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of a stratified sample of 20 rows."""
+    sample = sampling.stratified_truth(_truth(spark, sf_dir), 20)
+    return sample.groupBy(F.when(F.col("matched_entity_ids") != "", "matched").otherwise("singleton").alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_REC} SELECT country, least(count(*), 25) AS n FROM s1 GROUP BY country")
+def country_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of a sample per country of 100 rows over four countries."""
+    rows = fx.entities(spark, sf_dir).where("src = 1").select("entity_id", "country")
+    return sampling.per_country(rows, 100).groupBy("country").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_REC}, t AS (SELECT DISTINCT entity_id FROM gold WHERE entity_id LIKE 'S2-%')
+    SELECT count(*) FILTER (entity_id IN (SELECT entity_id FROM t)) AS n_wanted, least(count(*) FILTER (entity_id NOT IN (SELECT entity_id FROM t)), 50) AS n_other FROM oth WHERE src = 2""")
+def distractor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of a sample of source 2: all that match, and 50 others."""
+    wanted = fx.gold(spark, sf_dir).where("entity_id like 'S2-%'").select("entity_id").distinct()
+    sample = sampling.with_distractors(fx.entities(spark, sf_dir).where("src = 2").select("entity_id"), wanted, 50)
+    hit = sample.join(wanted.withColumn("hit", F.lit(1)), "entity_id", "left")
+    return hit.agg(F.count_if(F.col("hit").isNotNull()).alias("n_wanted"), F.count_if(F.col("hit").isNull()).alias("n_other"))
+
+
+@_query("SELECT least(count(*) FILTER (doc_id % 3 = 1), 100) AS n FROM documents")
+def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.hashed_top(fx.entities(spark, sf_dir).where("src = 2").select("entity_id"), 100).agg(F.count("*").alias("n"))
+
+
+@_query()
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the split of scored pairs by entity, and entities on both sides (none)."""
+    train, held = sampling.group_split(fx.scored(spark, sf_dir))
+    both = train.select(PAIR[0]).intersect(held.select(PAIR[0]))
+    return train.agg(F.count("*").alias("n_train")).crossJoin(held.agg(F.count("*").alias("n_held"))).crossJoin(both.agg(F.count("*").alias("n_both")))
+
+
+@_query(f"WITH {_REC} SELECT a.embed_text AS text_a, b.embed_text AS text_b FROM gold g JOIN s1 a ON a.entity_id = g.source1_entity_id JOIN oth b ON b.entity_id = g.entity_id WHERE a.embed_text <> '' AND b.embed_text <> ''")
+def positive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.positive_pairs(*fx.sides(spark, sf_dir), fx.gold(spark, sf_dir))
+
+
+@_query()
+def train_like_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training profile end to end with the default embedder."""
+    return B.train_like(*map(embedding.embed, fx.sides(spark, sf_dir))).select(*PAIR, F.round("embed_cos", 4).alias("embed_cos"))
+
+
+@_query()
+def predict_like_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction profile end to end with the default embedder."""
+    return B.predict_like(*map(embedding.embed, fx.sides(spark, sf_dir))).select(*PAIR, F.round("embed_cos", 4).alias("embed_cos"))
+
+
+@_query()
+def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, labels, a group split, a fit and the scores of the held-out pairs."""
+    s1, others = map(embedding.embed, fx.sides(spark, sf_dir))
+    pairs = B.predict_like(s1, others)
+    rows = features.label(features.build(pairs, s1, others, *features.fit_idf(s1, others)), fx.gold(spark, sf_dir)).cache()
+    fit_rows, held = sampling.group_split(rows)
+    return linkage.score(linkage.fit_classifier(fit_rows, iterations=10), held).select(*PAIR, "label", "prob")
+
+
+# ------------------------------------------------------------------ validation rules over literal files
+_VALUES = lambda lines: ", ".join(f"({i + 2}, '{x}')" for i, x in enumerate(lines)).replace("\t", "' || chr(9) || '")
+_LIST = lambda lines: f"""l AS (SELECT * FROM (VALUES {_VALUES(lines)}) t(line_no, value)),
+    r AS (SELECT line_no, contains(value, chr(9)) AS tab, split_part(value, chr(9), 1) AS s1,
+          CASE WHEN contains(value, chr(9)) AND trim(split_part(value, chr(9), 2)) <> '' THEN string_split(split_part(value, chr(9), 2), ',') ELSE [] END AS ids FROM l),
+    i AS (SELECT DISTINCT s1, unnest(ids) AS id FROM r WHERE tab)"""
+_L = _LIST(fx.LIST_LINES)
+_REQ = ", ".join(f"('{x}')" for x in fx.REQUIRED)
+
+
+def _rows(spark: SparkSession) -> DataFrame:
+    return V.parse_lines(fx.list_lines(spark))
+
+
+def _required(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in fx.REQUIRED], "s1 string")
+
+
+@_query(f"WITH {_L} SELECT count(*) FILTER (tab) AS n_rows, count(*) FILTER (tab AND len(ids) = 0) AS n_empty, count(*) FILTER (tab AND len(ids) > 0) AS n_nonempty FROM r")
+def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.counts(_rows(spark))
+
+
+@_query(f"WITH {_L} SELECT line_no FROM r WHERE NOT tab AND trim(s1) <> ''")
+def validate_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.malformed_rows(_rows(spark)).select(F.trim(F.substring_index("line", ":", 1)).cast("int").alias("line_no"))
+
+
+@_query(f"WITH {_L} SELECT s1 FROM r WHERE tab GROUP BY s1 HAVING count(*) > 1")
+def validate_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.duplicate_rows(_rows(spark))
+
+
+@_query(f"WITH {_L} SELECT DISTINCT s1 FROM r WHERE tab AND len(ids) <> len(list_distinct(ids))")
+def validate_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.repeated_ids(_rows(spark))
+
+
+@_query(f"WITH {_L} SELECT DISTINCT id FROM i WHERE id LIKE 'S1-%'")
+def validate_self_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.self_matches(_rows(spark))
+
+
+@_query(f"WITH {_L} SELECT DISTINCT id FROM i WHERE NOT regexp_matches(id, '^S[123]-')")
+def validate_wrong_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.wrong_prefixes(_rows(spark))
+
+
+@_query(f"WITH {_L} SELECT DISTINCT id FROM i WHERE regexp_matches(id, '^S[23]-') AND id NOT IN ({_IN(fx.TARGETS)})")
+def validate_unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.unknown_ids(_rows(spark), spark.createDataFrame([(x,) for x in fx.TARGETS], "id string"))
+
+
+@_query(f"WITH {_L} SELECT s1 FROM (VALUES {_REQ}) q(s1) WHERE s1 NOT IN (SELECT s1 FROM r WHERE tab)")
+def validate_missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.missing_rows(_rows(spark), _required(spark))
+
+
+@_query(f"WITH {_L} SELECT DISTINCT s1 FROM r WHERE tab AND s1 NOT IN (SELECT s1 FROM (VALUES {_REQ}) q(s1))")
+def validate_unexpected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.unexpected_rows(_rows(spark), _required(spark))
+
+
+@_query("SELECT * FROM (VALUES ('S1-1'), ('S1-99')) t(s1)")
+def validate_outside_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.outside_candidates(_rows(spark), V.parse_lines(fx.list_lines(spark, fx.CANDIDATE_LINES)))

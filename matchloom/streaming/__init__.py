@@ -1 +1 @@
-
+"""Prediction over arriving files."""
