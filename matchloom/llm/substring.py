@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, id_and_text, slices, stored
 
-WINDOW, GRAM, HOT = 50, 8, 500
+WINDOW, GRAM, HOT = 50, 8, 5000
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _INVERSE = tuple(np.uint64(pow(int(c), -1, 1 << 64)) for c in _ODD)
@@ -187,16 +187,16 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
     classes = stored(classes_of(rows), "substring-classes")
     shards = stored(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "substring-shards")
-    many = shards.where(F.col("k") > hot).select("h")
 
     def with_text(parts: DataFrame) -> DataFrame:
         lists = parts.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("h", "c1", "c2", "s0", "n")).alias("parts"))
         return docs.join(lists, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "parts")
 
-    # one occurrence of each class, in the smallest document that has it
-    home = rows.join(classes.select("h", "c1", "c2", F.col("first").alias("doc_id")), ["h", "c1", "c2", "doc_id"])
-    home = home.join(shards.where(F.col("k") <= hot).select("h"), "h").groupBy("h", "c1", "c2", "doc_id", "n").agg(F.min(F.struct("tkey", "s0")).alias("at"))
-    home = home.select("h", "c1", "c2", "doc_id", "at.tkey", "at.s0", "n")
+    # one occurrence of each class of a shard, in the smallest document that has it
+    home = rows.join(classes.select("h", "c1", "c2", F.col("first").alias("doc_id")), ["h", "c1", "c2", "doc_id"]).join(shards, "h")
+    home = home.groupBy("h", "c1", "c2", "doc_id", "n", "k").agg(F.min(F.struct("tkey", "s0")).alias("at"))
+    home = stored(home.select("h", "c1", "c2", "doc_id", "at.tkey", "at.s0", "n", "k"), "substring-homes")
+    cold, heated = home.where(F.col("k") <= hot).drop("k"), home.where(F.col("k") > hot).drop("k")
     cut = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("words", pa.binary())])
 
     def cut_out(batches):
@@ -225,17 +225,17 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                 yield batch_of(spans, *zip(*out, strict=True))
                 out = []
 
-    lines = with_text(home).mapInArrow(cut_out, "h long, doc_id long, c1 long, c2 long, words binary")
+    lines = with_text(cold).mapInArrow(cut_out, "h long, doc_id long, c1 long, c2 long, words binary")
     matched = lines.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(stream, "h long, c1 long, c2 long, spans array<struct<a:int,b:int>>")
     # stored, so that both sides of the next join are dealt anew and hot classes can be split
     facts = stored(classes.drop("n").join(matched, ["h", "c1", "c2"], "left"), "substring-facts")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     lost = rows.join(facts, ["h", "c1", "c2"]).select("doc_id", "tkey", "s0", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
     lost = lost.where("spans is not null").select("doc_id", "tkey", F.transform("spans", lambda x: F.struct((x["a"] + F.col("s0")).alias("a"), (x["b"] + F.col("s0")).alias("b"))).alias("spans"))
-    if many.limit(1).count():
-        single = with_text(rows.join(many, "h")).mapInArrow(lambda batches: _single_windows(batches, window), ANCHORS)
+    if heated.limit(1).count():
+        single = with_text(heated).mapInArrow(lambda batches: _single_windows(batches, window), ANCHORS)
         single = stored(single, "substring-windows")
-        first = classes_of(single).select("h", "c1", "c2", "first")
+        first = stored(classes_of(single).select("h", "c1", "c2", "first"), "substring-firsts")
         again = single.join(first, ["h", "c1", "c2"]).where("doc_id > first")
         lost = lost.unionByName(again.select("doc_id", "tkey", F.array(F.struct(F.col("s0").alias("a"), (F.col("s0") + F.col("n")).alias("b"))).alias("spans")))
     return lost.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_set("spans")).alias("spans"))
