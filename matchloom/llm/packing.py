@@ -25,7 +25,7 @@ from .common import batch_of, id_and_text, slices, stored
 SEQUENCE = 2048
 DIMS, BITS, BUCKETS, SEED = 3, 12, 1 << 16, 7
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def projection(dims: int = DIMS, buckets: int = BUCKETS, seed: int = SEED) -> np.ndarray:
@@ -76,9 +76,10 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray, bits: int = BITS) -> np
     return hilbert_index(np.minimum((unit * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", dims: int = DIMS, bits: int = BITS) -> DataFrame:
-    """Pieces of documents in sequences of ``sequence`` ids: doc_id, start, length, doc_tokens,
-    sequence_id, offset, ids (little-endian, the tokenizer's width).
+def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", dims: int = DIMS, bits: int = BITS, with_ids: bool = True) -> DataFrame:
+    """Pieces of documents in sequences of ``sequence`` ids: doc_id, start, length, ids_crc32 (of the ids as
+    little-endian unsigned 32-bit integers), doc_tokens, sequence_id, offset and, with ``with_ids``, ids
+    (little-endian, the tokenizer's width).
 
     Texts are tokenised once; one shuffle sorts the ids by key; the only figures that meet on the
     driver are one total per partition.
@@ -112,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
     for part, n in totals:
         bases[part], at = at, at + n
     width = tokens.encoder(tokenizer).dtype.itemsize
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), *[("ids", pa.binary())] * with_ids])
 
     def cut(batches):
         for b in slices(batches):
@@ -122,21 +123,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
                 while start < n:
                     seq, off = divmod(at + start, sequence)
                     length = min(sequence - off, n - start)
-                    rows.append((doc, start, length, n, seq, off, ids[start * width : (start + length) * width]))
+                    piece = ids[start * width : (start + length) * width]
+                    crc = zlib.crc32(np.frombuffer(piece, f"<u{width}").astype("<u4"))
+                    rows.append((doc, start, length, crc, n, seq, off, *[piece] * with_ids))
                     start += length
             if rows:
                 yield batch_of(out, *zip(*rows, strict=True))
 
-    return line.mapInArrow(cut, PIECES)
-
-
-def crc_of_ids(width: int):
-    """Pandas UDF body: unsigned crc32 of id buffers widened to little-endian unsigned 32 bits."""
-
-    def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4")) for x in b.column(6).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64()), b.column(3), b.column(4), b.column(5)], schema=schema)
-
-    return run
+    return line.mapInArrow(cut, PIECES + ", ids binary" * with_ids)

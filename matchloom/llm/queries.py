@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, packing, pieces, secrets, simhash, substring, token_files, tokens, toxicity, warc
+from . import exact_dedup, media, packing, pieces, secrets, simhash, substring, token_files, toxicity, warc
 from .common import table
 
 
@@ -20,9 +20,7 @@ def op2_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"))
-    width = tokens.encoder(tokens.default_path()).dtype.itemsize
-    return packed.mapInArrow(packing.crc_of_ids(width), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,11 +20,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Id appended to each document.
 END_ID = 1
-#: Pre-tokens kept per worker; beyond it the cache starts anew.
-CACHE_PIECES = 300_000
+#: Pre-tokens kept per worker: those seen again, and those seen once; beyond it either starts anew.
+CACHE_PIECES, CACHE_FRESH = 200_000, 100_000
 
-#: Texts of these characters alone are split by _MARKS; all others go word by word through the library's own splitter.
-_OTHER = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
+#: Texts of these Latin-1 characters alone (ASCII text, accented letters) are split by _MARKS; all others go word
+#: by word through the library's own splitter.
+_SAFE = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 #: What stands apart from letter runs: contractions, single digits, runs of signs.
 _MARKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
@@ -43,15 +44,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of pre-tokens, found by the library's model when first asked for."""
+    """Ids of lower-case pre-tokens, found by the library's model; one stays when it is asked for again."""
 
     def __init__(self, model, kind: str):
         super().__init__()
         self.model, self.kind, self.letters = model, kind, _byte_letters()
+        self.fresh: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.fresh.pop(piece, None)
+        if found is not None:
+            self[piece] = found
+            return found
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        self[piece] = found = array(self.kind, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(self.fresh) >= CACHE_FRESH:
+            self.fresh.clear()
+        self.fresh[piece] = found = array(self.kind, [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return found
 
 
@@ -75,6 +83,15 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
 
+    def _simple(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, _SAFE) and not any(s in text for s in self.special)
+        except UnicodeEncodeError:
+            return False
+
+    def _split_simple(self, text: str) -> list[str]:
+        return _MARKS.sub(r" \g<0> ", text.lower()).split()
+
     def _word(self, word: str) -> bytes:
         """Ids of a word of any characters."""
         if any(s in word for s in self.special):
@@ -84,16 +101,16 @@ class WordEncoder:
 
     def encode_one(self, text: str) -> bytes:
         """Ids of a text, the end id included."""
-        if not _OTHER.search(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.pieces.__getitem__, _MARKS.sub(r" \g<0> ", text.lower()).split())) + self.end
+        if self._simple(text):
+            return b"".join(map(self.pieces.__getitem__, self._split_simple(text))) + self.end
         out = []
         for raw in text.encode("utf-8", "replace").split():
             word = raw.decode()
             if word not in self.words:
-                if _OTHER.search(word) or any(s in word for s in self.special):
-                    self.words[word] = self._word(word)
+                if self._simple(word):
+                    self.words[word] = b"".join(map(self.pieces.__getitem__, self._split_simple(word)))
                 else:
-                    self.words[word] = b"".join(map(self.pieces.__getitem__, _MARKS.sub(r" \g<0> ", word.lower()).split()))
+                    self.words[word] = self._word(word)
             out.append(self.words[word])
         return b"".join(out) + self.end
 
