@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import free_name, id_and_text
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,7 +30,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-WORD = r"[A-Za-z][A-Za-z0-9_]{3,}"
+#: Words of ordinary shape: lower case, first letters large, parts joined by signs or large letters.
+WORD = r"\b[A-Za-z][a-z]{2,}(?:[_/-][a-z]{2,}|[A-Z][a-z]{2,})*\b"
 
 TRAIN_DOCS = 2000
 RANDOM_STRINGS = 1500
@@ -103,21 +104,26 @@ def labelled_strings(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame
     )
 
 
-def train(strings: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(strings: DataFrame, smoothing: float = 20.0) -> list[float]:
     """Log-likelihood ratio, random over ordinary, of each pair of ASCII characters: 128 * 128 values."""
     low = strings.select("label", F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))").alias("pairs")).where("size(pairs) > 0")
     counts = low.select("label", F.explode("pairs").alias("pair")).groupBy("label", "pair").count().collect()  # 2 * 128 * 128 rows at most
-    seen: list[dict] = [{}, {}]
-    first: list[dict] = [{}, {}]
+    pair: list[dict] = [{}, {}]
+    before: list[dict] = [{}, {}]
+    after: list[dict] = [{}, {}]
     for r in counts:
-        seen[r.label][r.pair] = r["count"]
-        first[r.label][r.pair[0]] = first[r.label].get(r.pair[0], 0) + r["count"]
-    table = []
-    for a in map(chr, range(128)):
-        for b in map(chr, range(128)):
-            p = [(seen[k].get(a + b, 0) + smoothing) / (first[k].get(a, 0) + smoothing * 66) for k in (0, 1)]
-            table.append(round(math.log(p[1] / p[0]), 4))
-    return table
+        pair[r.label][r.pair] = r["count"]
+        for into, c in ((before, r.pair[0]), (after, r.pair[1])):
+            into[r.label][c] = into[r.label].get(c, 0) + r["count"]
+    size = [sum(x.values()) for x in after]
+
+    def chance(k: int, a: str, b: str) -> float:
+        """P(b | a) of class k, drawn towards P(b) where a is rare."""
+        alone = (after[k].get(b, 0) + 0.5) / (size[k] + 0.5 * 66)
+        return (pair[k].get(a + b, 0) + smoothing * alone) / (before[k].get(a, 0) + smoothing)
+
+    letters = [chr(i) for i in range(128)]
+    return [round(math.log(chance(1, a, b) / chance(0, a, b)), 4) for a in letters for b in letters]
 
 
 def log_ratio(value: Column, table: list[float]) -> Column:
@@ -140,8 +146,10 @@ def with_spans(docs: DataFrame, text: str, table: list[float], margin: float = M
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     base = F.array_sort(F.concat(*(F.coalesce(p, none) for p in base_spans(F.col(text)))))
     runs = F.coalesce(matches(F.col(text), CANDIDATE, 0, 20, 3), none)
-    held = docs.withColumn(names[0], base).withColumn(f"{names[1]}__runs", runs)
-    return held.withColumn(names[1], _spans(F.col(text), F.col(names[0]), F.col(f"{names[1]}__runs"), table, margin)).drop(f"{names[1]}__runs")
+    held = docs.withColumn(names[0], base)
+    kept = free_name(held, "__runs")
+    held = held.withColumn(kept, runs)
+    return held.withColumn(names[1], _spans(F.col(text), F.col(names[0]), F.col(kept), table, margin)).drop(kept)
 
 
 def scan(docs: DataFrame, table: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, margin: float = MARGIN) -> DataFrame:

@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, claim, id_and_text, slices, stored
 
-DECAY, FLOOR = 0.6, 0.55
+DECAY, FLOOR = 0.6, 0.45
 TRAIN_ROWS, LANDMARKS = 20_000, 64
 SHAPES = [(0, *c) for k in (3, 4) for c in combinations(range(1, 5), k - 1)]
 #: A word is looked at if this share of its features' mass, repeats counted apart, is in any landmark.
-NEAR = FLOOR**2 / 3
+NEAR = 0.1
 FEATURES = 28**4 + 28**3  # codes of four letters, then of three
 CACHE_WORDS = 200_000
 #: Log-likelihood gain over chance that a landmark must have.
