@@ -35,7 +35,7 @@ SHAPES = [(0, *c) for k in (3, 4) for c in combinations(range(1, 5), k - 1)]
 #: A word is looked at if this share of its features' mass, repeats counted apart, is in any landmark.
 NEAR = 0.1
 FEATURES = 28**4 + 28**3  # codes of four letters, then of three
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Log-likelihood gain over chance that a landmark must have.
 MIN_GAIN = 12.0
 
@@ -60,7 +60,8 @@ def fold(word: str) -> str:
 def words_of(text: str) -> set[str]:
     """Distinct lower-case words of a text as they stand, and spelled-out words put together."""
     low = text.lower()
-    return {*low.split(), *(_OUT.sub("", m[0]) for m in _SPELLED.finditer(low))}
+    plain = low.replace(", ", " ").replace(". ", " ").replace(".\n", "\n")  # fold() strips these signs anyway
+    return {*plain.split(), *(_OUT.sub("", m[0]) for m in _SPELLED.finditer(low))}
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +116,7 @@ class Kernel:
         self.dense = np.ascontiguousarray(dense[:, used].T)
         claim("toxicity", lambda: None)  # freed with the task
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.rows: list[np.ndarray] = [np.zeros(len(landmarks), np.float32)]
 
     def near(self, words: list[str]) -> np.ndarray:
@@ -153,11 +155,16 @@ class Kernel:
 
     def row(self, texts: list[str]) -> np.ndarray:
         """(texts, landmarks): largest kernel value above the floor, scaled to 0..1."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            del self.rows[1:]
+        if len(self.known) > CACHE_WORDS:  # words not met since the last time go
+            self.known, self.older = {}, self.known
+            if len(self.rows) > CACHE_WORDS // 4:
+                self.older = {}
+                del self.rows[1:]
         sets = [words_of(t) for t in texts]
-        new = list({w for s in sets for w in s if w not in self.known})
+        new = {w for s in sets for w in s if w not in self.known}
+        met = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in met)
+        new.difference_update(met)
         folded = sorted(((fold(w)[:64], w) for w in new), key=lambda x: len(x[0]))
         self.known.update(dict.fromkeys(new, 0))
         for i in range(0, len(folded), 4096):
