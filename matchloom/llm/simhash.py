@@ -191,9 +191,13 @@ def hex_fingerprint(col: str = "fp"):
 # shingles in each, and the SimHash of a class is a block.  Of two near copies some classes are untouched.
 
 WIDE_SHINGLE = 5
-#: Bits of 256 in which near copies may differ: 46 is the mean at a Jaccard similarity of 0.74, and lets 9 in 10
-#: pairs at 0.8 and nearly all above pass; unrelated texts differ in 128, give or take 8.
-WIDE_DISTANCE = 46
+#: Jaccard similarity of the shingle sets from which two texts are near copies.
+SIMILARITY = 0.8
+#: Bits of 256 in which candidates may differ: at 0.8 the mean is 39, give or take 6, and unrelated texts differ
+#: in 128, give or take 8.  The shingle sets of candidates are compared afterwards.
+WIDE_DISTANCE = 56
+#: Runs of a key up to this length give all their candidates, longer ones a spanning forest.
+RUN_PAIRS = 32
 #: Shingles in a slice (from about this to twice this), and slices per level of size.
 SLICE_SHINGLES, SLICES = 3, 24
 
@@ -260,24 +264,36 @@ def slice_keys(hashes: np.ndarray, size: int = SLICE_SHINGLES, slices_: int = SL
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
+def _from_centre(prints: np.ndarray) -> np.ndarray:
+    """Bits in which each of a run's fingerprints differs from their bitwise majority."""
+    ones = np.zeros(256, np.int64)
+    for at in range(0, len(prints), 1 << 16):
+        ones += np.unpackbits(prints[at : at + (1 << 16)].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    centre = np.packbits(2 * ones > len(prints)).view(np.uint64)
+    return np.bitwise_count(prints ^ centre).sum(axis=1, dtype=np.int64)
+
+
 def _wide_forest(prints: np.ndarray, distance: int) -> np.ndarray:
-    """The first member of each member's component in a run of wide fingerprints: breadth first, each visited
-    fingerprint against those not yet reached, so a tight group costs little more than one pass."""
-    root = np.arange(len(prints))
-    waiting = np.arange(len(prints))
+    """The member from which each member of a run of wide fingerprints is reached (a first one: itself).
+
+    Breadth first from the middle of the run outwards, each visited fingerprint against those not yet reached, so a
+    tight group costs little more than one pass, and copies of one text hang from what is nearest to it."""
+    parent = np.arange(len(prints))
+    waiting = np.argsort(_from_centre(prints), kind="stable")
     while len(waiting):
         start, waiting = waiting[0], waiting[1:]
         frontier = [start]
         while frontier and len(waiting):
-            near = np.bitwise_count(prints[waiting] ^ prints[frontier.pop()]).sum(axis=1, dtype=np.int64) <= distance
+            at = frontier.pop(0)
+            near = np.bitwise_count(prints[waiting] ^ prints[at]).sum(axis=1, dtype=np.int64) <= distance
             reached, waiting = waiting[near], waiting[~near]
-            root[reached] = start
+            parent[reached] = at
             frontier += reached.tolist()
-    return root
+    return parent
 
 
 def slice_links(keys: DataFrame, distance: int) -> DataFrame:
-    """Spanning links (a, b) of a table (key, rep, f0, f1, f2, f3): runs of one key, by Hamming distance."""
+    """Candidates (a, b) of a table (key, rep, f0, f1, f2, f3): runs of one key, by Hamming distance."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(key, rep, prints):
@@ -289,10 +305,16 @@ def slice_links(keys: DataFrame, distance: int) -> DataFrame:
         left.append(rep[two + 1])
         right.append(rep[two])
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            root = _wide_forest(prints[s : s + n], distance)
-            hung = np.flatnonzero(root != np.arange(n))
+            if n <= RUN_PAIRS:
+                low, hung = np.triu_indices(n, 1)
+                near = np.bitwise_count(prints[s + low] ^ prints[s + hung]).sum(axis=1, dtype=np.int64) <= distance
+                low, hung = low[near], hung[near]
+            else:
+                parent = _wide_forest(prints[s : s + n], distance)
+                hung = np.flatnonzero(parent != np.arange(n))
+                low = parent[hung]
             left.append(rep[s + hung])
-            right.append(rep[s + root[hung]])
+            right.append(rep[s + low])
         a, b = np.concatenate(left), np.concatenate(right)
         return batch_of(schema, a, b) if len(a) else None
 
@@ -314,11 +336,37 @@ def slice_links(keys: DataFrame, distance: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE) -> DataFrame:
+def alike(links: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts in a table (doc_id, text) have the Jaccard similarity, two texts without words
+    included.  Only texts that have a link are cut into shingles; sets are intersected in the JVM."""
+    schema = pa.schema([("doc_id", pa.int64()), ("had", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in slices(batches, 1024, 8 << 20):
+            had = [shingle_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(had, pa.list_(pa.int64()))], schema=schema)
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(base.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(run, "doc_id long, had array<long>"), "near-sets")
+    # Sets that differ too much in size can't be alike; sizes are joined first, so that those pairs carry no sets.
+    sizes = sets.select("doc_id", F.size("had").alias("n"))
+    for end, n in (("a", "na"), ("b", "nb")):
+        links = links.join(sizes.select(F.col("doc_id").alias(end), F.col("n").alias(n)), end)
+    links = links.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9).distinct()
+    both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("had").alias("sa")), "a")
+    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("had").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    whole = F.size("sa") + F.size("sb") - common
+    return both.where(common >= F.lit(similarity) * whole - 1e-9).select("a", "b").distinct()
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, tkey, component_id (smallest doc_id among near copies, itself included).
 
-    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more.  Equal texts meet before
-    slices are dealt, so the rows of a key have different texts.  Texts without words are one group.
+    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more; every link is verified on the
+    whole sets.  Equal texts meet before slices are dealt, so the rows of a key have different texts.  Texts
+    without words are one group.  Of a run of more than ``RUN_PAIRS`` texts only a spanning forest is verified,
+    so two of its texts may stay apart if none of the forest's links joins them at the similarity.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
@@ -336,6 +384,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = stored(prints.groupBy("tkey").agg(F.min("doc_id").alias("rep")), "near-reps")
     chief = prints.join(reps.where("rep is not null"), (prints.tkey == reps.tkey) & (prints.doc_id == reps.rep), "left_semi")
     keys = chief.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), *(F.col("wide")[i].alias(f"f{i}") for i in range(4)))
-    found = connected_components(slice_links(keys, distance)).select(F.col("u").alias("rep"), "v")
+    links = stored(slice_links(keys, distance).where("a <> b").distinct(), "near-candidates")
+    found = connected_components(alike(links, base, shingle, similarity)).select(F.col("u").alias("rep"), "v")
     classes = reps.join(found, "rep", "left").select("tkey", F.coalesce("v", "rep").alias("component_id"))
     return prints.select("doc_id", "tkey").join(classes, "tkey", "left")

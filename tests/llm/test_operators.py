@@ -339,6 +339,32 @@ def test_op7_near_copies(spark, docs, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def near_copies(kind, seed, n):
+    """Texts of 150 words: copies of one text with 1 to 12 words changed, or a chain of copies of copies with 2."""
+    r = random.Random(seed)
+    words = [f"w{r.randrange(4000)}" for _ in range(150)]
+    out, text = [" ".join(words)], list(words)
+    for _ in range(n):
+        text = text if kind == "chain" else list(words)
+        for _ in range(2 if kind == "chain" else r.randint(1, 12)):
+            text[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(text))
+    return list(enumerate(r.sample(out, len(out))))
+
+
+@pytest.mark.parametrize("kind,n", [("star", 20), ("star", 150), ("chain", 25), ("chain", 120)])
+def test_op7_near_copies_are_verified(spark, kind, n):
+    rows = near_copies(kind, n, n)
+    sets = {d: set(simhash.shingle_hashes(t).tolist()) for d, t in rows}
+    want = {d: d for d, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while any(want[a] != want[b] for a, b in links):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.doc_id: r.component_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 1 <= len(set(want.values())) < len(rows)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.u: r.v for r in components.connected_components(links).collect()}
