@@ -95,7 +95,7 @@ def labelled_strings(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame
     )
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     seeded = spark.range(RANDOM_STRINGS).select(F.substring(F.base64(F.unhex(F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256))), 1, 40).alias("value"), F.lit(1).alias("label"))
-    fixed = spark.createDataFrame([(w,) for w in IDENTIFIERS], "value string").crossJoin(F.broadcast(spark.range(40))).select("value", F.lit(0).alias("label"))
+    fixed = spark.range(40).select(F.explode(F.lit(IDENTIFIERS)).alias("value"), F.lit(0).alias("label"))
     return (
         sample.select(F.explode(values).alias("value"), F.lit(1).alias("label"))
         .unionByName(sample.select(F.explode(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0))).alias("value"), F.lit(0).alias("label")))
