@@ -183,25 +183,20 @@ def hex_fingerprint(col: str = "fp"):
 
 
 # ---------------------------------------------------------------------------------------------------
-# Near copies at a Jaccard similarity: wide fingerprints, and blocks cut by shingle instead of by bit.
+# Near copies at a Jaccard similarity, exactly: a prefix filter over the shingle sets.
 #
-# At a similarity of 0.8 two 64-bit fingerprints differ in ten bits on average, and no choice of whole
-# blocks is selective and shared.  So the fingerprint has 256 bits for the Hamming test, and the blocks are
-# fingerprints of slices: shingles are dealt into classes by their hash, as many classes as leave a few
-# shingles in each, and the SimHash of a class is a block.  Of two near copies some classes are untouched.
+# Put the shingles of all texts in one order.  Sets of n and more with a similarity s share at least ceil(s * n)
+# shingles, so the first n - ceil(s * n) + 1 of each have one in common: those are a text's keys.  Any order gives
+# all pairs; shingles that are frequent in a sample come last, which makes runs of a key short.
 
 WIDE_SHINGLE = 5
 #: Jaccard similarity of the shingle sets from which two texts are near copies.
 SIMILARITY = 0.8
-#: Bits of 256 in which candidates may differ: at 0.8 the mean is 39, give or take 6, and unrelated texts differ
-#: in 128, give or take 8.  The shingle sets of candidates are compared afterwards.
-WIDE_DISTANCE = 56
-#: Runs of a key up to this length give all their candidates, longer ones a spanning forest.
+#: Runs of a key up to this length give their pairs, to be verified later; longer ones are verified as they are searched.
 RUN_PAIRS = 32
-#: Shingles in a slice (from about this to twice this), and slices per level of size.
-SLICE_SHINGLES, SLICES = 3, 24
-
-_MIXERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+#: About so many documents are asked which shingles are frequent: in at least so many of them, so many at most.  Only
+#: the order of shingles depends on it, not the links.
+ORDER_DOCS, FREQUENT, MOST_FREQUENT = 16_000, 4, 1 << 16
 
 
 def shingle_hashes(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -218,127 +213,140 @@ def shingle_hashes(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of 64-bit hashes, as one number."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _HASH_CHUNK):
-        bits = np.unpackbits(hashes[at : at + _HASH_CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64)
+def frequent_shingles(base: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that are frequent in a sample of a table (doc_id, text), rarer ones first."""
+    schema = pa.schema([("key", pa.int64())])
 
+    def run(batches):
+        for b in slices(batches, 1024, 8 << 20):
+            had = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
+            yield batch_of(schema, np.concatenate(had).view(np.int64))
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """Four 64-bit words: SimHashes under four mixings of the hashes."""
-    out = np.zeros(4, np.uint64)
-    for i, c in enumerate(_MIXERS if len(hashes) else ()):
-        x = (hashes ^ (hashes >> np.uint64(32))) * c
-        out[i] = _majority(x ^ (x >> np.uint64(29)))
-    return out
-
+    share = max(1, base.count() // ORDER_DOCS)
+    some = base.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(share)) == 0)
+    often = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= FREQUENT)
+    rows = often.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).collect()
+    return np.array([r.key for r in reversed(rows)], np.int64).view(np.uint64)
 
-def slice_keys(hashes: np.ndarray, size: int = SLICE_SHINGLES, slices_: int = SLICES) -> np.ndarray:
-    """Keys of a document's slices: level, class and the SimHash of the class, hashed together.
 
-    A level halves the classes of the next; a document near a level's limit has both, so that documents whose
-    numbers of shingles differ by a quarter have a level in common.
-    """
+def prefix_keys(hashes: np.ndarray, similarity: float, frequent: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
+    """The keys of a set of sorted hashes; ``by_hash`` sorts ``frequent``.  Sets without shingles meet at one key."""
     n = len(hashes)
     if not n:
-        return np.zeros(1, np.uint64)  # texts without words meet at one key
-    keys = []
-    for level in {max(0, int(np.floor(np.log2(n / size * f)))) for f in (0.894, 1.118)}:
-        classes = (hashes >> np.uint64(7)) & np.uint64((1 << level) - 1)
-        low = classes < slices_
-        order = np.argsort(classes[low], kind="stable")
-        some, of = hashes[low][order], classes[low][order]
-        if not len(some):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        sizes = np.diff(np.append(starts, len(of)))
-        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        prints = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-        enough = sizes >= min(2, n)
-        mixed = (prints ^ (of[starts] * _MIXERS[1])) * _MIXERS[0] + np.uint64(level)
-        keys.append((mixed ^ (mixed >> np.uint64(31)))[enough])
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-
-
-def _from_centre(prints: np.ndarray) -> np.ndarray:
-    """Bits in which each of a run's fingerprints differs from their bitwise majority."""
-    ones = np.zeros(256, np.int64)
-    for at in range(0, len(prints), 1 << 16):
-        ones += np.unpackbits(prints[at : at + (1 << 16)].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    centre = np.packbits(2 * ones > len(prints)).view(np.uint64)
-    return np.bitwise_count(prints ^ centre).sum(axis=1, dtype=np.int64)
-
-
-def _wide_forest(prints: np.ndarray, distance: int) -> np.ndarray:
-    """The member from which each member of a run of wide fingerprints is reached (a first one: itself).
-
-    Breadth first from the middle of the run outwards, each visited fingerprint against those not yet reached, so a
-    tight group costs little more than one pass, and copies of one text hang from what is nearest to it."""
-    parent = np.arange(len(prints))
-    waiting = np.argsort(_from_centre(prints), kind="stable")
+        return np.zeros(1, np.uint64)
+    size = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if not len(frequent):
+        return hashes[:size]
+    at = by_hash[np.minimum(np.searchsorted(frequent, hashes, sorter=by_hash), len(frequent) - 1)]
+    late = frequent[at] == hashes
+    return np.concatenate([hashes[~late], hashes[late][np.argsort(at[late])]])[:size]
+
+
+def _runs(batches, columns: int, solve):
+    """What ``solve`` gives for whole runs of the first column; batches are sorted by it."""
+    held: list[list] = []
+    for b in batches:
+        cols = [b.column(i) for i in range(columns)]
+        key = cols[0].to_numpy(zero_copy_only=False)
+        first, last = (int(np.searchsorted(key, k)) for k in (key[0], key[-1]))
+        if held and held[-1][0][0].as_py() != key[first]:
+            yield from solve([pa.concat_arrays(x) for x in zip(*held, strict=True)])
+            held = []
+        if last:
+            held.append([c.slice(0, last) for c in cols])
+            yield from solve([pa.concat_arrays(x) for x in zip(*held, strict=True)])
+            held = []
+        held.append([c.slice(last) for c in cols])  # the last run may go on
+    if held:
+        yield from solve([pa.concat_arrays(x) for x in zip(*held, strict=True)])
+
+
+def prefix_pairs(keys: DataFrame, similarity: float) -> DataFrame:
+    """(key, a, b, na, nb) of a table (key, rep, n): the pairs of a short run whose sizes n allow the similarity; the
+    members of a long run, each as an ``a`` without ``b``."""
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
+
+    def solve(cols):
+        key, rep, n = (c.to_numpy(zero_copy_only=False) for c in cols)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        of = np.repeat(sizes, sizes)
+        to_end = np.repeat(starts + sizes, sizes) - np.arange(len(key))
+        long = of > RUN_PAIRS
+        if long.any():
+            nothing = pa.nulls(int(long.sum()), pa.int64())
+            yield batch_of(schema, key[long], rep[long], nothing, n[long], nothing.cast(pa.int32()))
+        at = np.flatnonzero((to_end > 1) & ~long)
+        gap = 1
+        while len(at):
+            x, y = n[at], n[at + gap]
+            hit = at[(np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (rep[at] != rep[at + gap])]
+            if len(hit):
+                yield batch_of(schema, key[hit], rep[hit], rep[hit + gap], n[hit], n[hit + gap])
+            gap += 1
+            at = at[to_end[at] > gap]
+
+    dealt = keys.repartition("key").sortWithinPartitions("key", "rep")
+    return dealt.mapInArrow(lambda batches: _runs(batches, 3, solve), "key long, a long, b long, na int, nb int")
+
+
+def run_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The member from which each member of a run is reached over links of the similarity (a first one: itself).
+
+    Breadth first; a set leaves the search only on a link that is verified, so the forest has exactly the components
+    of all links of the run.  Shingles that many sets have are counted as bits, the others from lists of their sets.
+    """
+    m = len(sets)
+    size = np.array([len(s) for s in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(m), size)
+    many = count > max(1, m // 16)
+    column = np.cumsum(many) - 1
+    bits = np.zeros((m, int(many.sum()) + 63 >> 6), np.uint64)
+    hit = many[at]
+    c = column[at[hit]]
+    np.bitwise_or.at(bits, (member[hit], c >> 6), np.uint64(1) << (c & 63).astype(np.uint64))
+    few = ~hit & (count[at] > 1)
+    at, owner = at[few], member[few]  # ascending owners
+    order = np.argsort(at, kind="stable")
+    listed, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(count)))])
+    own = np.searchsorted(owner, np.arange(m + 1))
+    parent, waiting = np.arange(m), np.arange(m)
     while len(waiting):
-        start, waiting = waiting[0], waiting[1:]
-        frontier = [start]
+        frontier, waiting = [int(waiting[0])], waiting[1:]
         while frontier and len(waiting):
-            at = frontier.pop(0)
-            near = np.bitwise_count(prints[waiting] ^ prints[at]).sum(axis=1, dtype=np.int64) <= distance
+            x = frontier.pop()
+            common = np.bitwise_count(bits[waiting] & bits[x]).sum(axis=1, dtype=np.int64)
+            lists = [listed[begin[s] : begin[s + 1]] for s in at[own[x] : own[x + 1]].tolist()]
+            if lists:
+                common += np.bincount(np.concatenate(lists), minlength=m)[waiting]
+            near = common >= similarity * (size[waiting] + size[x] - common) - 1e-9
             reached, waiting = waiting[near], waiting[~near]
-            parent[reached] = at
+            parent[reached] = x
             frontier += reached.tolist()
     return parent
 
 
-def slice_links(keys: DataFrame, distance: int) -> DataFrame:
-    """Candidates (a, b) of a table (key, rep, f0, f1, f2, f3): runs of one key, by Hamming distance."""
+def run_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) that span the components of each long run of a table (key, rep, had)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(key, rep, prints):
+    def solve(cols):
+        key, rep = (c.to_numpy(zero_copy_only=False) for c in cols[:2])
+        offsets, values = cols[2].offsets.to_numpy(), cols[2].values.to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        left, right = [], []
-        two = starts[sizes == 2]
-        two = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1, dtype=np.int64) <= distance]
-        left.append(rep[two + 1])
-        right.append(rep[two])
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            if n <= RUN_PAIRS:
-                low, hung = np.triu_indices(n, 1)
-                near = np.bitwise_count(prints[s + low] ^ prints[s + hung]).sum(axis=1, dtype=np.int64) <= distance
-                low, hung = low[near], hung[near]
-            else:
-                parent = _wide_forest(prints[s : s + n], distance)
-                hung = np.flatnonzero(parent != np.arange(n))
-                low = parent[hung]
-            left.append(rep[s + hung])
-            right.append(rep[s + low])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return batch_of(schema, a, b) if len(a) else None
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+            parent = run_forest([values[offsets[i] : offsets[i + 1]] for i in range(s, e)], similarity)
+            hung = np.flatnonzero(parent != np.arange(e - s))
+            if len(hung):
+                yield batch_of(schema, rep[s + hung], rep[s + parent[hung]])
 
-    def run(batches):
-        held = None
-        for b in batches:
-            cols = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)]
-            cols.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(2, 6)], axis=1))
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = np.flatnonzero(cols[0] == cols[0][-1])[0]
-            held = [c[last:] for c in cols]
-            if last and (out := solve(*(c[:last] for c in cols))) is not None:
-                yield out
-        if held is not None and len(held[0]) and (out := solve(*held)) is not None:
-            yield out
-
-    dealt = keys.select("key", "rep", "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = members.select("key", "rep", "had").repartition("key").sortWithinPartitions("key", "rep")
+    return dealt.mapInArrow(lambda batches: _runs(batches, 3, solve), "a long, b long")
 
 
-def alike(links: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts in a table (doc_id, text) have the Jaccard similarity, two texts without words
-    included.  Only texts that have a link are cut into shingles; sets are intersected in the JVM."""
+def shingle_sets(base: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, had: hashes of shingles) of the texts of a table (doc_id, text) whose ids are in ``ends``."""
     schema = pa.schema([("doc_id", pa.int64()), ("had", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -346,13 +354,11 @@ def alike(links: DataFrame, base: DataFrame, shingle: int, similarity: float) ->
             had = [shingle_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(had, pa.list_(pa.int64()))], schema=schema)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(base.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(run, "doc_id long, had array<long>"), "near-sets")
-    # Sets that differ too much in size can't be alike; sizes are joined first, so that those pairs carry no sets.
-    sizes = sets.select("doc_id", F.size("had").alias("n"))
-    for end, n in (("a", "na"), ("b", "nb")):
-        links = links.join(sizes.select(F.col("doc_id").alias(end), F.col("n").alias(n)), end)
-    links = links.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9).distinct()
+    return base.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(run, "doc_id long, had array<long>")
+
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets in a table (doc_id, had) have the Jaccard similarity, two empty sets included."""
     both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("had").alias("sa")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("had").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -360,31 +366,47 @@ def alike(links: DataFrame, base: DataFrame, shingle: int, similarity: float) ->
     return both.where(common >= F.lit(similarity) * whole - 1e-9).select("a", "b").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, tkey, component_id (smallest doc_id among near copies, itself included).
 
-    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more; every link is verified on the
-    whole sets.  Equal texts meet before slices are dealt, so the rows of a key have different texts.  Texts
-    without words are one group.  Of a run of more than ``RUN_PAIRS`` texts only a spanning forest is verified,
-    so two of its texts may stay apart if none of the forest's links joins them at the similarity.
+    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more.  All such pairs meet at a key of the
+    prefix filter, whatever their sizes, and every link is verified on the whole sets.  Equal texts meet before, so
+    the rows of a key have different texts.  Texts without words are one group.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int32())])
+    base = id_and_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
+    ids = stored(base.select("doc_id", "tkey"), "near-ids")
+    reps = stored(ids.groupBy("tkey").agg(F.min("doc_id").alias("rep")), "near-reps")
+    again = stored(ids.join(reps, "tkey").where("not (doc_id <=> rep) or rep is null").select("doc_id", "tkey").distinct(), "near-again")
+    chief = base.alias("x").join(again.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tkey") == F.col("y.tkey")), "left_anti")
+    frequent = frequent_shingles(chief, shingle)
+    by_hash = np.argsort(frequent)
 
     def run(batches):
-        for b in slices(batches, 4096, 32 << 20):
-            wide, keys = [], []
-            for text in b.column(1).to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                wide.append(wide_fingerprint(hashes).view(np.int64))
-                keys.append(slice_keys(hashes).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(wide, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
-
-    base = id_and_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
-    prints = stored(base.mapInArrow(run, "doc_id long, tkey long, wide array<long>, keys array<long>"), "near-prints")
-    reps = stored(prints.groupBy("tkey").agg(F.min("doc_id").alias("rep")), "near-reps")
-    chief = prints.join(reps.where("rep is not null"), (prints.tkey == reps.tkey) & (prints.doc_id == reps.rep), "left_semi")
-    keys = chief.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), *(F.col("wide")[i].alias(f"f{i}") for i in range(4)))
-    links = stored(slice_links(keys, distance).where("a <> b").distinct(), "near-candidates")
-    found = connected_components(alike(links, base, shingle, similarity)).select(F.col("u").alias("rep"), "v")
+        for b in slices(batches, 256, 8 << 20):
+            sets = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
+            keys = [prefix_keys(s, similarity, frequent, by_hash) for s in sets]
+            counts = [len(k) for k in keys]
+            rep, n = b.column(0).to_numpy(zero_copy_only=False), np.array([len(s) for s in sets], np.int32)
+            yield batch_of(schema, np.concatenate(keys).view(np.int64), np.repeat(rep, counts), np.repeat(n, counts))
+
+    keys = chief.select("doc_id", "text").mapInArrow(run, "key long, rep long, n int")
+    met = stored(prefix_pairs(keys, similarity), "near-met")
+    long = met.where("b is null").select("key", F.col("a").alias("rep"))
+    # Of two texts, x with the lesser last key: shingles in common are keys of both, or among x's others.  So a pair
+    # needs this many common keys; those in long runs are at most the fewer of the two texts' keys there.
+    common = met.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    in_long = stored(long.groupBy("rep").agg(F.count("*").alias("k")), "near-long")
+    for end, k in (("a", "ka"), ("b", "kb")):
+        common = common.join(in_long.select(F.col("rep").alias(end), F.col("k").alias(k)), end, "left")
+    enough = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb"))
+    others = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) - 1
+    met_at = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
+    links = stored(common.where(met_at + others >= enough - 1e-9).select("a", "b").distinct(), "near-candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).union(in_long.select(F.col("rep").alias("doc_id"))).distinct()
+    sets = stored(shingle_sets(chief, ends, shingle), "near-sets")
+    members = long.distinct().join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    found = connected_components(alike(links, sets, similarity).unionByName(run_links(members, similarity)))
+    found = found.select(F.col("u").alias("rep"), "v")
     classes = reps.join(found, "rep", "left").select("tkey", F.coalesce("v", "rep").alias("component_id"))
-    return prints.select("doc_id", "tkey").join(classes, "tkey", "left")
+    return ids.join(classes, "tkey", "left").select("doc_id", "tkey", "component_id")

@@ -365,6 +365,45 @@ def test_op7_near_copies_are_verified(spark, kind, n):
     assert got == want and 1 <= len(set(want.values())) < len(rows)
 
 
+def brute_near(rows):
+    sets = {d: set(simhash.shingle_hashes(t).tolist()) for d, t in rows}
+    want = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while any(want[a] != want[b] for a, b in links):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    return want
+
+
+def found_near(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_op7_near_copies_of_short_texts(spark):
+    """Texts of 1 to 30 shingles against the same with words appended or the last ones changed."""
+    r, rows = random.Random(8), []
+    for n in range(1, 31):
+        for more in (1, 2, 5):
+            words = [f"w{r.randrange(10**6)}" for _ in range(n + 4 + more)]
+            for text in (words[: n + 4], words, [*words[: n + 4 - more], *(f"x{r.randrange(10**6)}" for _ in range(more))]):
+                rows.append((len(rows), " ".join(text)))
+    want = brute_near(rows)
+    assert found_near(spark, rows) == want and sum(d != c for d, c in want.items()) > 60
+
+
+def test_op7_near_copies_in_a_long_run(spark):
+    """Copies of a lost text, few of them alike at the similarity."""
+    r = random.Random(9)
+    lost, rows = [f"w{i}" for i in range(150)], []
+    for d in range(400):
+        words = list(lost)
+        for i in r.sample(range(150), 3):
+            words[i] = f"x{r.randrange(10**6)}"
+        rows.append((d, " ".join(words)))
+    want = brute_near(rows)
+    assert found_near(spark, rows) == want and 300 < len(set(want.values())) < 380
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.u: r.v for r in components.connected_components(links).collect()}
