@@ -4,7 +4,8 @@ Patterns (leftmost, non-overlapping per kind, matches that fail the length are d
 assign ``(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)``, key words in either
 case, group 2 of 12 or more characters; access ``AKIA[A-Z0-9]+`` of 18 or more; hex ``[0-9a-f]+`` of 16 or more.
 
-The method adds spans of kind markov: runs of 20 or more key-like characters whose log-likelihood under
+The method adds spans of kind markov: runs of 20 or more key-like characters, or what the patterns leave of
+them in pieces of 20 or more, whose log-likelihood under
 a character bigram model of random strings exceeds that under a model of ordinary identifiers.  Both
 models are counted from labelled strings: values of pattern matches and seeded random strings on one
 side, ordinary words of the documents and a list of identifiers on the other.  The documents for that
@@ -133,10 +134,25 @@ def log_ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda s, i: s + F.element_at(llr, at(i) * 128 + at(i + 1) + 1))
 
 
+def _pieces(base: Column, run: Column) -> Column:
+    """What sorted base spans leave of a run, in pieces of 20 or more characters."""
+    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+
+    def until(at: Column, end: Column) -> Column:
+        piece = F.array(F.struct(at["pos"].alias("start"), end.alias("end"), run["kind"].alias("kind")))
+        return F.when(end - at["pos"] >= 20, F.concat(at["out"], piece)).otherwise(at["out"])
+
+    def step(at: Column, b: Column) -> Column:
+        return F.struct(F.greatest(at["pos"], b["end"]).alias("pos"), until(at, b["start"]).alias("out"))
+
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(touching, F.struct(run["start"].alias("pos"), none.alias("out")), step, lambda at: until(at, run["end"]))
+
+
 def _spans(text: Column, base: Column, runs: Column, table: list[float], margin: float) -> Column:
-    """base and the markov spans among the candidate runs that no base span touches."""
+    """base and the markov spans among what base spans leave of the candidate runs."""
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.flatten(F.transform(runs, lambda r: _pieces(base, r)))
     likely = F.filter(free, lambda r: log_ratio(F.substring(text, r["start"] + 1, r["end"] - r["start"]), table) > margin)
     return F.array_sort(F.concat(base, F.when(F.size(runs) > 0, likely).otherwise(none)))
 
@@ -155,7 +171,7 @@ def with_spans(docs: DataFrame, text: str, table: list[float], margin: float = M
 def scan(docs: DataFrame, table: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, margin: float = MARGIN) -> DataFrame:
     """One row per document: doc_id, text, base and spans: arrays of (start, end, kind) sorted by start, then kind.
 
-    base holds the fixed kinds; spans adds the markov spans that no fixed span touches.
+    base holds the fixed kinds; spans adds the markov spans, which leave out what fixed spans cover.
     """
     base = id_and_text(docs, id_col, text_col)
     table = table if table is not None else train(labelled_strings(base, train_docs))
