@@ -10,7 +10,7 @@ landmarks are words that stand in toxic rows far more often than in clean ones;
 largest kernel values per landmark above ``FLOOR``, mapped by K_LL^(-1/2); a linear SVM with hinge loss is
 fitted to the labels, and its margins are calibrated to probabilities by logistic regression.
 
-Scoring reads whole texts: every word is weighed, and one is passed over only if the part of its features
+Scoring reads whole texts: every word is weighed, long runs of letters and signs by their parts, and one is passed over only if the part of its features
 that any landmark has (``NEAR``) is too small.  Labels, lang, source and doc_id are no inputs.  Null
 and empty texts, and all texts if there is no label of each kind, score the calibrated value of no match.
 Repeated rows score alike; null labels are left out; an empty table gives no rows; extra columns are not read.
@@ -45,6 +45,9 @@ _FOLD = str.maketrans(LOOKALIKES)
 _SPELLED = re.compile(r"(?<!\S)(?:[a-z][ .\-_*]){3,}[a-z](?!\S)")
 _PLAIN = re.compile(r"[a-z]+")
 _OUT = re.compile(r"[^a-z]+")
+_SIGNS = re.compile(r"[^\w@$!]+|_+")
+#: Letters of a folded word that are weighed at once.
+LONGEST = 64
 
 
 def fold(word: str) -> str:
@@ -57,6 +60,15 @@ def fold(word: str) -> str:
     return _OUT.sub("", word)
 
 
+def parts(word: str) -> list[str]:
+    """The folded word; of one over ``LONGEST`` letters, its words between signs and overlapping windows of all of it."""
+    whole = fold(word)
+    if len(whole) <= LONGEST:
+        return [whole]
+    found = {w[i : i + LONGEST] for w in [whole, *map(fold, _SIGNS.split(word))] for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)}
+    return sorted(found - {""})
+
+
 def words_of(text: str) -> set[str]:
     """Distinct lower-case words of a text as they stand, and spelled-out words put together."""
     low = text.lower()
@@ -165,7 +177,7 @@ class Kernel:
         met = [w for w in new if w in self.older]
         self.known.update((w, self.older[w]) for w in met)
         new.difference_update(met)
-        folded = sorted(((fold(w)[:64], w) for w in new), key=lambda x: len(x[0]))
+        folded = sorted(((part, w) for w in new for part in parts(w)), key=lambda x: len(x[0]))
         self.known.update(dict.fromkeys(new, 0))
         for i in range(0, len(folded), 4096):
             some = folded[i : i + 4096]
@@ -173,6 +185,9 @@ class Kernel:
             if near:
                 above = np.maximum(self.values([f for f, _ in near]) - FLOOR, 0) / (1 - FLOOR)
                 for j in np.flatnonzero(above.any(axis=1)).tolist():
+                    if at := self.known[near[j][1]]:  # another part of a long word
+                        self.rows[at] = np.maximum(self.rows[at], above[j])
+                        continue
                     self.known[near[j][1]] = len(self.rows)
                     self.rows.append(above[j])
         out = np.zeros((len(texts), len(self.landmarks)), np.float32)
@@ -210,7 +225,7 @@ def pick_landmarks(rows: DataFrame, landmarks: int) -> list[str]:
         for b in slices(batches):
             seen: dict[str, list[int]] = {}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in {fold(w)[:64] for w in words_of(text)}:
+                for w in {part for w in words_of(text) for part in parts(w)}:
                     if len(w) >= 3:
                         seen.setdefault(w, [0, 0])[0 if y else 1] += 1
             if seen:
