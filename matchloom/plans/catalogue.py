@@ -167,6 +167,12 @@ def fuzzy_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.fuzzy_name_pairs(*map(fx.ascii_only, fx.sides(spark, sf_dir)))
 
 
+@_query()
+def fuzzy_name_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fuzzy pairs of all names; DuckDB's levenshtein counts bytes, so SQL has the ASCII names alone."""
+    return B.fuzzy_name_pairs(*fx.sides(spark, sf_dir))
+
+
 def _ascii_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s1, others = fx.sides(spark, sf_dir)
     return B.exact_name_pairs(s1, others).union(B.rare_token_pairs(s1, others)).distinct(), s1, others
@@ -192,6 +198,15 @@ def pair_lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*PAIR, *(F.round(c, 6).alias(c) if c in ("name_jaccard", "addr_jaccard", "num_token_jaccard") else F.col(c) for c in out.columns if c not in PAIR))
 
 
+@_query()
+def pair_lexical_features_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical features with the edit similarities of all names and addresses."""
+    pairs, s1, others = _ascii_pairs(spark, sf_dir)
+    out = features.lexical(pairs, s1, others)
+    rounded = ("name_jaccard", "addr_jaccard", "name_lev", "addr_lev", "num_token_jaccard")
+    return out.select(*PAIR, *(F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in out.columns if c not in PAIR))
+
+
 _GRAMS = """list_concat(list_transform(range(1, length(w)), lambda i: substring(w, i, 2)),
     list_concat(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4))))"""
 
