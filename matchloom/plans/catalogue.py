@@ -287,6 +287,19 @@ def name_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.name_top(capped, *plain).select(*PAIR, F.round("name_sim", 6).alias("name_sim"))
 
 
+@_query()
+def capped_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capped candidates at the operator's own cap."""
+    return B.capped_candidates(*fx.sides(spark, sf_dir))
+
+
+@_query()
+def name_prefilter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best by name of all names' candidates, at the operator's own cap."""
+    s1, others = fx.sides(spark, sf_dir)
+    return B.name_top(B.capped_candidates(s1, others), s1, others).select(*PAIR, F.round("name_sim", 6).alias("name_sim"))
+
+
 @_query(f"""WITH {_REC}, p AS (SELECT * FROM exact UNION SELECT * FROM tok),
     e AS (SELECT DISTINCT g.source1_entity_id, g.entity_id, s1.n FROM gold g JOIN s1 ON s1.entity_id = g.source1_entity_id),
     h AS (SELECT e.n, (p.source1_entity_id IS NULL)::INT AS missed FROM e LEFT JOIN p ON p.source1_entity_id = e.source1_entity_id AND p.candidate_entity_id = e.entity_id)
@@ -406,7 +419,7 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = B.predict_like(s1, others)
     rows = features.label(features.build(pairs, s1, others, *features.fit_idf(s1, others)), fx.gold(spark, sf_dir)).cache()
     fit_rows, held = sampling.group_split(rows)
-    return linkage.score(linkage.fit_classifier(fit_rows, iterations=10), held).select(*PAIR, "label", "prob")
+    return linkage.score(linkage.fit_classifier(fit_rows), held).select(*PAIR, "label", "prob")
 
 
 # ------------------------------------------------------------------ validation rules over literal files
