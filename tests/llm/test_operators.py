@@ -269,15 +269,6 @@ def test_op6_held_out(spark):
     assert {x.predicted for x in toxicity.score(docs, nothing).collect()} == {0}
 
 
-def test_op6_long_words_are_weighed_whole():
-    kernel = toxicity.Kernel(["scoundrel"])
-    alone, *joined = kernel.row(["scoundrel", "-".join([*["window"] * 14, "scoundrel", "garden"]), ",".join(["table"] * 60 + ["sc0undrel"])])
-    assert alone[0] > 0.99 and all(abs(row[0] - alone[0]) < 1e-5 for row in joined)
-    letters = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500))
-    assert set(toxicity.parts(letters)) >= {letters[i : i + 64] for i in range(0, 437, 32)} and "".join(toxicity.parts("a" * 64)) == "a" * 64
-    assert all(any(letters[i : i + 32] in part for part in toxicity.parts(letters)) for i in range(469))
-
-
 def test_op6_kernel_is_the_gapped_sum():
     def brute(a, b):
         def phi(w):
