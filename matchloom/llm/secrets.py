@@ -32,7 +32,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Words of ordinary shape: lower case, first letters large, parts joined by signs or large letters.
-WORD = r"\b[A-Za-z][a-z]{2,}(?:[_/-][a-z]{2,}|[A-Z][a-z]{2,})*\b"
+# The repeated group is possessive: Java matches it in a loop then, and by recursion otherwise, which long names end.
+WORD = r"\b[A-Za-z][a-z]{2,}+(?:[_/-][a-z]{2,}+|[A-Z][a-z]{2,}+)*+\b"
 
 TRAIN_DOCS = 2000
 RANDOM_STRINGS = 1500
@@ -57,25 +58,59 @@ var/log/application/server virtualMachineConfiguration website-navigation-menu-i
 """.split()
 
 
-def matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
+def _let(x: Column, f) -> Column:
+    """f(x), with x worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def running(values: Column, join) -> Column:
+    """Running results of an associative ``join`` over an array, by steps of doubling width: n log n."""
+
+    def widen(so_far: Column, k: Column) -> Column:
+        return F.transform(so_far, lambda x, i: F.when(i >= k, join(x, F.get(so_far, i - k))).otherwise(x))
+
+    widths = F.array(*(F.lit(1 << b) for b in range(31)))
+    return _let(values, lambda v: F.aggregate(F.filter(widths, lambda k: k < F.size(v)), v, widen))
+
+
+def matches(text: Column, pattern: str, group: int, least: int, kind: int, value: bool = False) -> Column:
     """Spans (start, end, kind) of a pattern's matches whose group has ``least`` characters; null: none at all.
 
-    split() gives what lies between matches, so running lengths give positions in code points.
+    split() gives what lies between matches, so running lengths give positions in code points.  With ``value``
+    a span has the group's text too.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    steps = F.arrays_zip(between.alias("gap"), whole.alias("hit"), value.alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
 
-    def step(at: Column, x: Column) -> Column:
-        start = at["pos"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("pos"), F.when(F.length(x["value"]) >= least, F.concat(at["out"], found)).otherwise(at["out"]).alias("out"))
+    def spans(hits: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+        return _let(F.arrays_zip(between.alias("gap"), hits.alias("hit"), values.alias("value")), placed)
+
+    def placed(steps: Column) -> Column:
+        ends = running(F.transform(steps, lambda x: F.length(x["gap"]) + F.length(x["hit"])), lambda a, b: a + b)
+        return _let(ends, lambda at: F.transform(F.filter(F.transform(steps, lambda x, i: F.struct(x.alias("x"), F.get(at, i).alias("end"))), lambda x: F.length(x["x"]["value"]) >= least), span))
+
+    def span(x: Column) -> Column:
+        found = [(x["end"] - F.length(x["x"]["hit"])).alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")]
+        return F.struct(*found, *[x["x"]["value"].alias("value")] * value)
+
+    return F.when(text.rlike(pattern), _let(whole, spans))
+
+
+def rewritten(text: Column, spans: Column, fill) -> Column:
+    """The text with spans, sorted by start, replaced: fill(span, where the text before it was left) gives what stands
+    for a span.  Linear in the text."""
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+    def built(chars: Column, ends: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            return _let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda at: F.concat(F.array_join(F.slice(chars, at + 1, F.greatest(s["start"] - at, F.lit(0))), ""), fill(s, at)))
 
-    spans = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda at: at["out"])
-    return F.when(text.rlike(pattern), spans)
+        rest = F.slice(chars, F.element_at(ends, -1) + 1, F.size(chars))
+        return F.concat(F.array_join(F.transform(spans, part), ""), F.array_join(rest, ""))
+
+    whole = _let(F.split(text, ""), lambda chars: _let(reach, lambda ends: built(chars, ends)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -107,7 +142,8 @@ def labelled_strings(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame
 
 def train(strings: DataFrame, smoothing: float = 20.0) -> list[float]:
     """Log-likelihood ratio, random over ordinary, of each pair of ASCII characters: 128 * 128 values."""
-    low = strings.select("label", F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))").alias("pairs")).where("size(pairs) > 0")
+    pairs = _let(F.split("value", ""), lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, b)))
+    low = strings.select("label", pairs.alias("pairs"))
     counts = low.select("label", F.explode("pairs").alias("pair")).groupBy("label", "pair").count().collect()  # 2 * 128 * 128 rows at most
     pair: list[dict] = [{}, {}]
     before: list[dict] = [{}, {}]
@@ -128,44 +164,30 @@ def train(strings: DataFrame, smoothing: float = 20.0) -> list[float]:
 
 
 def log_ratio(value: Column, table: list[float]) -> Column:
-    """Summed log-likelihood ratio of a string of ASCII characters."""
-    llr = F.lit(table)
-    at = lambda i: F.ascii(F.substring(value, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda s, i: s + F.element_at(llr, at(i) * 128 + at(i + 1) + 1))
-
-
-def _pieces(base: Column, run: Column) -> Column:
-    """What sorted base spans leave of a run, in pieces of 20 or more characters."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-
-    def until(at: Column, end: Column) -> Column:
-        piece = F.array(F.struct(at["pos"].alias("start"), end.alias("end"), run["kind"].alias("kind")))
-        return F.when(end - at["pos"] >= 20, F.concat(at["out"], piece)).otherwise(at["out"])
-
-    def step(at: Column, b: Column) -> Column:
-        return F.struct(F.greatest(at["pos"], b["end"]).alias("pos"), until(at, b["start"]).alias("out"))
+    """Summed log-likelihood ratio of a string of ASCII characters; linear in its length."""
+    ratios = F.lit(table)
 
-    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    return F.aggregate(touching, F.struct(run["start"].alias("pos"), none.alias("out")), step, lambda at: until(at, run["end"]))
+    def total(codes: Column) -> Column:
+        steps = F.transform(F.slice(codes, F.lit(2), F.size(codes)), lambda b, i: F.get(ratios, F.get(codes, i) * 128 + b))
+        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
 
-
-def _spans(text: Column, base: Column, runs: Column, table: list[float], margin: float) -> Column:
-    """base and the markov spans among what base spans leave of the candidate runs."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    free = F.flatten(F.transform(runs, lambda r: _pieces(base, r)))
-    likely = F.filter(free, lambda r: log_ratio(F.substring(text, r["start"] + 1, r["end"] - r["start"]), table) > margin)
-    return F.array_sort(F.concat(base, F.when(F.size(runs) > 0, likely).otherwise(none)))
+    return _let(F.transform(F.split(value, ""), lambda c: F.ascii(c)), total)
 
 
 def with_spans(docs: DataFrame, text: str, table: list[float], margin: float = MARGIN, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
-    """docs with two columns more: arrays of (start, end, kind) sorted by start, then kind, of a column of texts."""
+    """docs with two columns more: arrays of (start, end, kind) sorted by start, then kind, of a column of texts.
+
+    What base spans cover is blanked, so that the candidates are the runs, or pieces of runs, that they leave.
+    """
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    base = F.array_sort(F.concat(*(F.coalesce(p, none) for p in base_spans(F.col(text)))))
-    runs = F.coalesce(matches(F.col(text), CANDIDATE, 0, 20, 3), none)
-    held = docs.withColumn(names[0], base)
-    kept = free_name(held, "__runs")
-    held = held.withColumn(kept, runs)
-    return held.withColumn(names[1], _spans(F.col(text), F.col(names[0]), F.col(kept), table, margin)).drop(kept)
+    held = docs.withColumn(names[0], F.array_sort(F.concat(*(F.coalesce(p, none) for p in base_spans(F.col(text))))))
+    bare, runs = free_name(held, "__bare"), free_name(held, "__runs")
+    blank = lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
+    held = held.withColumn(bare, rewritten(F.col(text), F.col(names[0]), blank))
+    held = held.withColumn(runs, matches(F.col(bare), CANDIDATE, 0, 20, 3, value=True))
+    likely = F.filter(F.col(runs), lambda r: log_ratio(r["value"], table) > margin)
+    likely = F.transform(likely, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))
+    return held.withColumn(names[1], F.array_sort(F.concat(F.col(names[0]), F.coalesce(likely, none)))).drop(bare, runs)
 
 
 def scan(docs: DataFrame, table: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, margin: float = MARGIN) -> DataFrame:
@@ -185,11 +207,5 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with its spans, joined where they overlap, each replaced by a mark."""
-
-    def step(at: Column, s: Column) -> Column:
-        gap = F.concat(at["out"], F.substring(text, at["pos"] + 1, s["start"] - at["pos"]), F.lit(mark))
-        return F.struct(F.greatest(at["pos"], s["end"]).alias("pos"), F.when(s["start"] >= at["pos"], gap).otherwise(at["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda at: F.concat(at["out"], F.substring(text, at["pos"] + 1, F.length(text))))).otherwise(text)
+    """The text with its spans (sorted by start), joined where they overlap, each replaced by a mark."""
+    return rewritten(text, spans, lambda s, at: F.when(s["start"] >= at, F.lit(mark)).otherwise(F.lit("")))

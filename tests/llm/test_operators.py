@@ -7,6 +7,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -234,6 +235,66 @@ def test_op5_secrets_beside_fixed_spans(spark):
     assert not any(key in rows[d].r for d in range(4)) and rows[3].r == "[SECRET]-short"
 
 
+def brute_scan(t, table):
+    """base and all spans (start, kind, end), and the redacted text."""
+    base = sorted((int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in brute_spans(t).split(",") if x))
+    bare = list(t)
+    for a, _, b in base:
+        bare[a:b] = " " * (b - a)
+    spans = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(bare)):
+        if sum(table[ord(x) * 128 + ord(y)] for x, y in zip(m[0], m[0][1:], strict=False)) > secrets.MARGIN:
+            spans.append((m.start(), 3, m.end()))
+    spans.sort()
+    out, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            out += [t[at:a], "[SECRET]"]
+        at = max(at, b)
+    return base, spans, "".join([*out, t[at:]])
+
+
+def scanned(spark, texts, table):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.scan(df, table).withColumn("red", secrets.redact(secrets.F.col("text"), secrets.F.col("spans")))
+    for r in found.collect():
+        base, spans, red = brute_scan(texts[r.doc_id], table)
+        assert [(s.start, s.kind, s.end) for s in r.base] == base and [(s.start, s.kind, s.end) for s in r.spans] == spans and r.red == red
+    return found
+
+
+def test_op5_spans_and_redaction_by_brute_force(spark):
+    table = secrets.train(secrets.labelled_strings(spark.createDataFrame([], "doc_id long, text string")))
+    r, letters = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    parts = [
+        lambda: "".join(r.choices(letters, k=r.randint(8, 50))), lambda: "AKIA" + "".join(r.choices("ABCXYZ0189", k=r.randint(8, 25))), lambda: "".join(r.choices("0123456789abcdef", k=r.randint(10, 40))),
+        lambda: "token=", lambda: "Api_Key: \"", lambda: "\U0001f600", lambda: "\u00e9\u4e2d ", lambda: " ", lambda: "-", lambda: "plain words stand here ", lambda: "_configuration_of_the_service",
+    ]
+    texts = ["".join(r.choice(parts)() for _ in range(r.randint(0, 30))) for _ in range(300)]
+    scanned(spark, texts, table)
+
+
+def test_op5_long_texts(spark):
+    """A run of a megabyte, a name of a megabyte (in the labelled sample too) and 20,000 matches in one text."""
+    r, letters = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n: "".join(r.choices(letters, k=n))
+    texts = [key(1 << 20), "abc_" * (1 << 18) + "abc", " \u00e9 ".join(f"token={key(16)} {key(30)}" for _ in range(20_000))]
+    began = time.time()
+    secrets.train(secrets.labelled_strings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    table = secrets.train(secrets.labelled_strings(spark.createDataFrame([], "doc_id long, text string")))
+    found = scanned(spark, texts, table)
+    assert [x.n for x in found.selectExpr("size(spans) as n", "doc_id").orderBy("doc_id").collect()] == [1, 0, 40_000]
+    assert time.time() - began < 120
+
+
+def test_op5_empty_and_clashing_columns(spark, empty, docs, sf):
+    assert secrets.scan(empty).count() == 0
+    wide = docs.selectExpr("*", "1 as base", "'x' as spans", "2 as __runs", "3 as __bare")
+    plain = {(r.doc_id, r.s) for r in secrets.scan(docs).select("doc_id", secrets.spans_text(secrets.F.col("spans")).alias("s")).collect()}
+    assert plain == {(r.doc_id, r.s) for r in secrets.scan(wide).select("doc_id", secrets.spans_text(secrets.F.col("spans")).alias("s")).collect()}
+    assert secrets.scan(docs).count() == docs.count()
+
+
 def test_op5_models_tell_random_from_ordinary(spark):
     table = secrets.train(secrets.labelled_strings(spark.createDataFrame([], "doc_id long, text string")))
     r = random.Random(9)
