@@ -73,7 +73,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a stored table, and nothing else, before the driver ends; no plan may read it any more."""
+    drop_dir(df.stored_at)
+    _WRITTEN.remove(df.stored_at)
 
 
 def whole_text(text: str | Column) -> Column:

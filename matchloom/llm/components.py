@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -18,7 +18,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round hangs a vertex's larger neighbours below its smallest neighbour (large star), then its
     smaller ones (small star); the number of links never grows, and rounds grow with the logarithm of
-    the component size.  Links stay distributed; only a count and a hash sum reach the driver.
+    the component size, so 60 are enough for any table; beyond them an error is raised.  Links stay
+    distributed; only a count and a hash sum reach the driver.
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(links)
@@ -30,7 +31,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        links = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, links = links, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(old)
         before, state = state, _state(links)
         if state == before:
             return links

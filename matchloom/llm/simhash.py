@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_and_text, slices, stored
+from .common import batch_of, discard, id_and_text, slices, stored
 from .components import connected_components
 
 SHINGLE, DISTANCE, SPARE = 3, 2, 4
@@ -183,20 +183,32 @@ def hex_fingerprint(col: str = "fp"):
 
 
 # ---------------------------------------------------------------------------------------------------
-# Near copies at a Jaccard similarity, exactly: a prefix filter over the shingle sets.
+# Near copies at a Jaccard similarity, exactly.
 #
-# Put the shingles of all texts in one order.  Sets of n and more with a similarity s share at least ceil(s * n)
-# shingles, so the first n - ceil(s * n) + 1 of each have one in common: those are a text's keys.  Any order gives
-# all pairs; shingles that are frequent in a sample come last, which makes runs of a key short.
+# Keys: a prefix filter.  Put the shingles of all texts in one order.  Sets of n and more with a similarity s share at
+# least ceil(s * n) shingles, so the first n - ceil(s * n) + 1 of each have one in common: those are a text's keys.
+# Any order gives all pairs; shingles that are frequent in a sample come last, which makes runs of a key short.
+#
+# Families: texts that meet at a key are compared by sketches.  Bit i of a sketch is the parity of the hashes that fall
+# on i, so two sketches differ in no more bits than the sets in shingles: no pair of the similarity is lost.  The
+# components of the pairs that are left are the families, and all pairs of the similarity lie within one.
+#
+# Verification: whole sets meet once, in their family, and only links of the similarity leave it.
 
 WIDE_SHINGLE = 5
 #: Jaccard similarity of the shingle sets from which two texts are near copies.
 SIMILARITY = 0.8
-#: Runs of a key up to this length give their pairs, to be verified later; longer ones are verified as they are searched.
-RUN_PAIRS = 32
+#: Runs of a key up to this length give their pairs; in longer ones the sketches meet.  Both are exact.
+RUN_PAIRS = 16
+#: Members of a run, and of a family, that meet in one task; larger ones are dealt into blocks.
+RUN_BLOCK, FAMILY_BLOCK = 4096, 128
 #: About so many documents are asked which shingles are frequent: in at least so many of them, so many at most.  Only
 #: the order of shingles depends on it, not the links.
 ORDER_DOCS, FREQUENT, MOST_FREQUENT = 16_000, 4, 1 << 16
+#: Tables of up to this size are broadcast to the texts; beyond it they join by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+PRINTS = "doc_id long, n int, keys array<long>, sketch binary"
 
 
 def shingle_hashes(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -230,7 +242,7 @@ def frequent_shingles(base: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefix_keys(hashes: np.ndarray, similarity: float, frequent: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
-    """The keys of a set of sorted hashes; ``by_hash`` sorts ``frequent``.  Sets without shingles meet at one key."""
+    """The keys of a set of sorted hashes, in order; ``by_hash`` sorts ``frequent``.  Sets without shingles meet at one key."""
     n = len(hashes)
     if not n:
         return np.zeros(1, np.uint64)
@@ -242,6 +254,36 @@ def prefix_keys(hashes: np.ndarray, similarity: float, frequent: np.ndarray, by_
     return np.concatenate([hashes[~late], hashes[late][np.argsort(at[late])]])[:size]
 
 
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the hashes by their low bits, in a power of two of bits that is at least twice their number."""
+    width = 64 << max(0, (max(1, 2 * len(hashes)) - 1).bit_length() - 6)
+    return np.packbits((np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_difference(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the wider one folded: no more than the shingles that one of the sets has alone."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a)
+    for bits in (4 * len(a) >> i for i in range((len(a) // len(b)).bit_length() - 1)):
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(b)).bit_count()
+
+
+def prints_of(base: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, n: number of shingles, keys, sketch) of a table (doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    by_hash = np.argsort(frequent)
+
+    def run(batches):
+        for b in slices(batches, 256, 8 << 20):
+            sets = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
+            keys = [prefix_keys(s, similarity, frequent, by_hash).view(np.int64) for s in sets]
+            yield batch_of(schema, b.column(0), [len(s) for s in sets], keys, [parity_sketch(s) for s in sets])
+
+    return base.select("doc_id", "text").mapInArrow(run, PRINTS)
+
+
 def _runs(batches, columns: int, solve):
     """What ``solve`` gives for whole runs of the first column; batches are sorted by it."""
     held: list[list] = []
@@ -262,20 +304,19 @@ def _runs(batches, columns: int, solve):
 
 
 def prefix_pairs(keys: DataFrame, similarity: float) -> DataFrame:
-    """(key, a, b, na, nb) of a table (key, rep, n): the pairs of a short run whose sizes n allow the similarity; the
-    members of a long run, each as an ``a`` without ``b``."""
+    """(key, a, b, na, nb) of a table (key, rep, n, at): the pairs of a short run whose sizes n allow the similarity; the
+    members of a long run, each as an ``a`` without ``b``, with its place ``at`` among the text's keys as ``nb``."""
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
 
     def solve(cols):
-        key, rep, n = (c.to_numpy(zero_copy_only=False) for c in cols)
+        key, rep, n, place = (c.to_numpy(zero_copy_only=False) for c in cols)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         of = np.repeat(sizes, sizes)
         to_end = np.repeat(starts + sizes, sizes) - np.arange(len(key))
         long = of > RUN_PAIRS
         if long.any():
-            nothing = pa.nulls(int(long.sum()), pa.int64())
-            yield batch_of(schema, key[long], rep[long], nothing, n[long], nothing.cast(pa.int32()))
+            yield batch_of(schema, key[long], rep[long], pa.nulls(int(long.sum()), pa.int64()), n[long], place[long])
         at = np.flatnonzero((to_end > 1) & ~long)
         gap = 1
         while len(at):
@@ -287,15 +328,62 @@ def prefix_pairs(keys: DataFrame, similarity: float) -> DataFrame:
             at = at[to_end[at] > gap]
 
     dealt = keys.repartition("key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(lambda batches: _runs(batches, 3, solve), "key long, a long, b long, na int, nb int")
+    return dealt.mapInArrow(lambda batches: _runs(batches, 4, solve), "key long, a long, b long, na int, nb int")
+
+
+def sketch_forest(cols: list, similarity: float) -> np.ndarray:
+    """The member from which each member (n, place of the key, sketch) of a run is reached over pairs that may have the
+    similarity (a first one: itself): their sizes, what can follow the key in both, and their sketches allow it.
 
+    Breadth first.  Sketches of one width are a matrix; of a pair, one is folded if its width is twice the other's,
+    and sizes that allow the similarity are never further apart.
+    """
+    n, place = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in cols[:2])
+    raw = cols[2].to_pylist()
+    width = np.array([len(x) for x in raw])
+    where, whole, folded = np.zeros(len(n), np.int64), {}, {}
+    for w in np.unique(width).tolist():
+        some = np.flatnonzero(width == w)
+        where[some] = np.arange(len(some))
+        whole[w] = np.frombuffer(b"".join([raw[i] for i in some.tolist()]), np.uint8).reshape(len(some), w)
+        folded[w] = whole[w][:, : w // 2] ^ whole[w][:, w // 2 :]
+    words = {w: {w: np.ascontiguousarray(x).view(np.uint64), w // 2: np.ascontiguousarray(folded[w]).view(np.uint64 if w > 8 else np.uint32)} for w, x in whole.items()}
+    rest = {w: np.flatnonzero(width == w) for w in whole}
+    parent = np.arange(len(n))
+    apart, shared = (1 - similarity) / (1 + similarity), similarity / (1 + similarity)
+    for first in range(len(n)):
+        if first not in rest[width[first]][:1]:
+            continue
+        rest[width[first]] = rest[width[first]][1:]
+        frontier = [first]
+        while frontier:
+            x = frontier.pop()
+            for w in (width[x] // 2, width[x], width[x] * 2):
+                if w not in rest or not len(rest[w]):
+                    continue
+                low = min(w, width[x])
+                at = rest[w]
+                total = n[at] + n[x]
+                near = np.minimum(n[at] - place[at], n[x] - place[x]) >= shared * total - 1e-9
+                near &= np.minimum(n[at], n[x]) >= similarity * np.maximum(n[at], n[x]) - 1e-9
+                differ = np.bitwise_count(words[w][low][where[at[near]]] ^ words[width[x]][low][where[x]]).sum(axis=1, dtype=np.int64)
+                near[near] = differ <= apart * total[near] + 1e-9
+                reached = at[near]
+                parent[reached] = x
+                frontier += reached.tolist()
+                rest[w] = at[~near]
+    return parent
 
-def run_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The member from which each member of a run is reached over links of the similarity (a first one: itself).
+
+def run_forest(cols: list, similarity: float) -> np.ndarray:
+    """The member from which each member (set of hashes) of a family is reached over links of the similarity (a first
+    one: itself).
 
     Breadth first; a set leaves the search only on a link that is verified, so the forest has exactly the components
     of all links of the run.  Shingles that many sets have are counted as bits, the others from lists of their sets.
     """
+    offsets, values = cols[0].offsets.to_numpy(), cols[0].values.to_numpy(zero_copy_only=False)
+    sets = [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
     m = len(sets)
     size = np.array([len(s) for s in sets])
     _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -327,86 +415,132 @@ def run_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return parent
 
 
-def run_links(members: DataFrame, similarity: float) -> DataFrame:
-    """Verified links (a, b) that span the components of each long run of a table (key, rep, had)."""
+def forests(cells: DataFrame, payload: list[str], forest) -> DataFrame:
+    """Links (a, b) of the members of a table (cell, member, *payload), a forest for each cell."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(cols):
-        key, rep = (c.to_numpy(zero_copy_only=False) for c in cols[:2])
-        offsets, values = cols[2].offsets.to_numpy(), cols[2].values.to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-            parent = run_forest([values[offsets[i] : offsets[i + 1]] for i in range(s, e)], similarity)
+        cell, member = (c.to_numpy(zero_copy_only=False) for c in cols[:2])
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])).tolist()
+        for s, e in zip(starts, [*starts[1:], len(cell)], strict=True):
+            parent = forest([c.slice(s, e - s) for c in cols[2:]])
             hung = np.flatnonzero(parent != np.arange(e - s))
             if len(hung):
-                yield batch_of(schema, rep[s + hung], rep[s + parent[hung]])
+                yield batch_of(schema, member[s + hung], member[s + parent[hung]])
 
-    dealt = members.select("key", "rep", "had").repartition("key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(lambda batches: _runs(batches, 3, solve), "a long, b long")
+    dealt = cells.select("cell", "member", *payload).repartition("cell").sortWithinPartitions("cell", "member")
+    return dealt.mapInArrow(lambda batches: _runs(batches, 2 + len(payload), solve), "a long, b long")
 
 
-def shingle_sets(base: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, had: hashes of shingles) of the texts of a table (doc_id, text) whose ids are in ``ends``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("had", pa.list_(pa.int64()))])
+def spanning_links(rows: DataFrame, payload: list[str], forest, block: int) -> DataFrame:
+    """Links (a, b) with the components of all links within the groups of a table (group, member, *payload).
+
+    A group of up to ``block`` members is one cell.  A larger one is dealt into blocks; then one member of each
+    component that a block found meets the others' ones; then those still outside the group's largest component
+    meet all of the group, block by block.  So a group of copies costs little more than its size, and every pair whose
+    ends aren't joined yet is compared.
+    """
+    large = stored(rows.groupBy("group").agg(F.count("*").alias("m")).where(F.col("m") > block), "near-large")
+    if not large.limit(1).count():
+        return forests(rows.withColumnRenamed("group", "cell"), payload, forest)
+    part = lambda n, seed=0: F.pmod(F.xxhash64("member", F.lit(seed)), F.ceil(F.col(n) / block))
+    dealt = rows.join(large, "group", "left").withColumn("cell", F.when(F.col("m").isNull(), F.col("group")).otherwise(F.xxhash64("group", part("m"))))
+    first = stored(forests(dealt, payload, forest), "near-first")
+    hot = stored(rows.join(large, "group"), "near-hot")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = connected_components(links).select(F.col("u").alias("member"), F.col("v").alias("label"))
+        return hot.select("group", "member", "m").join(found, "member", "left").withColumn("label", F.coalesce("label", "member"))
+
+    chiefs = labelled(first).groupBy("group", "label").agg(F.min("member").alias("member")).drop("label")
+    counted = chiefs.groupBy("group").agg(F.count("*").alias("c"))
+    chiefs = hot.join(chiefs, ["group", "member"]).join(counted, "group").withColumn("cell", F.xxhash64("group", part("c", 1)))
+    links = stored(first.unionByName(forests(chiefs, payload, forest)), "near-second")
+    named = stored(labelled(links), "near-named")
+    main = named.groupBy("group", "label").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    outside = stored(named.join(main, "group").where("label <> main").select("group", "member").distinct(), "near-outside")
+    if not outside.limit(1).count():
+        return links
+    counted = outside.groupBy("group").agg(F.count("*").alias("c"))
+    every = hot.join(counted, "group")
+    rest = every.join(outside, ["group", "member"], "left_semi")
+    steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / block) - 1))
+    columns = ["group", "member", *payload, "i", "j"]
+    cells = rest.withColumn("i", part("c", 2)).withColumn("j", steps("m")).select(columns).unionByName(every.withColumn("j", part("m", 3)).withColumn("i", steps("c")).select(columns))
+    return links.unionByName(forests(cells.withColumn("cell", F.xxhash64("group", "i", "j")), payload, forest))
+
+
+def shingle_sets(base: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(group, member, had: hashes of shingles) of the texts of a table (doc_id, text) in a table (group, member)."""
+    schema = pa.schema([("group", pa.int64()), ("member", pa.int64()), ("had", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in slices(batches, 1024, 8 << 20):
-            had = [shingle_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(had, pa.list_(pa.int64()))], schema=schema)
+            had = [shingle_hashes(t, shingle).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(had, pa.list_(pa.int64()))], schema=schema)
 
-    return base.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(run, "doc_id long, had array<long>")
+    if members.count() * 16 <= BROADCAST_BYTES:
+        members = F.broadcast(members)
+    texts = base.select(F.col("doc_id").alias("member"), "text").join(members, "member").select("group", "member", "text")
+    return texts.mapInArrow(run, "group long, member long, had array<long>")
 
 
-def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets in a table (doc_id, had) have the Jaccard similarity, two empty sets included."""
-    both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("had").alias("sa")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("had").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    whole = F.size("sa") + F.size("sb") - common
-    return both.where(common >= F.lit(similarity) * whole - 1e-9).select("a", "b").distinct()
+def sketches_allow(links: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of a table (a, b, na, nb) whose sketches allow the similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    apart = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for batch in slices(batches, 4096, 16 << 20):
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [i for i in range(len(a)) if sketch_difference(x[i], y[i]) <= apart * (na[i] + nb[i]) + 1e-9]
+            if keep:
+                yield batch_of(schema, [a[i] for i in keep], [b[i] for i in keep])
+
+    both = links.join(prints.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a")
+    both = both.join(prints.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, tkey, component_id (smallest doc_id among near copies, itself included).
+    """One row per document: doc_id, tkey (SHA-256 of the text), component_id (smallest doc_id among near copies, itself
+    included).
 
     Near copies share five-word shingles at a Jaccard similarity of 0.8 or more.  All such pairs meet at a key of the
-    prefix filter, whatever their sizes, and every link is verified on the whole sets.  Equal texts meet before, so
-    the rows of a key have different texts.  Texts without words are one group.
+    prefix filter and lie within a family, whatever their sizes, and every link is verified on the whole sets.  Equal
+    texts meet before, so the rows of a key have different texts.  Texts without words are one group.  Texts of one
+    doc_id are one document; those whose doc_ids are all null have no links.  Components take 60 rounds at most, each
+    of which halves long paths; beyond that an error is raised.
     """
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int32())])
-    base = id_and_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
+    base = id_and_text(docs, id_col, text_col).withColumn("tkey", F.unhex(F.sha2("text", 256)))
     ids = stored(base.select("doc_id", "tkey"), "near-ids")
     reps = stored(ids.groupBy("tkey").agg(F.min("doc_id").alias("rep")), "near-reps")
     again = stored(ids.join(reps, "tkey").where("not (doc_id <=> rep) or rep is null").select("doc_id", "tkey").distinct(), "near-again")
-    chief = base.alias("x").join(again.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tkey") == F.col("y.tkey")), "left_anti")
-    frequent = frequent_shingles(chief, shingle)
-    by_hash = np.argsort(frequent)
-
-    def run(batches):
-        for b in slices(batches, 256, 8 << 20):
-            sets = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
-            keys = [prefix_keys(s, similarity, frequent, by_hash) for s in sets]
-            counts = [len(k) for k in keys]
-            rep, n = b.column(0).to_numpy(zero_copy_only=False), np.array([len(s) for s in sets], np.int32)
-            yield batch_of(schema, np.concatenate(keys).view(np.int64), np.repeat(rep, counts), np.repeat(n, counts))
-
-    keys = chief.select("doc_id", "text").mapInArrow(run, "key long, rep long, n int")
+    hint = F.broadcast if again.count() * 40 <= BROADCAST_BYTES else lambda x: x
+    chief = base.alias("x").join(hint(again).alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tkey") == F.col("y.tkey")), "left_anti")
+    prints = stored(prints_of(chief, shingle, similarity, frequent_shingles(chief, shingle)), "near-prints")
+    keys = prints.select(F.col("doc_id").alias("rep"), "n", F.posexplode("keys").alias("at", "key")).select("key", "rep", "n", "at")
     met = stored(prefix_pairs(keys, similarity), "near-met")
-    long = met.where("b is null").select("key", F.col("a").alias("rep"))
+    long = met.where("b is null").select(F.col("key").alias("group"), F.col("a").alias("member"), F.col("na").alias("n"), F.col("nb").alias("place"))
     # Of two texts, x with the lesser last key: shingles in common are keys of both, or among x's others.  So a pair
     # needs this many common keys; those in long runs are at most the fewer of the two texts' keys there.
     common = met.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    in_long = stored(long.groupBy("rep").agg(F.count("*").alias("k")), "near-long")
+    in_long = stored(long.groupBy("member").agg(F.count("*").alias("k")), "near-long")
     for end, k in (("a", "ka"), ("b", "kb")):
-        common = common.join(in_long.select(F.col("rep").alias(end), F.col("k").alias(k)), end, "left")
+        common = common.join(in_long.select(F.col("member").alias(end), F.col("k").alias(k)), end, "left")
     enough = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb"))
     others = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) - 1
     met_at = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
-    links = stored(common.where(met_at + others >= enough - 1e-9).select("a", "b").distinct(), "near-candidates")
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).union(in_long.select(F.col("rep").alias("doc_id"))).distinct()
-    sets = stored(shingle_sets(chief, ends, shingle), "near-sets")
-    members = long.distinct().join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    found = connected_components(alike(links, sets, similarity).unionByName(run_links(members, similarity)))
+    short = stored(common.where(met_at + others >= enough - 1e-9).select("a", "b", "na", "nb"), "near-short")
+    held = long.join(prints.select(F.col("doc_id").alias("member"), "sketch"), "member").select("group", "member", "n", "place", "sketch")
+    maybe = sketches_allow(short, prints, similarity).unionByName(spanning_links(held, ["n", "place", "sketch"], lambda cols: sketch_forest(cols, similarity), RUN_BLOCK))
+    families = connected_components(maybe)
+    for no_longer_read in (prints, met, in_long, short):
+        discard(no_longer_read)
+    members = stored(families.select(F.col("v").alias("group"), F.col("u").alias("member")).unionByName(families.select(F.col("v").alias("group"), F.col("v").alias("member")).distinct()), "near-families")
+    sets = stored(shingle_sets(chief, members, shingle), "near-sets")
+    found = connected_components(spanning_links(sets, ["had"], lambda cols: run_forest(cols, similarity), FAMILY_BLOCK))
+    discard(sets)
     found = found.select(F.col("u").alias("rep"), "v")
     classes = reps.join(found, "rep", "left").select("tkey", F.coalesce("v", "rep").alias("component_id"))
     return ids.join(classes, "tkey", "left").select("doc_id", "tkey", "component_id")

@@ -402,8 +402,8 @@ def test_op7_links_are_complete(spark, pairwise):
 
 def test_op7_near_copies(spark, docs, empty):
     found = simhash.near_dedup(docs).collect()
-    by = {(r.doc_id, r.tkey): r.component_id for r in found}
-    assert len(found) == len(ROWS)
+    by = {(r.doc_id, bytes(r.tkey)): r.component_id for r in found}
+    assert len(found) == len(ROWS) and {k for _, k in by} == {hashlib.sha256(text(t).encode()).digest() for _, t in ROWS}
     assert {v for (d, _), v in by.items() if d is not None and 70 <= d < 76} == {70}
     assert all(v == d for (d, _), v in by.items() if d is not None and 10 <= d < 35 and d != 14 and len(dict(ROWS)[d].split()) > 20 and dict(ROWS)[d] != ROWS[12][1])
     assert simhash.near_dedup(empty).count() == 0
@@ -474,6 +474,42 @@ def test_op7_near_copies_in_a_long_run(spark):
     assert found_near(spark, rows) == want and 300 < len(set(want.values())) < 380
 
 
+def template(seed, n=600):
+    """Texts of one template of 80 words with three slots, some cut short."""
+    r = random.Random(seed)
+    fixed = [f"t{i}" for i in range(80)]
+    slots = [[f"s{j}x{k}" for k in range(12)] for j in range(3)]
+    rows = []
+    for d in range(n):
+        words = list(fixed)
+        for j, at in enumerate((10, 37, 64)):
+            words[at] = r.choice(slots[j])
+        rows.append((d, " ".join(words[: r.choice((80, 80, 74, 66))])))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "run_block", "family_block"), [(1, 4096, 128), (2, 4096, 4096), (3, 64, 16), (4, 40, 7)])
+def test_op7_near_copies_of_a_template(spark, monkeypatch, seed, run_block, family_block):
+    """Groups in one cell, and dealt into blocks; every link is found, whatever the blocks."""
+    monkeypatch.setattr(simhash, "RUN_BLOCK", run_block)
+    monkeypatch.setattr(simhash, "FAMILY_BLOCK", family_block)
+    rows = template(seed) + [(1000 + d, t) for d, t in near_copies("star", seed, 150)] + [(2000 + d, t) for d, t in near_copies("chain", seed, 100)]
+    seen: dict = {}
+    for d, t in rows:
+        seen.setdefault(t, d)
+    want = brute_near([(d, t) for t, d in seen.items()])
+    assert found_near(spark, rows) == {d: want[seen[t]] for d, t in rows} and len(set(want.values())) > 3
+
+
+def test_op7_sketches_never_lose_a_pair():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        n, more, less = (int(x) for x in r.integers(0, 400, 3))
+        base = r.integers(0, 1 << 63, n + more + less, dtype=np.uint64)
+        a, b = np.unique(base[: n + more]), np.unique(np.concatenate([base[:n], base[n + more :]]))
+        assert simhash.sketch_difference(simhash.parity_sketch(a), simhash.parity_sketch(b)) <= len(np.setxor1d(a, b))
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.u: r.v for r in components.connected_components(links).collect()}
