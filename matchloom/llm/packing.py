@@ -15,12 +15,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batch_of, id_and_text, slices, stored
+from .common import batch_of, discard, filesystem, id_and_text, shared_dir, slices, stored
 
 SEQUENCE = 2048
 DIMS, BITS, BUCKETS, SEED = 3, 12, 1 << 16, 7
@@ -81,47 +82,37 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
     little-endian unsigned 32-bit integers), doc_tokens, sequence_id, offset and, with ``with_ids``, ids
     (little-endian, the tokenizer's width).
 
-    Texts are tokenised once; one shuffle sorts the ids by key; the only figures that meet on the
-    driver are one total per partition.
+    Texts are tokenised once and their ids are written once.  Only (key, doc_id, n) and where the ids were written are
+    sorted along the curve; the positions go back to a file for each file of ids, which the last pass reads beside it.
+    Nothing is gathered on the driver.
     """
     tokenizer = tokenizer or tokens.default_path()
-    keyed = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    width = tokens.encoder(tokenizer).dtype.itemsize
+    keyed = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("ids", pa.binary())])
 
     def tokenise(batches):
         table, enc = projection(dims), tokens.encoder(tokenizer)
+        part, row = TaskContext.get().partitionId(), 0
         for b in slices(batches):
             raw = enc.encode(b.column(1).to_pylist())
             ids = [np.frombuffer(x, enc.dtype) for x in raw]
-            yield batch_of(keyed, curve_keys(ids, table, bits), b.column(0), [len(x) for x in ids], raw)
-
-    encoded = stored(id_and_text(docs, id_col, text_col).mapInArrow(tokenise, "key long, doc_id long, n long, ids binary"), "pack-ids")
+            yield batch_of(keyed, curve_keys(ids, table, bits), b.column(0), [len(x) for x in ids], [part] * len(ids), range(row, row + len(ids)), raw)
+            row += len(ids)
 
-    placed = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-
-    def place(batches):
-        part, at = TaskContext.get().partitionId(), 0
-        for b in slices(batches, 4096, 32 << 20):
-            n = np.array(b.column(2).to_pylist(), np.int64)
-            before = at + np.cumsum(n) - n
-            at = int(before[-1] + n[-1])
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), b.column(1), pa.array(before), b.column(2), b.column(3)], schema=placed)
-
-    along = encoded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    line = stored(along.mapInArrow(place, "part int, doc_id long, local long, n long, ids binary"), "pack-line")
-    totals = sorted((r.part, r.n) for r in line.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row per partition
-    bases, at = {}, 0
-    for part, n in totals:
-        bases[part], at = at, at + n
-    width = tokens.encoder(tokenizer).dtype.itemsize
+    encoded = stored(id_and_text(docs, id_col, text_col).mapInArrow(tokenise, "key long, doc_id long, n long, part int, row long, ids binary"), "pack-ids")
+    at = written_positions(encoded)
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), *[("ids", pa.binary())] * with_ids])
 
     def cut(batches):
+        held: dict[int, np.ndarray] = {}
         for b in slices(batches):
             rows = []
-            for part, doc, local, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at, start = bases[part] + local, 0
+            for doc, n, part, row, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part not in held:
+                    held = {part: read_positions(at, part)}
+                place, start = int(held[part][row]), 0
                 while start < n:
-                    seq, off = divmod(at + start, sequence)
+                    seq, off = divmod(place + start, sequence)
                     length = min(sequence - off, n - start)
                     piece = ids[start * width : (start + length) * width]
                     crc = zlib.crc32(np.frombuffer(piece, f"<u{width}").astype("<u4"))
@@ -130,4 +121,38 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
             if rows:
                 yield batch_of(out, *zip(*rows, strict=True))
 
-    return line.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return encoded.select("doc_id", "n", "part", "row", "ids").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+
+
+def written_positions(encoded: DataFrame) -> str:
+    """The folder of files (row, at), one for each ``part`` of a table (key, doc_id, n, part, row): the ids before each
+    row's along the curve."""
+    placed = pa.schema([("slot", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("local", pa.int64()), ("n", pa.int64())])
+
+    def place(batches):
+        slot, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(2).to_numpy(zero_copy_only=False)
+            before = at + np.cumsum(n) - n
+            at = int(before[-1] + n[-1])
+            yield batch_of(placed, np.full(len(n), slot), b.column(3), b.column(4), before, b.column(2))
+
+    order = ["key", "doc_id", "part", "row"]
+    along = encoded.select("key", "doc_id", "n", "part", "row").repartitionByRange(*order).sortWithinPartitions(*order)
+    line = stored(along.mapInArrow(place, "slot int, part int, row long, local long, n long"), "pack-line")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = line.groupBy("slot").agg(F.sum("n").alias("n")).select("slot", before.alias("base"))  # a row for each task
+    at = line.join(bases, "slot").select("part", "row", (F.col("base") + F.col("local")).alias("at"))
+    path = shared_dir(encoded.sparkSession, "pack-at")
+    at.repartition("part").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(path)
+    discard(line)
+    return path
+
+
+def read_positions(path: str, part: int) -> np.ndarray:
+    """The positions of a part's rows, by row."""
+    files, root = filesystem(path)
+    got = dataset.dataset(f"{root}/part={part}", filesystem=files, format="parquet").to_table(["row", "at"])
+    out = np.zeros(got.num_rows, np.int64)
+    out[got["row"].to_numpy()] = got["at"].to_numpy()
+    return out
