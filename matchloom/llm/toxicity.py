@@ -10,8 +10,9 @@ landmarks are words that stand in toxic rows far more often than in clean ones;
 largest kernel values per landmark above ``FLOOR``, mapped by K_LL^(-1/2); a linear SVM with hinge loss is
 fitted to the labels, and its margins are calibrated to probabilities by logistic regression.
 
-Scoring reads whole texts: every word is weighed, and one is passed over only if the part of its features
-that any landmark has (``NEAR``) is too small.  Labels, lang, source and doc_id are no inputs.  Null
+Scoring reads whole texts: every word is weighed, one of over ``LONGEST`` letters by its words between signs and, at
+every letter, by windows as long as the landmarks, so that an insult isn't diluted by what it stands in.  A word is
+passed over only if the part of its features that any landmark has (``NEAR``) is too small.  Labels, lang, source and doc_id are no inputs.  Null
 and empty texts, and all texts if there is no label of each kind, score the calibrated value of no match.
 Repeated rows score alike; null labels are left out; an empty table gives no rows; extra columns are not read.
 """
@@ -45,6 +46,9 @@ _FOLD = str.maketrans(LOOKALIKES)
 _SPELLED = re.compile(r"(?<!\S)(?:[a-z][ .\-_*]){3,}[a-z](?!\S)")
 _PLAIN = re.compile(r"[a-z]+")
 _OUT = re.compile(r"[^a-z]+")
+_SIGNS = re.compile(r"[^\w@$!]+|_+")
+#: Words of more characters are weighed by their parts.  Windows that are looked at together.
+LONGEST, WINDOWS = 24, 1 << 14
 
 
 def fold(word: str) -> str:
@@ -57,6 +61,13 @@ def fold(word: str) -> str:
     return _OUT.sub("", word)
 
 
+def parts(word: str) -> list[str]:
+    """The folded word; of one over ``LONGEST`` characters, its folded words between signs."""
+    if len(word) <= LONGEST:
+        return [fold(word)]
+    return sorted({fold(word), *map(fold, _SIGNS.split(word))} - {""})
+
+
 def words_of(text: str) -> set[str]:
     """Distinct lower-case words of a text as they stand, and spelled-out words put together."""
     low = text.lower()
@@ -105,7 +116,7 @@ class Kernel:
     """Kernel values of words against landmarks."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+        self.landmarks, self.sizes = landmarks, sorted({len(w) for w in landmarks if len(w) <= LONGEST})
         at, code, weight = features(landmarks)
         dense = np.zeros((len(landmarks), FEATURES), np.float32)
         np.add.at(dense, (at, code), weight)
@@ -119,10 +130,9 @@ class Kernel:
         self.older: dict[str, int] = {}
         self.rows: list[np.ndarray] = [np.zeros(len(landmarks), np.float32)]
 
-    def near(self, words: list[str]) -> np.ndarray:
-        """Which words have enough features of any landmark to be looked at."""
-        letters, sizes = _letters(words)
-        mass, hit = np.zeros(len(words)), np.zeros(len(words))
+    def near(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which words, as _letters() gives them, have enough features of any landmark to be looked at."""
+        mass, hit = np.zeros(len(letters)), np.zeros(len(letters))
         for shape, w, codes in _codes(letters):
             mass += w * w * np.maximum(sizes - shape[-1], 0)
             hit += w * w * np.count_nonzero(self.place[codes] >= 0, axis=1)
@@ -153,6 +163,31 @@ class Kernel:
             out[a[starts]] = np.add.reduceat(self.dense[p] * t[:, None], starts, axis=0)
         return out / norm[:, None]
 
+    def above(self, words: list[str]) -> np.ndarray:
+        """Kernel values above the floor, scaled to 0..1, of folded words."""
+        return np.maximum(self.values(words) - FLOOR, 0) / (1 - FLOOR)
+
+    def long_row(self, word: str) -> np.ndarray:
+        """The largest scaled values of a long word: of its words between signs, and of windows at every letter."""
+        best = self.rows[0].copy()
+        pieces = parts(word)
+        for short in (x for x in pieces if len(x) <= LONGEST):
+            best = np.maximum(best, self.above([short])[0])
+        whole = fold(word)
+        if len(whole) <= LONGEST:
+            return best
+        flat = np.frombuffer(whole.encode(), np.uint8).astype(np.int32) - 96
+        for size in self.sizes:
+            windows = np.lib.stride_tricks.sliding_window_view(flat, size)
+            for at in range(0, len(windows), WINDOWS):
+                some = windows[at : at + WINDOWS]
+                letters = np.zeros((len(some), size + 5), np.int32)
+                letters[:, 0], letters[:, 1 : size + 1] = 27, some
+                hit = at + np.flatnonzero(self.near(letters, np.full(len(some), size + 1)))
+                for k in range(0, len(hit), 4096):
+                    best = np.maximum(best, self.above([whole[i : i + size] for i in hit[k : k + 4096].tolist()]).max(axis=0))
+        return best
+
     def row(self, texts: list[str]) -> np.ndarray:
         """(texts, landmarks): largest kernel value above the floor, scaled to 0..1."""
         if len(self.known) > CACHE_WORDS:  # words not met since the last time go
@@ -160,18 +195,22 @@ class Kernel:
             if len(self.rows) > CACHE_WORDS // 4:
                 self.older = {}
                 del self.rows[1:]
-        sets = [words_of(t) for t in texts]
+        sets, long = [words_of(t) for t in texts], {}
+        for k, some in enumerate(sets):
+            if many := [w for w in some if len(w) > LONGEST]:  # these aren't kept from text to text
+                some.difference_update(many)
+                long[k] = np.max([self.long_row(w) for w in many], axis=0)
         new = {w for s in sets for w in s if w not in self.known}
         met = [w for w in new if w in self.older]
         self.known.update((w, self.older[w]) for w in met)
         new.difference_update(met)
-        folded = sorted(((fold(w)[:64], w) for w in new), key=lambda x: len(x[0]))
+        folded = sorted(((fold(w), w) for w in new), key=lambda x: len(x[0]))
         self.known.update(dict.fromkeys(new, 0))
         for i in range(0, len(folded), 4096):
             some = folded[i : i + 4096]
-            near = [some[j] for j in np.flatnonzero(self.near([f for f, _ in some])).tolist()]
+            near = [some[j] for j in np.flatnonzero(self.near(*_letters([f for f, _ in some]))).tolist()]
             if near:
-                above = np.maximum(self.values([f for f, _ in near]) - FLOOR, 0) / (1 - FLOOR)
+                above = self.above([f for f, _ in near])
                 for j in np.flatnonzero(above.any(axis=1)).tolist():
                     self.known[near[j][1]] = len(self.rows)
                     self.rows.append(above[j])
@@ -179,6 +218,8 @@ class Kernel:
         for k, s in enumerate(sets):
             if near := {self.known[w] for w in s} - {0}:
                 out[k] = np.max([self.rows[i] for i in near], axis=0)
+            if k in long:
+                out[k] = np.maximum(out[k], long[k])
         return out
 
 
@@ -210,7 +251,7 @@ def pick_landmarks(rows: DataFrame, landmarks: int) -> list[str]:
         for b in slices(batches):
             seen: dict[str, list[int]] = {}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in {fold(w)[:64] for w in words_of(text)}:
+                for w in {part for w in words_of(text) for part in parts(w)}:
                     if len(w) >= 3:
                         seen.setdefault(w, [0, 0])[0 if y else 1] += 1
             if seen:

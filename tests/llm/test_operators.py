@@ -330,6 +330,31 @@ def test_op6_held_out(spark):
     assert {x.predicted for x in toxicity.score(docs, nothing).collect()} == {0}
 
 
+def test_op6_long_words_are_weighed_by_their_parts():
+    kernel = toxicity.Kernel(["scoundrel"])
+    letters = "".join(random.Random(3).choice("bcdfghjkmpqtvwxz") for _ in range(500))
+    alone, *joined, none = kernel.row(["scoundrel", "-".join([*["window"] * 14, "scoundrel", "garden"]), ",".join(["table"] * 60 + ["sc0undrel"]), letters + "scoundrel" + letters, letters])
+    assert alone[0] > 0.99 and all(abs(row[0] - alone[0]) < 1e-5 for row in joined) and not none.any()
+
+
+def test_op6_insults_in_long_runs_clashing_columns_and_empty_tables(spark):
+    r, words = random.Random(12), vocabulary()
+    rows = [(i, " ".join([*(r.choice(words) for _ in range(20)), *["blortwit"] * (i % 4 == 0)])) for i in range(400)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, marks)
+    filler = "".join(r.choice("cdfghjkmnpqsvwxz") for _ in range(200))
+    asked = [filler, f"{filler}blortwit", f"{filler}-blortwit", f"{filler}blortwit{filler}", "x" * (1 << 20), "", None]
+    clash = spark.createDataFrame([(i, t, 1, 0.5, 7, "x") for i, t in enumerate(asked)], "doc_id long, text string, predicted int, score double, tkey long, rows string")
+    got = {x.doc_id: x.predicted for x in toxicity.score(clash, model).collect()}
+    assert [got[i] for i in range(len(asked))] == [0, 1, 1, 1, 0, 0, 0]
+    kept = toxicity.clean(clash, model)
+    assert kept.columns == clash.columns and {x.doc_id for x in kept.collect()} == {0, 4, 5, 6}
+    none = clash.where("doc_id < 0")
+    assert toxicity.score(none, model).count() == toxicity.clean(none, model).count() == 0
+    assert {x.predicted for x in toxicity.score(docs, toxicity.train(none, marks)).collect()} == {0}
+
+
 def test_op6_kernel_is_the_gapped_sum():
     def brute(a, b):
         def phi(w):
