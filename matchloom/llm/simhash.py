@@ -201,7 +201,7 @@ SIMILARITY = 0.8
 #: Runs of a key up to this length give their pairs; in longer ones the sketches meet.  Both are exact.
 RUN_PAIRS = 16
 #: Members of a run, and of a family, that meet in one task; larger ones are dealt into blocks.
-RUN_BLOCK, FAMILY_BLOCK = 4096, 128
+RUN_BLOCK, FAMILY_BLOCK = 512, 128
 #: About so many documents are asked which shingles are frequent: in at least so many of them, so many at most.  Only
 #: the order of shingles depends on it, not the links.
 ORDER_DOCS, FREQUENT, MOST_FREQUENT = 16_000, 4, 1 << 16
