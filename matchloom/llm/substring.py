@@ -14,9 +14,10 @@ a shuffle in place of a broadcast, as their volume grows with the corpus:
     smallest of its class the whole segment goes.
 3.  The classes of an anchor are its reference shard.  In ascending order of document, each class is
     streamed past a suffix automaton of those before it; the matching statistics at or above ``window``
-    give the spans, then the class joins the automaton.
-4.  An anchor with over ``hot`` classes would be one large task; its segments are cut into single windows,
-    whose classes need no automaton.  This is exact as well.
+    give the spans, then the class joins the automaton.  A shard of over ``part`` classes is dealt into parts, and
+    each two parts are a shard of their own, in a task of their own: any two classes meet in one of them.
+4.  Parts of an anchor with over ``hot`` classes would cost more than its windows; its segments are cut into single
+    windows, whose classes need no automaton.  This is exact as well.
 
 Null texts count as empty (no words).  Repeats within a document don't count, nor do those between rows
 of one doc_id.  A null doc_id is neither smaller nor larger: such rows lose nothing and remove nothing.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, id_and_text, slices, stored
 
-WINDOW, GRAM, HOT = 50, 8, 5000
+WINDOW, GRAM, HOT, PART = 50, 8, 5000, 400
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _INVERSE = tuple(np.uint64(pow(int(c), -1, 1 << 64)) for c in _ODD)
@@ -176,7 +177,7 @@ def _single_windows(batches, window: int):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(k, doc), np.full(k, tkey), h1, h1, h2, starts.astype(np.int32), np.full(k, window, np.int32))], schema=_ANCHORS)
 
 
-def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, part: int = PART) -> DataFrame:
     """(doc_id, tkey, spans: word ranges to remove) of the documents (doc_id, text, tkey) that lose any."""
     every = stored(anchors(docs, window, gram), "substring-anchors")
     shared = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
@@ -189,30 +190,36 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     shards = stored(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "substring-shards")
 
     def with_text(parts: DataFrame) -> DataFrame:
-        lists = parts.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("h", "c1", "c2", "s0", "n")).alias("parts"))
+        fields = [c for c in parts.columns if c not in ("doc_id", "tkey")]
+        lists = parts.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct(*fields)).alias("parts"))
         return docs.join(lists, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "parts")
 
     # one occurrence of each class of a shard, in the smallest document that has it
     home = rows.join(classes.select("h", "c1", "c2", F.col("first").alias("doc_id")), ["h", "c1", "c2", "doc_id"]).join(shards, "h")
     home = home.groupBy("h", "c1", "c2", "doc_id", "n", "k").agg(F.min(F.struct("tkey", "s0")).alias("at"))
     home = stored(home.select("h", "c1", "c2", "doc_id", "at.tkey", "at.s0", "n", "k"), "substring-homes")
-    cold, heated = home.where(F.col("k") <= hot).drop("k"), home.where(F.col("k") > hot).drop("k")
-    cut = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("words", pa.binary())])
+    cold, heated = home.where(F.col("k") <= hot), home.where(F.col("k") > hot).drop("k")
+    n = F.ceil(F.col("k") / part)
+    own = F.pmod(F.xxhash64("c1", "c2"), n)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: j != own)
+    cells = F.when(n == 1, F.array("h")).otherwise(F.transform(others, lambda j: F.xxhash64("h", F.least(j, own), F.greatest(j, own))))
+    cold = cold.withColumn("cells", cells).drop("k")
+    cut = pa.schema([("cell", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("words", pa.binary())])
 
     def cut_out(batches):
         for b in slices(batches):
             for doc, _, text, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = words_of(text)
-                yield batch_of(cut, *zip(*((p["h"], doc, p["c1"], p["c2"], b" ".join(words[p["s0"] : p["s0"] + p["n"]])) for p in parts), strict=True))
+                yield batch_of(cut, *zip(*((c, p["h"], doc, p["c1"], p["c2"], b" ".join(words[p["s0"] : p["s0"] + p["n"]])) for p in parts for c in p["cells"]), strict=True))
 
     spans = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def stream(batches):
         shard, doc, waiting, machine, out = None, None, [], SuffixAutomaton(), []
         for b in batches:
-            for h, d, c1, c2, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if h != shard:
-                    shard, doc, waiting, machine = h, d, [], SuffixAutomaton()
+            for cell, h, d, c1, c2, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if cell != shard:
+                    shard, doc, waiting, machine = cell, d, [], SuffixAutomaton()
                 elif d != doc:
                     for text in waiting:
                         machine.add(text)
@@ -225,8 +232,9 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                 yield batch_of(spans, *zip(*out, strict=True))
                 out = []
 
-    lines = with_text(cold).mapInArrow(cut_out, "h long, doc_id long, c1 long, c2 long, words binary")
-    matched = lines.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(stream, "h long, c1 long, c2 long, spans array<struct<a:int,b:int>>")
+    lines = with_text(cold).mapInArrow(cut_out, "cell long, h long, doc_id long, c1 long, c2 long, words binary")
+    matched = lines.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(stream, "h long, c1 long, c2 long, spans array<struct<a:int,b:int>>")
+    matched = matched.groupBy("h", "c1", "c2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     # stored, so that both sides of the next join are dealt anew and hot classes can be split
     facts = stored(classes.drop("n").join(matched, ["h", "c1", "c2"], "left"), "substring-facts")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
@@ -241,11 +249,11 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     return lost.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, part: int = PART, texts: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept (the words
     that stay, joined by a space)."""
     base = id_and_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
-    lost = removal_spans(base, window, gram, hot)
+    lost = removal_spans(base, window, gram, hot, part)
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *[("kept", pa.string())] * texts])
 
     def drop(batches):
