@@ -54,13 +54,33 @@ class CountingQuotientFilter:
         return ((quotients << np.uint64(self.r_bits)) | self.remainders) if self.r_bits < 64 else self.remainders.astype(np.uint64)
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        """The filter of both inputs: runs of equal quotients merge by sorted remainders, counts add."""
-        prints = np.concatenate([self.prints(), other.prints()])
-        order = np.argsort(prints, kind="stable")
-        prints, counts = prints[order], np.concatenate([self.counts, other.counts])[order]
-        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
+        """The filter of both inputs: the sorted remainders of a run are merged, and counts of equal ones add.
+
+        An entry's place is its own rank and the number of the other's entries before it, so nothing is sorted: runs
+        that one side has alone move as they are, and within the others each remainder finds its place by bisection.
+        """
+        ahead = self._before(other)
+        mine = np.arange(len(self.remainders)) + ahead
+        theirs = np.ones(len(self.remainders) + len(other.remainders), bool)
+        theirs[mine] = False
+        remainders, counts = np.empty(len(theirs), "<u8"), np.empty(len(theirs), "<i8")
+        runs = np.empty(len(theirs), np.int64)
+        for at, x in ((mine, self), (np.flatnonzero(theirs), other)):
+            remainders[at], counts[at], runs[at] = x.remainders, x.counts, np.repeat(np.arange(len(x.runs)), x.runs)
+        first = np.flatnonzero(np.concatenate([[True], (remainders[1:] != remainders[:-1]) | (runs[1:] != runs[:-1])])) if len(runs) else np.zeros(0, np.int64)
         merged = np.add.reduceat(counts, first) if len(first) else counts
-        return CountingQuotientFilter.of(prints[first], merged, int(len(self.runs)).bit_length() - 1, self.r_bits)
+        return CountingQuotientFilter(self.r_bits, np.bincount(runs[first], minlength=len(self.runs)).astype("<u4"), remainders[first], merged.astype("<i8"))
+
+    def _before(self, other: CountingQuotientFilter) -> np.ndarray:
+        """For each entry, how many entries of the other filter stand before it: by bisection in its run."""
+        starts = np.cumsum(other.runs.astype(np.int64)) - other.runs
+        run = np.repeat(np.arange(len(self.runs)), self.runs)
+        low, high = starts[run], starts[run] + other.runs[run]
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            less = open_ & (other.remainders[np.minimum(middle, len(other.remainders) - 1)] < self.remainders)
+            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        return low
 
     def row(self, block: int) -> tuple:
         return block, self.runs.tobytes(), self.remainders.tobytes(), self.counts.tobytes()
