@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi.
 
 Texts are cut where no piece can reach across (before a space that follows another character, and at
-characters in no piece), and each distinct segment is encoded once per worker.  Segments of equal length
-advance together, end position by end position: hashes of all substrings that end there probe the
-sorted hashes of the pieces, and the maximum over the piece lengths, taken for all segments at once,
-stores a backpointer.
+characters in no piece), and each distinct segment is encoded once per worker.  Hashes of all substrings of
+a length probe the sorted hashes of the pieces.  Segments of equal length, or of a narrow band of lengths where
+they are long, then advance together, end position by end position: the maximum over the pieces that end there,
+taken for all segments at once, stores a backpointer.  Segments of any length go this way.
 
 For a unigram model the score of a path is the sum of its pieces' scores.  A BPE model's scores are merge
 ranks, and the path of the largest sum isn't what its merges give.  There the lattice is walked with
@@ -19,6 +19,7 @@ Repeated rows return a row each; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import claim, id_and_text, slices
 
-CACHE_SEGMENTS = 200_000
-#: Segments longer than this, rare in text, are walked one at a time.
-BATCHED_LENGTH = 48
+#: Segments, and characters of them, that a worker keeps.
+CACHE_SEGMENTS, CACHE_BYTES = 200_000, 16 << 20
+#: Segments, and characters of them, that advance together; one at least.
+BATCH_ROWS, BATCH_CHARS = 8192, 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNKNOWN = 1 << 30  # ids from here on: a character without a piece
 
@@ -133,6 +135,7 @@ class PieceEncoder:
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.pairs = PairTable(self._neighbours)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.dtype = np.dtype("<u2") if len(model.pieces) < 1 << 16 else np.dtype("<u4")
 
     @staticmethod
@@ -173,48 +176,62 @@ class PieceEncoder:
             out[ask] = self.pairs((last[ask] << 24) | piece[ask])
         return out
 
-    def walk(self, segments: list[str]) -> list[bytes]:
-        """Id buffers of segments of one length."""
-        m, n = len(segments), len(segments[0])
-        codes = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(m, n).astype(np.uint64)
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first edge of each end, then rows, lengths and pieces of all edges by end): the pieces that stand in rows of
+        character codes, found by the hashes of all substrings of one length at a time."""
+        m, n = codes.shape
+        ends, rows, sizes, pieces = [], [], [], []
         with np.errstate(over="ignore"):
+            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
+            # with exponents from the far end, prefix sums need no loop; each difference is brought back by its end
             prefix = np.zeros((n + 1, m), np.uint64)
-            power = np.ones(n + 1, np.uint64)
-            for j in range(n):
-                prefix[j + 1] = prefix[j] * _BASE + codes[:, j] + np.uint64(1)
-                power[j + 1] = power[j] * _BASE
-            best = np.full((n + 1, m), -np.inf)
-            best[0] = 0
-            last = np.full((n + 1, m), -1, np.int64)
-            back = np.zeros((n + 1, m), np.int16)
-            for j in range(1, n + 1):
-                single = np.zeros(m, bool)
-                for length in range(1, min(j, self.longest) + 1):
-                    i = j - length
-                    h = self._finish(prefix[j] - prefix[i] * power[length], length)
-                    rows = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-                    if not len(rows):
-                        continue
-                    at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
-                    hit = self.keys[at] == h[rows]
-                    rows, piece = rows[hit], self.ids[at[hit]]
-                    if length == 1:
-                        single[rows] = True
-                    if self.merges:
-                        ok = self._may_follow(last[i, rows], piece) & np.isfinite(best[i, rows])
-                        score = np.where(ok, 0.0, -np.inf)
-                    else:
-                        score = best[i, rows] + self.score[piece]
-                    up = score > best[j, rows]
-                    rows, piece = rows[up], piece[up]
-                    best[j, rows], last[j, rows], back[j, rows] = score[up], piece, length
-                lone = np.flatnonzero(~single)  # a character without a piece of its own
-                score = 0.0 if self.merges else best[j - 1, lone] + self.unknown_score
-                up = lone[score > best[j, lone]]
-                best[j, up] = best[j - 1, up] + (0.0 if self.merges else self.unknown_score)
-                last[j, up], back[j, up] = _UNKNOWN + codes[up, j - 1].astype(np.int64), 1
+            np.cumsum((codes.T + np.uint64(1)) * power[n - 1 :: -1][:n, None], axis=0, out=prefix[1:])
+            inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
+            for length in range(1, min(n, self.longest) + 1):
+                h = self._finish((prefix[length:] - prefix[:-length]) * inverse[n - np.arange(length, n + 1)][:, None], length)
+                end, row = np.nonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+                h = h[end, row]
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = self.keys[at] == h
+                ends.append(end[hit] + length)
+                rows.append(row[hit])
+                sizes.append(np.full(int(hit.sum()), length))
+                pieces.append(self.ids[at[hit]])
+        end, row, size, piece = map(np.concatenate, (ends, rows, sizes, pieces))
+        order = np.argsort(end, kind="stable")
+        return np.searchsorted(end[order], np.arange(n + 2)), row[order], size[order], piece[order]
+
+    def walk(self, segments: list[str]) -> list[bytes]:
+        """Id buffers of segments, which advance together, end by end; shorter ones are filled up and stop at their own end."""
+        m, sizes = len(segments), np.fromiter(map(len, segments), np.int64, len(segments))
+        n = int(sizes.max())
+        codes = np.frombuffer("".join(x.ljust(n, "\0") for x in segments).encode("utf-32-le"), "<u4").reshape(m, n).astype(np.uint64)
+        first, row, size, piece = self.edges(codes)
+        best = np.full((n + 1, m), -np.inf)
+        best[0] = 0
+        last = np.full((n + 1, m), -1, np.int64)
+        back = np.zeros((n + 1, m), np.int16)
+        for j in range(1, n + 1):
+            some = slice(first[j], first[j + 1])
+            r, length, p = row[some], size[some], piece[some]
+            single = np.zeros(m, bool)
+            single[r[length == 1]] = True
+            if self.merges:
+                ok = self._may_follow(last[j - length, r], p) & np.isfinite(best[j - length, r])
+                score = np.where(ok, 0.0, -np.inf)
+            else:
+                score = best[j - length, r] + self.score[p]
+            order = np.lexsort((-length, score, r))  # of a row's edges, the best, and of equal ones the shortest
+            order = order[np.append(r[order][1:] != r[order][:-1], True)] if len(order) else order
+            order = order[np.isfinite(score[order])]
+            best[j, r[order]], last[j, r[order]], back[j, r[order]] = score[order], p[order], length[order]
+            lone = np.flatnonzero(~single)  # a character without a piece of its own
+            score = best[j - 1, lone] + (0.0 if self.merges else self.unknown_score)
+            up = lone[score > best[j, lone]]
+            best[j, up] = best[j - 1, up] + (0.0 if self.merges else self.unknown_score)
+            last[j, up], back[j, up] = _UNKNOWN + codes[up, j - 1].astype(np.int64), 1
         # backpointers give each segment's pieces from its end; a stable sort by segment turns them round
-        at, live = np.full(m, n), np.arange(m)
+        at, live = sizes.copy(), np.arange(m)
         rows, ids = [], []
         while len(live):
             rows.append(live)
@@ -229,33 +246,6 @@ class PieceEncoder:
         raw, ends = ids.astype(self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
         return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
-    def walk_one(self, text: str) -> list[int]:
-        """Ids of one segment by the same walk, for long segments."""
-        n = len(text)
-        best, last, back = [0.0] + [-np.inf] * n, [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for length in range(1, min(j, self.longest) + 1):
-                piece = self.id_of.get(text[j - length : j])
-                if piece is None or text[j - length : j] not in self.usable:
-                    continue
-                before = last[j - length]
-                if not self.merges:
-                    score = best[j - length] + self.score[piece]
-                elif before < 0 or before >= _UNKNOWN or self.pairs(np.array([(before << 24) | piece]))[0]:
-                    score = best[j - length]
-                else:
-                    continue
-                if score > best[j]:
-                    best[j], last[j], back[j] = score, piece, length
-            score = best[j - 1] + (0.0 if self.merges else self.unknown_score)
-            if text[j - 1] not in self.usable and score > best[j]:
-                best[j], last[j], back[j] = score, _UNKNOWN + ord(text[j - 1]), 1
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= back[j]
-        return out[::-1]
-
     def _raw(self, ids: list[int]) -> bytes:
         if max(ids) >= _UNKNOWN:
             ids = [y for x in ids for y in ([x] if x < _UNKNOWN else (self.byte_id[b] for b in chr(x - _UNKNOWN).encode("utf-8", "replace")))]
@@ -263,22 +253,22 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian id buffers of texts."""
-        if len(self.known) > CACHE_SEGMENTS:
+        if len(self.known) > CACHE_SEGMENTS or self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         cut = re.compile(r"\n| *[^ \n]+| +").findall
         lines = [cut((" " if self.prefix and t else "") + t.replace("▁", " ")) for t in texts]
         known = self.known
-        new = {w for line in lines for w in line if w not in known}
-        by_length: dict[int, list[str]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        for n, words in by_length.items():
-            if n > BATCHED_LENGTH or len(words) == 1:
-                known.update((w, self._raw(self.walk_one(w))) for w in words)
-            else:
-                for i in range(0, len(words), 8192):
-                    some = words[i : i + 8192]
-                    known.update(zip(some, self.walk(some), strict=True))
+        new = sorted({w for line in lines for w in line if w not in known}, key=len)
+        self.held += sum(map(len, new))
+        at = 0
+        while at < len(new):
+            # a band of lengths: the longest has at most a sixteenth more than the shortest
+            upto = at + bisect.bisect_right(new[at : at + BATCH_ROWS], len(new[at]) * 17 // 16, key=len)
+            upto = max(at + 1, min(upto, at + BATCH_CHARS // len(new[upto - 1])))
+            some = new[at:upto]
+            known.update(zip(some, self.walk(some), strict=True))
+            at = upto
         get = known.__getitem__
         return [b"".join(map(get, line)) for line in lines]
 
