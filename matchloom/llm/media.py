@@ -6,8 +6,8 @@ Images are members of plain tar archives, one archive per task, with an index of
 
 The data source ``media_archive`` plans byte ranges over the archives of a folder without opening them,
 finds the members whose headers begin in a range through the archive's index, and streams them as Arrow
-batches of bounded size.  A member that fails is read again by its own offset, on a new handle, without
-touching the others; after ``retries`` failures it is an error (``onError=report``: a row with the error).
+batches of bounded size.  A member that fails, or whose checksums do, is read again by its own offset, on a new
+handle, without touching the others; after ``retries`` failures it is an error (``onError=report``: a row with the error).
 
 Null texts count as empty; repeated rows and ids are members of their own; null ids stay null; an empty
 table gives no archives and no rows; extra columns are not read.
@@ -63,16 +63,26 @@ def encode_image(payload: bytes, level: int = 1) -> bytes:
     return b"".join([*parts, _chunk(b"IDAT", deflate.flush()), _chunk(b"IEND", b"")])
 
 
-def decode_image(image: bytes) -> tuple[bytes, int]:
-    """The samples and the length without padding; every chunk's checksum is verified."""
+def chunks(image: bytes):
+    """(kind, body) of a PNG image's chunks; every checksum is verified, up to the end chunk."""
     if image[:8] != _SIGN:
         raise ValueError("not a PNG image")
-    at, data, width, n = 8, [], 0, None
-    while at < len(image):
+    at, kind = 8, b""
+    while kind != b"IEND":
+        if at + 12 > len(image):
+            raise ValueError("the image is cut off")
         size, kind = struct.unpack_from(">I4s", image, at)
         body = image[at + 8 : at + 8 + size]
         if struct.pack(">I", binascii.crc32(body, binascii.crc32(kind))) != image[at + 8 + size : at + 12 + size]:
             raise ValueError(f"chunk {kind!r} is damaged")
+        yield kind, body
+        at += 12 + size
+
+
+def decode_image(image: bytes) -> tuple[bytes, int]:
+    """The samples and the length without padding; every chunk's checksum is verified."""
+    data, n = [], None
+    for kind, body in chunks(image):
         if kind == b"IHDR":
             width, height, depth, colour = struct.unpack_from(">IIBB", body)
             if (depth, colour) != (8, 0):
@@ -81,7 +91,6 @@ def decode_image(image: bytes) -> tuple[bytes, int]:
             n = int(body[6:])
         elif kind == b"IDAT":
             data.append(body)
-        at += 12 + size
     lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width + 1)
     if lines[:, 0].any():
         raise ValueError("only unfiltered lines are written here")
@@ -184,11 +193,13 @@ class MediaArchiveReader(DataSourceReader):
                         data = handle.read(size)
                         if head[257:262] != b"ustar" or len(data) != size:
                             raise OSError("no whole member at this offset")
-                        if data[:8] != _SIGN:
-                            raise OSError("the member isn't an image")
+                        if head[148:156] != b"%06o\0 " % sum(head[:148] + b" " * 8 + head[156:]):
+                            raise OSError("the member's header is damaged")
+                        for _ in chunks(data):  # a torn payload fails here, where it can be read again
+                            pass
                         member, media, error = head[:100].rstrip(b"\0").decode(), data, None
                         break
-                    except OSError as e:
+                    except (OSError, ValueError) as e:
                         error = f"{type(e).__name__}: {e}"
                         if handle is not None:
                             handle.close()
