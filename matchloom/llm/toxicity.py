@@ -36,7 +36,7 @@ SHAPES = [(0, *c) for k in (3, 4) for c in combinations(range(1, 5), k - 1)]
 #: A word is looked at if this share of its features' mass, repeats counted apart, is in any landmark.
 NEAR = 0.1
 FEATURES = 28**4 + 28**3  # codes of four letters, then of three
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Log-likelihood gain over chance that a landmark must have.
 MIN_GAIN = 12.0
 
@@ -48,7 +48,7 @@ _PLAIN = re.compile(r"[a-z]+")
 _OUT = re.compile(r"[^a-z]+")
 _SIGNS = re.compile(r"[^\w@$!]+|_+")
 #: Words of more characters are weighed by their parts.  Windows that are looked at together.
-LONGEST, WINDOWS = 24, 1 << 14
+LONGEST, WINDOWS = 24, 1 << 12
 
 
 def fold(word: str) -> str:
@@ -118,13 +118,13 @@ class Kernel:
     def __init__(self, landmarks: list[str]):
         self.landmarks, self.sizes = landmarks, sorted({len(w) for w in landmarks if len(w) <= LONGEST})
         at, code, weight = features(landmarks)
-        dense = np.zeros((len(landmarks), FEATURES), np.float32)
-        np.add.at(dense, (at, code), weight)
+        used, column = np.unique(code, return_inverse=True)
+        dense = np.zeros((len(landmarks), len(used)), np.float32)
+        np.add.at(dense, (at, column), weight)
         dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-        used = np.flatnonzero(dense.any(axis=0))
         self.place = np.full(FEATURES, -1, np.int32)  # of a feature among those that landmarks have
         self.place[used] = np.arange(len(used))
-        self.dense = np.ascontiguousarray(dense[:, used].T)
+        self.dense = np.ascontiguousarray(dense.T)
         claim("toxicity", lambda: None)  # freed with the task
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
@@ -206,8 +206,8 @@ class Kernel:
         new.difference_update(met)
         folded = sorted(((fold(w), w) for w in new), key=lambda x: len(x[0]))
         self.known.update(dict.fromkeys(new, 0))
-        for i in range(0, len(folded), 4096):
-            some = folded[i : i + 4096]
+        for i in range(0, len(folded), 2048):
+            some = folded[i : i + 2048]
             near = [some[j] for j in np.flatnonzero(self.near(*_letters([f for f, _ in some]))).tolist()]
             if near:
                 above = self.above([f for f, _ in near])
