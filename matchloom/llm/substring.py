@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, id_and_text, slices, stored
 
-WINDOW, GRAM, HOT, PART = 50, 8, 5000, 400
+WINDOW, GRAM, HOT, PART = 50, 8, 5000, 200
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _INVERSE = tuple(np.uint64(pow(int(c), -1, 1 << 64)) for c in _ODD)
