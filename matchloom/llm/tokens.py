@@ -2,7 +2,7 @@
 
 A word BPE file whose splitter drops white space gives a pre-token the same ids wherever it stands.  So
 each distinct pre-token goes through the library's model once per worker and texts are joined from the
-kept ids; the result equals ``Tokenizer.encode`` of the whole text (tests/llm/test_tokens.py).
+kept ids; the result equals ``Tokenizer.encode`` of the whole text (tests/llm/test_operators.py).
 """
 
 from __future__ import annotations
