@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tsv import path_exists
@@ -102,9 +102,14 @@ def outside_candidates(matched: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no from 1, value), with line numbers by file order."""
-    lines = spark.read.text(path).select("value").rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0].value))
-    return spark.createDataFrame(lines, "line_no long, value string")
+    """(line_no from 1, value), with line numbers by file order: a line's place in its part of the file, and the lines
+    of the parts before it, of which there is one row each."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("__at"))
+    lines = lines.withColumn("__part", F.shiftright("__at", 33))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = lines.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", before.alias("__before"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.join(parts, "__part").select((F.col("__before") + place + 1).alias("line_no"), "value")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -119,6 +124,8 @@ def validate_list(spark: SparkSession, path: str, header: list[str], required: D
     if not path_exists(spark, path):
         return _note(spark, file, "missing_file"), None
     lines = read_lines(spark, path)
+    if lines.where(~F.is_valid_utf8("value")).limit(1).count():
+        return _note(spark, file, "not_utf8"), None
     first = lines.where("line_no = 1").first()
     if first is None:
         return _note(spark, file, "empty_file"), None

@@ -18,12 +18,16 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("train")
     p.add_argument("--data-dir", required=True)
     p.add_argument("--out-dir", required=True)
+    p.add_argument("--knn", default="exact", choices=["exact", "lsh"])
     p = sub.add_parser("predict")
     p.add_argument("--test-dir", required=True)
     p.add_argument("--out-dir", required=True)
     p.add_argument("--model-path")
     p.add_argument("--countries", default="all")
     p.add_argument("--profile", default="train_like", choices=["train_like", "predict_like"])
+    p.add_argument("--knn", default="exact", choices=["exact", "lsh"])
+    p.add_argument("--part-files", action="store_true", help="results in one file a task, in place of one file")
+    p.add_argument("--split-input", action="store_true", help="no line ends within quotes, so that large files are split")
     p = sub.add_parser("sample")
     for name in ("--full-train-dir", "--full-test-dir", "--out-train-dir", "--out-test-dir"):
         p.add_argument(name, required=True)
@@ -43,11 +47,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName("matchloom").getOrCreate()
     if a.command == "train":
-        linker, ceiling = linkage.train_files(spark, a.data_dir, a.out_dir)
+        linker, ceiling = linkage.train_files(spark, a.data_dir, a.out_dir, knn=a.knn)
         ceiling.orderBy("overall", "country").show(truncate=False)
         print(linker.threshold, linker.stats)
     elif a.command == "predict":
-        linkage.predict_files(spark, a.test_dir, a.out_dir, a.model_path, a.countries, profile=a.profile)
+        linkage.predict_files(spark, a.test_dir, a.out_dir, a.model_path, a.countries, profile=a.profile, knn=a.knn, single=not a.part_files, multi_line=not a.split_input)
     elif a.command == "sample":
         train = {"truth": tsv.read_tsv(spark, f"{a.full_train_dir}/train_ground_truth.tsv", tsv.TRUTH)}
         train |= {f"s{k}": tsv.read_tsv(spark, f"{a.full_train_dir}/train_source{k}.tsv", tsv.RECORD) for k in (1, 2, 3)}

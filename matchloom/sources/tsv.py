@@ -18,8 +18,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    rows = spark.read.schema(schema).option("sep", "\t").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """Rows of tab-separated files.  ``multi_line`` allows line ends within quotes, and makes each file one task;
+    without it large files are split."""
+    rows = spark.read.schema(schema).option("sep", "\t").option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     return rows.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in schema.names))
 
 
@@ -45,18 +47,18 @@ def records(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str, country: str | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, country: str | None = None, multi_line: bool = True) -> DataFrame:
     """Normalised records of a file, of one country if given; the filter runs before normalisation."""
-    raw = read_tsv(spark, path, RECORD)
+    raw = read_tsv(spark, path, RECORD, multi_line)
     return records(raw if country is None else raw.where(X.country_norm("country") == country))
 
 
-def read_others(spark: SparkSession, *paths: str) -> DataFrame:
+def read_others(spark: SparkSession, *paths: str, multi_line: bool = True) -> DataFrame:
     """Normalised records of all files that exist; none exist: an empty table."""
     raw = spark.createDataFrame([], RECORD)
     for path in paths:
         if path_exists(spark, path):
-            raw = raw.unionByName(read_tsv(spark, path, RECORD))
+            raw = raw.unionByName(read_tsv(spark, path, RECORD, multi_line))
     return records(raw)
 
 
