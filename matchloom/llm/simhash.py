@@ -201,7 +201,7 @@ SIMILARITY = 0.8
 #: Runs of a key up to this length give their pairs; in longer ones the sketches meet.  Both are exact.
 RUN_PAIRS = 16
 #: Members of a run, and of a family, that meet in one task; larger ones are dealt into blocks.
-RUN_BLOCK, FAMILY_BLOCK = 512, 128
+RUN_BLOCK, FAMILY_BLOCK = 4096, 128
 #: About so many documents are asked which shingles are frequent: in at least so many of them, so many at most.  Only
 #: the order of shingles depends on it, not the links.
 ORDER_DOCS, FREQUENT, MOST_FREQUENT = 16_000, 4, 1 << 16
@@ -432,8 +432,9 @@ def forests(cells: DataFrame, payload: list[str], forest) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _runs(batches, 2 + len(payload), solve), "a long, b long")
 
 
-def spanning_links(rows: DataFrame, payload: list[str], forest, block: int) -> DataFrame:
+def spanning_links(rows: DataFrame, payload: list[str], forest, block: int, attach=lambda rows: rows) -> DataFrame:
     """Links (a, b) with the components of all links within the groups of a table (group, member, *payload).
+    ``attach`` adds what is wide of the payload to rows, when they are dealt.
 
     A group of up to ``block`` members is one cell.  A larger one is dealt into blocks; then one member of each
     component that a block found meets the others' ones; then those still outside the group's largest component
@@ -442,11 +443,11 @@ def spanning_links(rows: DataFrame, payload: list[str], forest, block: int) -> D
     """
     large = stored(rows.groupBy("group").agg(F.count("*").alias("m")).where(F.col("m") > block), "near-large")
     if not large.limit(1).count():
-        return forests(rows.withColumnRenamed("group", "cell"), payload, forest)
+        return forests(attach(rows.withColumn("cell", F.col("group"))), payload, forest)
     part = lambda n, seed=0: F.pmod(F.xxhash64("member", F.lit(seed)), F.ceil(F.col(n) / block))
     dealt = rows.join(large, "group", "left").withColumn("cell", F.when(F.col("m").isNull(), F.col("group")).otherwise(F.xxhash64("group", part("m"))))
-    first = stored(forests(dealt, payload, forest), "near-first")
-    hot = stored(rows.join(large, "group"), "near-hot")
+    first = stored(forests(attach(dealt), payload, forest), "near-first")
+    hot = stored(attach(rows.join(large, "group")), "near-hot")
 
     def labelled(links: DataFrame) -> DataFrame:
         found = connected_components(links).select(F.col("u").alias("member"), F.col("v").alias("label"))
@@ -532,8 +533,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) - 1
     met_at = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
     short = stored(common.where(met_at + others >= enough - 1e-9).select("a", "b", "na", "nb"), "near-short")
-    held = long.join(prints.select(F.col("doc_id").alias("member"), "sketch"), "member").select("group", "member", "n", "place", "sketch")
-    maybe = sketches_allow(short, prints, similarity).unionByName(spanning_links(held, ["n", "place", "sketch"], lambda cols: sketch_forest(cols, similarity), RUN_BLOCK))
+    sketched = lambda rows: rows.join(prints.select(F.col("doc_id").alias("member"), "sketch"), "member")
+    maybe = sketches_allow(short, prints, similarity).unionByName(spanning_links(long, ["n", "place", "sketch"], lambda cols: sketch_forest(cols, similarity), RUN_BLOCK, sketched))
     families = connected_components(maybe)
     for no_longer_read in (prints, met, in_long, short):
         discard(no_longer_read)
