@@ -358,41 +358,48 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).join(lists, PAIR[0], "left").fillna("", ["matched_entity_ids"])
 
 
-@_query("SELECT * FROM (VALUES ('matched', 19::BIGINT), ('singleton', 1::BIGINT)) t(stratum, n)")
+_HASH = lambda c: f"md5({c} || ':42')"
+
+
+@_query(f"""WITH {_REC},
+    t AS (SELECT s1.entity_id AS source1_entity_id, CASE WHEN s1.entity_id IN (SELECT source1_entity_id FROM gold) THEN 'matched' ELSE 'singleton' END AS stratum FROM s1),
+    m AS (SELECT least(count(*) FILTER (stratum = 'matched'), 19) AS n FROM t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_HASH('source1_entity_id')}, source1_entity_id) AS k FROM t)
+    SELECT source1_entity_id, stratum FROM r, m WHERE k <= CASE WHEN stratum = 'matched' THEN m.n ELSE 20 - m.n END""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sizes of a stratified sample of 20 rows."""
+    """A stratified sample of 20 rows of the truth: 19 with matches, as far as there are, the rest without."""
     sample = sampling.stratified_truth(_truth(spark, sf_dir), 20)
-    return sample.groupBy(F.when(F.col("matched_entity_ids") != "", "matched").otherwise("singleton").alias("stratum")).agg(F.count("*").alias("n"))
+    return sample.select(PAIR[0], F.when(F.col("matched_entity_ids") != "", "matched").otherwise("singleton").alias("stratum"))
 
 
-@_query(f"WITH {_REC} SELECT country, least(count(*), 25) AS n FROM s1 GROUP BY country")
+@_query(f"""WITH {_REC}, r AS (SELECT entity_id, country, row_number() OVER (PARTITION BY country ORDER BY {_HASH('entity_id')}, entity_id) AS k FROM s1)
+    SELECT entity_id, country FROM r WHERE k <= greatest(1, 100 // (SELECT count(DISTINCT country) FROM s1))""")
 def country_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sizes of a sample per country of 100 rows over four countries."""
-    rows = fx.entities(spark, sf_dir).where("src = 1").select("entity_id", "country")
-    return sampling.per_country(rows, 100).groupBy("country").agg(F.count("*").alias("n"))
+    """A sample per country of 100 rows over all countries."""
+    return sampling.per_country(fx.entities(spark, sf_dir).where("src = 1").select("entity_id", "country"), 100)
 
 
-@_query(f"""WITH {_REC}, t AS (SELECT DISTINCT entity_id FROM gold WHERE entity_id LIKE 'S2-%')
-    SELECT count(*) FILTER (entity_id IN (SELECT entity_id FROM t)) AS n_wanted, least(count(*) FILTER (entity_id NOT IN (SELECT entity_id FROM t)), 50) AS n_other FROM oth WHERE src = 2""")
+@_query(f"""WITH {_REC}, t AS (SELECT DISTINCT entity_id FROM gold WHERE entity_id LIKE 'S2-%'),
+    o AS (SELECT entity_id FROM oth WHERE src = 2 AND entity_id NOT IN (SELECT entity_id FROM t) ORDER BY {_HASH('entity_id')}, entity_id LIMIT 50)
+    SELECT entity_id, true AS wanted FROM t UNION ALL SELECT entity_id, false FROM o""")
 def distractor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sizes of a sample of source 2: all that match, and 50 others."""
+    """A sample of source 2: all that match, and 50 others."""
     wanted = fx.gold(spark, sf_dir).where("entity_id like 'S2-%'").select("entity_id").distinct()
     sample = sampling.with_distractors(fx.entities(spark, sf_dir).where("src = 2").select("entity_id"), wanted, 50)
-    hit = sample.join(wanted.withColumn("hit", F.lit(1)), "entity_id", "left")
-    return hit.agg(F.count_if(F.col("hit").isNotNull()).alias("n_wanted"), F.count_if(F.col("hit").isNull()).alias("n_other"))
+    return sample.join(wanted.withColumn("hit", F.lit(1)), "entity_id", "left").select("entity_id", F.col("hit").isNotNull().alias("wanted"))
 
 
-@_query("SELECT least(count(*) FILTER (doc_id % 3 = 1), 100) AS n FROM documents")
+@_query(f"WITH {_REC} SELECT entity_id FROM oth WHERE src = 2 ORDER BY {_HASH('entity_id')}, entity_id LIMIT 100")
 def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.hashed_top(fx.entities(spark, sf_dir).where("src = 2").select("entity_id"), 100).agg(F.count("*").alias("n"))
+    """A sample of 100 rows of source 2."""
+    return sampling.hashed_top(fx.entities(spark, sf_dir).where("src = 2").select("entity_id"), 100)
 
 
-@_query()
+@_query(f"""WITH {_REC}{_SCORED} SELECT {_PAIRS}, ('0x' || substr({_HASH('source1_entity_id')}, 1, 8))::UBIGINT % 10 < 8 AS trains FROM scored""")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the split of scored pairs by entity, and entities on both sides (none)."""
-    train, held = sampling.group_split(fx.scored(spark, sf_dir))
-    both = train.select(PAIR[0]).intersect(held.select(PAIR[0]))
-    return train.agg(F.count("*").alias("n_train")).crossJoin(held.agg(F.count("*").alias("n_held"))).crossJoin(both.agg(F.count("*").alias("n_both")))
+    """The scored pairs with the side of the split, by entity, that they are on."""
+    train, held = sampling.group_split(fx.scored(spark, sf_dir).select(*PAIR))
+    return train.withColumn("trains", F.lit(True)).unionByName(held.withColumn("trains", F.lit(False)))
 
 
 @_query(f"WITH {_REC} SELECT a.embed_text AS text_a, b.embed_text AS text_b FROM gold g JOIN s1 a ON a.entity_id = g.source1_entity_id JOIN oth b ON b.entity_id = g.entity_id WHERE a.embed_text <> '' AND b.embed_text <> ''")
