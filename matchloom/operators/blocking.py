@@ -8,16 +8,21 @@ Ties go to the smaller candidate id.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
 
+# They decide which candidates come out.
 TOP_FINAL, TOP_BROAD, TOP_NAME = 20, 50, 15
 MIN_SIM, MIN_LEV = 0.30, 0.25
 RARE_FRACTION, TOKEN_CAP = 0.02, 200
 LENGTH_BUCKET = 4
+#: knn_pairs_ivf: the share of the exact neighbours to be found; records and queries that fit the cells; rounds of fitting.
+RECALL, CELL_SAMPLE, CELL_QUERIES, CELL_ROUNDS = 0.95, 20_000, 500, 8
 
 PAIR = ["source1_entity_id", "candidate_entity_id"]
 
@@ -101,7 +106,7 @@ def top_k(pairs: DataFrame, k: int, score: str, by: str = PAIR[0], tie: str = PA
 def knn_pairs(s1: DataFrame, others: DataFrame, k: int = TOP_BROAD, min_sim: float | None = None) -> DataFrame:
     """Exact k nearest by cosine within a country: (pair, sim).  Records carry ``embedding``.
 
-    The work is the product of both sides of a country, as exact search has it; knn_pairs_lsh is for scale.
+    The work is the product of both sides of a country, as exact search has it; knn_pairs_ivf is for scale.
     """
     a = s1.select(F.col("country_norm").alias("n"), F.col("entity_id").alias(PAIR[0]), F.col("embedding").alias("ea"))
     b = others.select(F.col("country_norm").alias("n"), F.col("entity_id").alias(PAIR[1]), F.col("embedding").alias("eb"))
@@ -109,22 +114,64 @@ def knn_pairs(s1: DataFrame, others: DataFrame, k: int = TOP_BROAD, min_sim: flo
     return top_k(near if min_sim is None else near.where(F.col("sim") >= min_sim), k, "sim")
 
 
-def knn_pairs_lsh(s1: DataFrame, others: DataFrame, k: int = TOP_BROAD, bits: int = 12, tables: int = 16, seed: int = 3) -> DataFrame:
-    """k nearest among the records that share a random-hyperplane key in any of ``tables`` tables."""
-    import numpy as np
+def fit_cells(s1: DataFrame, others: DataFrame, k: int, recall: float = RECALL, sample: int = CELL_SAMPLE, queries: int = CELL_QUERIES, seed: int = 3) -> tuple[np.ndarray, int]:
+    """(centres, probes): cells of a spherical k-means over at most about ``sample`` records of the other sources, and
+    the least number of cells nearest to a query that hold ``recall`` of the k nearest of about ``queries`` queries.
 
-    dims = others.select(F.size("embedding").alias("d")).first()
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims.d if dims else 1)).round(5)
+    Those nearest ones are found exactly, within the sample and the query's country.  They are further away than the k
+    nearest of all records, so on the whole table the recall is no less, if the sample is like it.
+    """
+
+    def some(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        share = max(1, -(-rows.count() // n))
+        kept = rows.where(F.pmod(F.xxhash64("entity_id", F.lit(seed)), F.lit(share)) == 0).select("country_norm", "embedding").limit(2 * n).toPandas()
+        vectors = np.stack(kept["embedding"].to_numpy()).astype(np.float32) if len(kept) else np.zeros((0, 1), np.float32)
+        return kept["country_norm"].fillna("").to_numpy(), vectors
+
+    (n, x), (m, q) = some(others, sample), some(s1, queries)
+    if not len(x):
+        return x, 1
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), max(1, int(len(x) ** 0.5)), replace=False)]
+    for _ in range(CELL_ROUNDS):
+        at = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
+    at = (x @ centres.T).argmax(1)
+    ranks = [np.zeros(1, np.int64)]
+    for country in np.unique(m):
+        of, same = q[m == country], n == country
+        sims = of @ x[same].T
+        near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        place = np.argsort(np.argsort(-(of @ centres.T), axis=1, kind="stable"), axis=1)
+        ranks.append(np.take_along_axis(place, at[same][near], axis=1).ravel())
+    return centres, int(np.quantile(np.concatenate(ranks), recall, method="higher")) + 1
+
+
+def knn_pairs_ivf(s1: DataFrame, others: DataFrame, k: int = TOP_BROAD, min_sim: float | None = None, recall: float = RECALL, cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """k nearest by cosine within a country, among the records of the cells nearest to each: (pair, sim).
+
+    Every record of the other sources is in one cell, so a pair meets once and no key is shared by all of a country.
+    ``cells`` are those of fit_cells, fitted here if not given, for ``recall`` of the pairs that knn_pairs finds.
+    """
+    centres, probes = cells or fit_cells(s1, others, k, recall)
 
-    def keyed(rows: DataFrame) -> DataFrame:
-        sign = lambda p: (S.dot(F.col("embedding"), F.lit([float(x) for x in p])) > 0).cast("int")
-        keys = F.array(*(sum((sign(p) * (1 << i) for i, p in enumerate(t)), F.lit(j << bits)) for j, t in enumerate(planes)))
-        return rows.withColumn("lsh", F.explode(keys))
+    def placed(rows: DataFrame, n: int) -> DataFrame:
+        @F.pandas_udf("array<int>")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            if not len(vectors) or not len(centres):
+                return pd.Series([[]] * len(vectors), dtype=object)
+            scores = np.stack(vectors.to_numpy()).astype(np.float32) @ centres.T
+            return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)))
 
-    a = keyed(s1).select(F.col("country_norm").alias("n"), "lsh", F.col("entity_id").alias(PAIR[0]), F.col("embedding").alias("ea"))
-    b = keyed(others).select(F.col("country_norm").alias("n"), "lsh", F.col("entity_id").alias(PAIR[1]), F.col("embedding").alias("eb"))
-    near = a.join(b, ["n", "lsh"]).select(*PAIR, S.dot("ea", "eb").alias("sim")).dropDuplicates(PAIR)
-    return top_k(near, k, "sim")
+        return rows.withColumn("cell", F.explode(nearest("embedding")))
+
+    a = placed(s1, probes).select(F.col("country_norm").alias("n"), "cell", F.col("entity_id").alias(PAIR[0]), F.col("embedding").alias("ea"))
+    b = placed(others, 1).select(F.col("country_norm").alias("n"), "cell", F.col("entity_id").alias(PAIR[1]), F.col("embedding").alias("eb"))
+    near = a.join(b, ["n", "cell"]).select(*PAIR, S.dot("ea", "eb").alias("sim"))
+    return top_k(near if min_sim is None else near.where(F.col("sim") >= min_sim), k, "sim")
 
 
 def merge_streams(knn: DataFrame | None, tokens: DataFrame | None, names: DataFrame | None, cosine: DataFrame, k: int = TOP_FINAL, min_sim: float = MIN_SIM) -> DataFrame:
@@ -156,7 +203,7 @@ def pair_cosine(pairs: DataFrame, s1: DataFrame, others: DataFrame) -> DataFrame
 
 def train_like(s1: DataFrame, others: DataFrame, knn: str = "exact") -> DataFrame:
     """(pair, embed_cos) by the training profile; records carry ``embedding``."""
-    near = (knn_pairs if knn == "exact" else knn_pairs_lsh)(s1, others)
+    near = (knn_pairs if knn == "exact" else knn_pairs_ivf)(s1, others)
     names = exact_name_pairs(s1, others).union(sorted_token_pairs(s1, others)).union(fuzzy_name_pairs(s1, others)).distinct()
     tokens = rare_token_pairs(s1, others)
     return merge_streams(near, tokens, names, pair_cosine(tokens.union(names).distinct(), s1, others))

@@ -240,6 +240,13 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(*PAIR, F.round("sim", 4).alias("sim"))
 
 
+@_query()
+def knn_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours by cells; tests measure their recall against the exact ones."""
+    near = B.knn_pairs_ivf(*fx.vectors(spark, sf_dir), k=20, min_sim=0.3)
+    return near.select(*PAIR, F.round("sim", 4).alias("sim"))
+
+
 @_query(f"""WITH {_REC}{_SCORED},
     nm AS (SELECT * FROM exact UNION SELECT * FROM srt),
     allp AS (SELECT {_PAIRS}, bool_or(nm) AS nm FROM (SELECT *, false AS nm FROM tok UNION ALL SELECT *, true AS nm FROM nm) GROUP BY ALL),
