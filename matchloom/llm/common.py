@@ -84,6 +84,11 @@ def discard(df: DataFrame) -> None:
     _WRITTEN.remove(df.stored_at)
 
 
+def a_task_each(files: DataFrame, key: str = "part") -> DataFrame:
+    """The rows of a manifest dealt by range of its key, so that a task has about one of them; none is gathered."""
+    return files.repartitionByRange(max(1, files.count()), key)
+
+
 def whole_text(text: str | Column) -> Column:
     """A text column in which null counts as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -11,7 +11,7 @@ from .common import table
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"))
-    return token_files.read_token_files(spark, manifest)
+    return token_files.read_token_files(manifest)
 
 
 def op2_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(warc.with_revisits(table(spark, sf_dir, "pages")))
-    return warc.record_table(warc.read_warc(spark, manifest))
+    return warc.record_table(warc.read_warc(manifest))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Published, batch_of, filesystem, id_and_text, shared_dir, slices, stored
+from .common import Published, a_task_each, batch_of, filesystem, id_and_text, shared_dir, slices, stored
 
 MAGIC = b"MLP1"
 BLOCK_IDS = 1 << 16
@@ -166,8 +166,9 @@ class PlaneReader:
 def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, plane: str = "byte") -> DataFrame:
     """Tokenise whole texts and write them in ascending id order, one file per range of ids.
 
-    Returns the manifest (one row per file), stored.  The texts are dealt by range of the id, so a file
-    holds a run of ids and memory holds one block and a file's document table.
+    Returns the manifest (one row per file), stored.  The texts are dealt by range of the id and, where many
+    texts share an id (or have none), by their hash, so a file holds a run of ids and memory holds one block
+    and a file's document table.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or tokens.default_path()
     path = path or shared_dir(spark, "tokens")
@@ -188,37 +189,36 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
             out.publish()
             yield batch_of(schema, [part], [name], [len(writer.doc_ids)], [n], [out.size])
 
-    dealt = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    dealt = id_and_text(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
     return stored(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all before it), n_tokens, ids_crc32 (of its ids as
-    little-endian unsigned 32-bit integers).  One task per file; the manifest has a row per file."""
-    files = sorted((r.part, r.path, r.n_ids) for r in manifest.collect())
-    paths = [p for _, p, _ in files]
-    bases = np.concatenate([[0], np.cumsum([n for _, _, n in files])]).astype("int64")
+    little-endian unsigned 32-bit integers).  A task for about each file; the manifest has a row per file and stays a table."""
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("part", "path", before.alias("base"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches):
         for b in batches:
-            for k in b.column(0).to_pylist():
-                fs, name = filesystem(paths[k])
+            for _, path, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
                     reader, rows = PlaneReader(f), []
                     for d, (doc, at, parts) in enumerate(reader.documents()):
                         crc = 0
                         for ids in parts:
                             crc = zlib.crc32(ids, crc)
-                        rows.append((doc, int(bases[k]) + at, int(reader.lengths[d]), crc))
+                        rows.append((doc, base + at, int(reader.lengths[d]), crc))
                         if len(rows) == 4096:
                             yield batch_of(schema, *zip(*rows, strict=True))
                             rows = []
                     if rows:
                         yield batch_of(schema, *zip(*rows, strict=True))
 
-    n = len(paths)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(read, READ_BACK)
+    return a_task_each(files).mapInArrow(read, READ_BACK)
 
 
 def read_ids(path: str, doc_index: int) -> np.ndarray:

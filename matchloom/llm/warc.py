@@ -23,10 +23,10 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Published, batch_of, filesystem, shared_dir, slices, stored, whole_text
+from .common import Published, a_task_each, batch_of, filesystem, shared_dir, slices, stored, whole_text
 
 CHUNK_BYTES = 256 << 10
 #: Groups of equal payloads of up to this many bytes are broadcast; beyond it they join by shuffle.
@@ -195,16 +195,15 @@ def records(source, chunk_bytes: int):
             raise ValueError("a record doesn't end with two empty lines")
 
 
-def read_warc(spark: SparkSession, manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, batch_bytes: int = 4 << 20) -> DataFrame:
-    """The chunk table of the archives of a manifest, one task per archive: page_id, record_type, refers_to,
+def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The chunk table of the archives of a manifest, a task for about each archive: page_id, record_type, refers_to,
     chunk, last, data, payload_bytes and payload_digest (both up to and with this chunk; of a revisit, the
     full payload's)."""
-    paths = [r.path for r in manifest.select("path").orderBy("path").collect()]  # a row per archive
 
     def read(batches):
         for b in batches:
-            for k in b.column(0).to_pylist():
-                files, name = filesystem(paths[k])
+            for path in b.column(1).to_pylist():
+                files, name = filesystem(path)
                 with files.open_input_stream(name, compression=None) as f:
                     rows, held = [], 0
                     for row in records(f, chunk_bytes):
@@ -216,8 +215,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, chunk_bytes: int = CHUNK
                     if rows:
                         yield batch_of(_CHUNKS, *zip(*rows, strict=True))
 
-    n = len(paths)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(read, CHUNKS)
+    return a_task_each(manifest.select("part", "path")).mapInArrow(read, CHUNKS)
 
 
 def record_table(chunks: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def test_word_encoder_equals_library():
 @pytest.mark.parametrize("plane", ["byte", "bit"])
 def test_op1_files(spark, docs, empty, plane):
     manifest = token_files.write_token_files(docs, block_ids=700, plane=plane)
-    got = token_files.read_token_files(spark, manifest).collect()
+    got = token_files.read_token_files(manifest).collect()
     want = collections.Counter((d, len(reference_ids(t)), zlib.crc32(np.array(reference_ids(t), "<u4"))) for d, t in ROWS)
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     ranked = sorted(got, key=lambda r: r.start)
@@ -94,7 +94,20 @@ def test_op1_files(spark, docs, empty, plane):
     assert ids == sorted(ids)
     first = manifest.orderBy("part").first()
     assert len(token_files.read_ids(first.path, 0)) == ranked[0].n_tokens
-    assert token_files.read_token_files(spark, token_files.write_token_files(empty)).count() == 0
+    assert token_files.read_token_files(token_files.write_token_files(empty)).count() == 0
+
+
+def test_op1_one_id_for_all_is_dealt_over_files(spark):
+    rows = [(None, f"w{i} " * 20) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() == 4
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert collections.Counter(r.ids_crc32 for r in got) == collections.Counter(zlib.crc32(np.array(reference_ids(t), "<u4")) for _, t in rows)
+    assert [r.start for r in got] == list(itertools.accumulate([0, *(r.n_tokens for r in got)]))[:-1]
 
 
 def test_op2_media(spark, docs, empty):
@@ -661,13 +674,15 @@ def test_op8_automaton():
     assert machine.spans("a b x c d e y".split(), 3) == [(3, 6)]
 
 
-def test_op9_warc(spark):
+@pytest.mark.parametrize("broadcast", [16 << 20, -1])
+def test_op9_warc(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
     r = random.Random(8)
     html = [None, "", "<p>é</p>", "x" * 5000, "".join(r.choice("abc é\r\n") for _ in range(9000))]
     pages = [(i, f"http://a b/{i}", html[i % 5]) for i in range(17)] + [(None, None, html[2]), (3, "u", html[3]), (99, "v", "only\r\n\r\n"), (None, "w", "none but null")]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, sha string").repartition(3)
     manifest = warc.write_warc(warc.with_revisits(df))
-    chunks = warc.read_warc(spark, manifest, chunk_bytes=1000)
+    chunks = warc.read_warc(manifest, chunk_bytes=1000)
     got = warc.record_table(chunks).collect()
     chief = {}
     for p, _, h in pages:
@@ -686,11 +701,12 @@ def test_op9_warc(spark):
     assert {p: b"".join(x[i] for i in sorted(x)) for p, x in parts.items()} == {13: html[3].encode() if chief[html[3]] == 13 else b"", 14: html[4].encode()}
     assert max(map(len, parts[14].values())) <= 1000
     none = df.where("page_id = -1")
-    assert warc.record_table(warc.read_warc(spark, warc.write_warc(warc.with_revisits(none)))).count() == 0
+    assert warc.record_table(warc.read_warc(warc.write_warc(warc.with_revisits(none)))).count() == 0
 
 
-@pytest.mark.parametrize("bits", [64, 3])
-def test_op10_exact(spark, docs, empty, bits):
+@pytest.mark.parametrize(("bits", "broadcast"), [(64, exact_dedup.BROADCAST_BYTES), (3, -1)])
+def test_op10_exact(spark, monkeypatch, docs, empty, bits, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", broadcast)
     got = exact_dedup.exact_dedup(docs, fingerprint_bits=bits).collect()
     groups = collections.defaultdict(list)
     for d, t in ROWS:
