@@ -35,6 +35,10 @@ _NW = r"[^\p{L}\p{N}_]+"
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _ABBR = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.ADDRESS_ABBREVIATIONS.items()) + "}"
 _TOKENS = lambda c: f"list_sort(list_distinct(list_filter(string_split({c}, ' '), lambda t: length(t) >= 3 AND t NOT IN ({_IN(X.STOPWORDS)}))))"
+_NUMS = lambda c: rf"list_filter(string_split(regexp_replace({c}, '{_NW}', ' ', 'g'), ' '), lambda t: regexp_full_match(t, '\p{{Nd}}+'))"
+_POSTAL = r"""coalesce(list_filter(nums, lambda t: CASE n WHEN 'india' THEN regexp_full_match(t, '[1-9]\p{Nd}{5}')
+            WHEN 'us' THEN regexp_full_match(t, '\p{Nd}{5}') WHEN 'france' THEN regexp_full_match(t, '\p{Nd}{5}')
+            ELSE regexp_full_match(t, '\p{Nd}{4,6}') END)[1], '')"""
 _REC = rf"""
 ent AS (SELECT doc_id, concat('S', CAST(1 + doc_id % 3 AS VARCHAR), '-', CAST(doc_id AS VARCHAR)) AS entity_id, 1 + doc_id % 3 AS src,
         CASE lang WHEN 'en' THEN 'us' WHEN 'fr' THEN 'france' WHEN 'de' THEN 'india' ELSE lang END AS country,
@@ -47,12 +51,10 @@ ent2 AS (SELECT *, lower(trim(country)) AS n,
             lambda t: t <> '' AND t NOT IN ({_IN(X.LEGAL_SUFFIXES)})), ' ') AS norm_name,
         array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(business_address), '{_NW}', ' ', 'g'), ' '), lambda t: t <> ''),
             lambda t: coalesce({_ABBR}[t], t)), ' ') AS norm_addr,
-        list_filter(string_split(regexp_replace(business_address, '{_NW}', ' ', 'g'), ' '), lambda t: regexp_full_match(t, '\p{{Nd}}+')) AS nums
+        {_NUMS('business_address')} AS nums
         FROM ent),
 rec AS (SELECT *, {_TOKENS('norm_name')} AS name_tokens, {_TOKENS('norm_addr')} AS addr_tokens, list_sort(list_distinct(nums)) AS num_tokens,
-        coalesce(list_filter(nums, lambda t: CASE n WHEN 'india' THEN regexp_full_match(t, '[1-9]\p{{Nd}}{{5}}')
-            WHEN 'us' THEN regexp_full_match(t, '\p{{Nd}}{{5}}') WHEN 'france' THEN regexp_full_match(t, '\p{{Nd}}{{5}}')
-            ELSE regexp_full_match(t, '\p{{Nd}}{{4,6}}') END)[1], '') AS postal_code,
+        {_POSTAL} AS postal_code,
         trim(norm_name || ' ' || norm_addr) AS embed_text FROM ent2),
 s1 AS (SELECT * FROM rec WHERE src = 1), oth AS (SELECT * FROM rec WHERE src > 1),
 freq AS (SELECT n, token, count(*) AS df FROM (SELECT n, unnest(name_tokens) AS token FROM oth) GROUP BY ALL),
@@ -71,7 +73,13 @@ _JAC = lambda a, b: (
     f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 "
     f"ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
 )
-_LEV = lambda a, b: f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein({a}, {b}) AS DOUBLE) / greatest(length({a}), length({b})) END"
+# DuckDB's levenshtein counts bytes: each letter beyond ASCII becomes a capital, which no normalised text has.
+_ONE_BYTE = lambda x: f"translate({x}, (SELECT letters FROM alphabet), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_ALPHABET = """,
+alphabet AS (SELECT CASE WHEN count(DISTINCT c) <= 26 THEN coalesce(string_agg(DISTINCT c, ''), '') ELSE error('over 26 letters beyond ASCII') END AS letters
+             FROM (SELECT unnest(string_split(norm_name || norm_addr, '')) AS c FROM rec) WHERE unicode(c) > 127)
+"""
+_LEV = lambda a, b: f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein({_ONE_BYTE(a)}, {_ONE_BYTE(b)}) AS DOUBLE) / greatest(length({a}), length({b})) END"
 _SCORED = f""",
 scored AS (SELECT source1_entity_id, candidate_entity_id, round({_JAC('a.name_tokens', 'b.name_tokens')}, 6) AS prob
            FROM (SELECT * FROM exact UNION SELECT * FROM tok) p JOIN s1 a ON a.entity_id = p.source1_entity_id JOIN oth b ON b.entity_id = p.candidate_entity_id)
@@ -122,7 +130,8 @@ def postal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tsv.records(fx.entities(spark, sf_dir)).select("entity_id", "postal_code")
 
 
-@_query("""SELECT * FROM (VALUES (1, ''), (2, '560001'), (3, '12345'), (4, '75008'), (5, ''), (6, '1234'), (7, ''), (8, '98765')) t(case_id, code)""")
+@_query(f"""WITH c AS (SELECT case_id, n, {_NUMS('address')} AS nums FROM (VALUES {', '.join(map(str, fx.POSTAL_CASES))}) t(case_id, address, n))
+    SELECT case_id, {_POSTAL} AS code FROM c""")
 def postal_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.postal_cases(spark).select("case_id", "code")
 
@@ -157,51 +166,31 @@ def rare_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rare_token_pairs(*fx.sides(spark, sf_dir))
 
 
-@_query(f"""WITH {_REC},
-    k1 AS (SELECT DISTINCT n, entity_id, norm_name, unnest(list_concat([substring(norm_name, 1, 3)], name_tokens)) AS k FROM s1 WHERE regexp_full_match(norm_name, '[a-z0-9_ ]*') AND length(norm_name) >= 3),
-    k2 AS (SELECT DISTINCT n, entity_id, norm_name, unnest(list_concat([substring(norm_name, 1, 3)], name_tokens)) AS k FROM oth WHERE regexp_full_match(norm_name, '[a-z0-9_ ]*') AND length(norm_name) >= 3),
+@_query(f"""WITH {_REC}{_ALPHABET},
+    k1 AS (SELECT DISTINCT n, entity_id, norm_name, unnest(list_concat([substring(norm_name, 1, 3)], name_tokens)) AS k FROM s1 WHERE length(norm_name) >= 3),
+    k2 AS (SELECT DISTINCT n, entity_id, norm_name, unnest(list_concat([substring(norm_name, 1, 3)], name_tokens)) AS k FROM oth WHERE length(norm_name) >= 3),
     c AS (SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id, a.norm_name AS x, b.norm_name AS y FROM k1 a JOIN k2 b USING (n, k)
           WHERE abs(length(a.norm_name) - length(b.norm_name)) <= greatest(1, CAST(floor(0.12 * length(a.norm_name)) AS INT)))
-    SELECT {_PAIRS} FROM c WHERE levenshtein(x, y) * 10 < greatest(length(x), length(y))""")
+    SELECT {_PAIRS} FROM c WHERE levenshtein({_ONE_BYTE('x')}, {_ONE_BYTE('y')}) * 10 < greatest(length(x), length(y))""")
 def fuzzy_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.fuzzy_name_pairs(*map(fx.ascii_only, fx.sides(spark, sf_dir)))
-
-
-@_query()
-def fuzzy_name_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fuzzy pairs of all names; DuckDB's levenshtein counts bytes, so SQL has the ASCII names alone."""
     return B.fuzzy_name_pairs(*fx.sides(spark, sf_dir))
 
 
-def _ascii_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _met_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s1, others = fx.sides(spark, sf_dir)
     return B.exact_name_pairs(s1, others).union(B.rare_token_pairs(s1, others)).distinct(), s1, others
 
 
-@_query(f"""WITH {_REC} SELECT {_PAIRS}, round({_JAC('a.name_tokens', 'b.name_tokens')}, 6) AS name_jaccard,
+@_query(f"""WITH {_REC}{_ALPHABET} SELECT {_PAIRS}, round({_JAC('a.name_tokens', 'b.name_tokens')}, 6) AS name_jaccard,
     round({_JAC('a.addr_tokens', 'b.addr_tokens')}, 6) AS addr_jaccard,
-    CASE WHEN regexp_full_match(a.norm_name || b.norm_name, '[a-z0-9_ ]*') THEN round({_LEV('a.norm_name', 'b.norm_name')}, 6) END AS name_lev,
-    CASE WHEN regexp_full_match(a.norm_addr || b.norm_addr, '[a-z0-9_ ]*') THEN round({_LEV('a.norm_addr', 'b.norm_addr')}, 6) END AS addr_lev,
+    round({_LEV('a.norm_name', 'b.norm_name')}, 6) AS name_lev, round({_LEV('a.norm_addr', 'b.norm_addr')}, 6) AS addr_lev,
     CAST(a.n = b.n AS INT) AS country_match, CAST(abs(length(a.norm_name) - length(b.norm_name)) AS INT) AS name_len_diff,
     CAST(len(list_intersect(a.name_tokens, b.name_tokens)) AS INT) AS common_name_tokens,
     CASE WHEN a.postal_code = '' OR b.postal_code = '' THEN 0.0 WHEN a.postal_code = b.postal_code THEN 1.0 ELSE -1.0 END::DOUBLE AS postal_match,
     round({_JAC('a.num_tokens', 'b.num_tokens')}, 6) AS num_token_jaccard, CAST(len(list_intersect(a.num_tokens, b.num_tokens)) AS DOUBLE) AS num_token_overlap
     FROM (SELECT * FROM exact UNION SELECT * FROM tok) p JOIN s1 a ON a.entity_id = p.source1_entity_id JOIN oth b ON b.entity_id = p.candidate_entity_id""")
 def pair_lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, s1, others = _ascii_pairs(spark, sf_dir)
-    out = features.lexical(pairs, s1, others)
-    for col, name in (("norm_name", "name_lev"), ("norm_addr", "addr_lev")):
-        a = s1.select(F.col("entity_id").alias(PAIR[0]), F.col(col).alias("x"))
-        b = others.select(F.col("entity_id").alias(PAIR[1]), F.col(col).alias("y"))
-        plain = F.concat("x", "y").rlike("^[a-z0-9_ ]*$")
-        out = out.join(a, PAIR[0]).join(b, PAIR[1]).withColumn(name, F.when(plain, F.round(name, 6))).drop("x", "y")
-    return out.select(*PAIR, *(F.round(c, 6).alias(c) if c in ("name_jaccard", "addr_jaccard", "num_token_jaccard") else F.col(c) for c in out.columns if c not in PAIR))
-
-
-@_query()
-def pair_lexical_features_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical features with the edit similarities of all names and addresses."""
-    pairs, s1, others = _ascii_pairs(spark, sf_dir)
+    pairs, s1, others = _met_pairs(spark, sf_dir)
     out = features.lexical(pairs, s1, others)
     rounded = ("name_jaccard", "addr_jaccard", "name_lev", "addr_lev", "num_token_jaccard")
     return out.select(*PAIR, *(F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in out.columns if c not in PAIR))
@@ -222,7 +211,7 @@ _GRAMS = """list_concat(list_transform(range(1, length(w)), lambda i: substring(
     s AS (SELECT source1_entity_id, candidate_entity_id, sum(a.x * b.x) AS c FROM p JOIN wt a ON a.entity_id = source1_entity_id JOIN wt b ON b.entity_id = candidate_entity_id AND a.gram = b.gram GROUP BY ALL)
     SELECT {_PAIRS}, round(coalesce(c, 0), 6) AS name_tfidf_cos FROM p LEFT JOIN s USING ({_PAIRS})""")
 def tfidf_name_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, s1, others = _ascii_pairs(spark, sf_dir)
+    pairs, s1, others = _met_pairs(spark, sf_dir)
     idf = tfidf.fit(s1.select("norm_name").unionByName(others.select("norm_name")), "norm_name")
     left, right = (tfidf.weigh(rows, idf, "entity_id", "norm_name") for rows in (s1, others))
     return tfidf.pair_cosine(pairs, left, right, *PAIR, "c").select(*PAIR, F.round("c", 6).alias("name_tfidf_cos"))
@@ -272,37 +261,21 @@ tr AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_
 fst AS (SELECT {_PAIRS}, min(rank) AS rank FROM (SELECT *, 0 AS rank FROM ex UNION ALL SELECT * FROM tr) GROUP BY ALL),
 sz AS (SELECT source1_entity_id, rank, count(*) AS k FROM fst GROUP BY ALL),
 bf AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY source1_entity_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sz),
-cap AS (SELECT {_PAIRS}, fst.rank = 0 AS exact FROM fst JOIN bf USING (source1_entity_id, rank) WHERE before <= 20)
+cap AS (SELECT {_PAIRS}, fst.rank = 0 AS exact FROM fst JOIN bf USING (source1_entity_id, rank) WHERE before <= {B.TOKEN_CAP})
 """
 
 
 @_query(f"WITH {_REC}{_CAPPED} SELECT {_PAIRS}, exact FROM cap")
 def capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.capped_candidates(*fx.sides(spark, sf_dir), cap=20)
+    return B.capped_candidates(*fx.sides(spark, sf_dir))
 
 
-@_query(f"""WITH {_REC}{_CAPPED},
+@_query(f"""WITH {_REC}{_CAPPED}{_ALPHABET},
     sc AS (SELECT {_PAIRS}, exact, CASE WHEN exact THEN 1.0 ELSE {_LEV('a.norm_name', 'b.norm_name')} END AS name_sim
-           FROM cap JOIN s1 a ON a.entity_id = source1_entity_id JOIN oth b ON b.entity_id = candidate_entity_id
-           WHERE regexp_full_match(a.norm_name || b.norm_name, '[a-z0-9_ ]*')),
+           FROM cap JOIN s1 a ON a.entity_id = source1_entity_id JOIN oth b ON b.entity_id = candidate_entity_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY name_sim DESC, candidate_entity_id) AS k FROM sc WHERE exact OR name_sim >= 0.25)
     SELECT {_PAIRS}, round(name_sim, 6) AS name_sim FROM r WHERE k <= 15""")
 def name_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, others = fx.sides(spark, sf_dir)
-    capped = B.capped_candidates(s1, others, cap=20)
-    plain = [fx.ascii_only(x) for x in (s1, others)]
-    return B.name_top(capped, *plain).select(*PAIR, F.round("name_sim", 6).alias("name_sim"))
-
-
-@_query()
-def capped_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capped candidates at the operator's own cap."""
-    return B.capped_candidates(*fx.sides(spark, sf_dir))
-
-
-@_query()
-def name_prefilter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best by name of all names' candidates, at the operator's own cap."""
     s1, others = fx.sides(spark, sf_dir)
     return B.name_top(B.capped_candidates(s1, others), s1, others).select(*PAIR, F.round("name_sim", 6).alias("name_sim"))
 
@@ -313,7 +286,7 @@ def name_prefilter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(n, '') AS country, grouping(n) = 1 AS overall, count(*) AS n_true, sum(missed)::BIGINT AS n_missed, 1 - sum(missed) / count(*)::DOUBLE AS recall
     FROM h GROUP BY GROUPING SETS ((n), ())""")
 def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, s1, _ = _ascii_pairs(spark, sf_dir)
+    pairs, s1, _ = _met_pairs(spark, sf_dir)
     return metrics.recall_ceiling(pairs, fx.gold(spark, sf_dir), s1.select(F.col("entity_id").alias(PAIR[0]), F.col("country_norm").alias("country")))
 
 
@@ -321,7 +294,7 @@ def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) AS n_pairs, round(count(*)::DOUBLE / count(DISTINCT source1_entity_id), 6) AS mean_per_covered,
            round(count(*)::DOUBLE / (SELECT count(*) FROM s1), 6) AS mean_per_entity FROM p""")
 def candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, s1, _ = _ascii_pairs(spark, sf_dir)
+    pairs, s1, _ = _met_pairs(spark, sf_dir)
     return metrics.candidate_stats(pairs, s1).select("n_pairs", *(F.round(c, 6).alias(c) for c in ("mean_per_covered", "mean_per_entity")))
 
 
@@ -438,10 +411,10 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ validation rules over literal files
 _VALUES = lambda lines: ", ".join(f"({i + 2}, '{x}')" for i, x in enumerate(lines)).replace("\t", "' || chr(9) || '")
-_LIST = lambda lines: f"""l AS (SELECT * FROM (VALUES {_VALUES(lines)}) t(line_no, value)),
-    r AS (SELECT line_no, contains(value, chr(9)) AS tab, split_part(value, chr(9), 1) AS s1,
-          CASE WHEN contains(value, chr(9)) AND trim(split_part(value, chr(9), 2)) <> '' THEN string_split(split_part(value, chr(9), 2), ',') ELSE [] END AS ids FROM l),
-    i AS (SELECT DISTINCT s1, unnest(ids) AS id FROM r WHERE tab)"""
+_LIST = lambda lines, t="": f"""{t}l AS (SELECT * FROM (VALUES {_VALUES(lines)}) t(line_no, value)),
+    {t}r AS (SELECT line_no, contains(value, chr(9)) AS tab, split_part(value, chr(9), 1) AS s1,
+          CASE WHEN contains(value, chr(9)) AND trim(split_part(value, chr(9), 2)) <> '' THEN string_split(split_part(value, chr(9), 2), ',') ELSE [] END AS ids FROM {t}l),
+    {t}i AS (SELECT DISTINCT s1, unnest(ids) AS id FROM {t}r WHERE tab)"""
 _L = _LIST(fx.LIST_LINES)
 _REQ = ", ".join(f"('{x}')" for x in fx.REQUIRED)
 
@@ -499,6 +472,9 @@ def validate_unexpected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.unexpected_rows(_rows(spark), _required(spark))
 
 
-@_query("SELECT * FROM (VALUES ('S1-1'), ('S1-99')) t(s1)")
+_LAST = lambda t="": f"(SELECT s1, unnest(max_by(ids, line_no)) AS id FROM {t}r WHERE tab GROUP BY s1)"
+
+
+@_query(f"WITH {_L}, {_LIST(fx.CANDIDATE_LINES, 'c_')} SELECT DISTINCT s1 FROM (SELECT * FROM {_LAST()} EXCEPT SELECT * FROM {_LAST('c_')})")
 def validate_outside_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.outside_candidates(_rows(spark), V.parse_lines(fx.list_lines(spark, fx.CANDIDATE_LINES)))

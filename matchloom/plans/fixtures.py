@@ -50,10 +50,6 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["country", "head"]).select("source1_entity_id", "entity_id")
 
 
-def ascii_only(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("norm_name").rlike("^[a-z0-9_ ]*$"))
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(source 1, others) from embeddings; the label is the country."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id"), F.col("vec_id").cast("string").alias("entity_id"), F.col("label").cast("string").alias("country_norm"), "embedding")
@@ -72,10 +68,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(a, PAIR[0]).join(b, PAIR[1]).select(*PAIR, F.round(S.jaccard("ta", "tb"), 6).alias("prob"))
 
 
+POSTAL_CASES = [(1, "x 012345 y", "india"), (2, "a 560001", "india"), (3, "12345-6789", "us"), (4, "F-75008 Paris", "france"), (5, "no 1234567", "us"), (6, "ab 1234 cd 123456", "es"), (7, "", "us"), (8, "_12345 54321_ 98765", "us")]
+
+
 def postal_cases(spark: SparkSession) -> DataFrame:
     """Literal addresses for the postal rules."""
-    rows = [(1, "x 012345 y", "india"), (2, "a 560001", "india"), (3, "12345-6789", "us"), (4, "F-75008 Paris", "france"), (5, "no 1234567", "us"), (6, "ab 1234 cd 123456", "es"), (7, "", "us"), (8, "_12345 54321_ 98765", "us")]
-    return spark.createDataFrame(rows, "case_id int, address string, country string").withColumn("code", X.postal_code("address", "country"))
+    return spark.createDataFrame(POSTAL_CASES, "case_id int, address string, country string").withColumn("code", X.postal_code("address", "country"))
 
 
 LIST_LINES = [
