@@ -201,10 +201,10 @@ SIMILARITY = 0.8
 #: Runs of a key up to this length give their pairs; in longer ones the sketches meet.  Both are exact.
 RUN_PAIRS = 16
 #: Members of a run, and of a family, that meet in one task; larger ones are dealt into blocks.
-RUN_BLOCK, FAMILY_BLOCK = 4096, 128
+RUN_BLOCK, FAMILY_BLOCK = 512, 128
 #: About so many documents are asked which shingles are frequent: in at least so many of them, so many at most.  Only
-#: the order of shingles depends on it, not the links.
-ORDER_DOCS, FREQUENT, MOST_FREQUENT = 16_000, 4, 1 << 16
+#: the order of shingles depends on it, not the links.  Those in at least HOT of them are long runs without a count.
+ORDER_DOCS, FREQUENT, MOST_FREQUENT, HOT = 16_000, 4, 1 << 16, 64
 #: Tables of up to this size are broadcast to the texts; beyond it they join by shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -225,8 +225,9 @@ def shingle_hashes(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
 
 
-def frequent_shingles(base: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes of shingles that are frequent in a sample of a table (doc_id, text), rarer ones first."""
+def frequent_shingles(base: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
+    """Hashes of shingles that are frequent in a sample of a table (doc_id, text), rarer ones first, and how many of
+    them, at the end, are hot."""
     schema = pa.schema([("key", pa.int64())])
 
     def run(batches):
@@ -238,7 +239,7 @@ def frequent_shingles(base: DataFrame, shingle: int) -> np.ndarray:
     some = base.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(share)) == 0)
     often = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= FREQUENT)
     rows = often.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).collect()
-    return np.array([r.key for r in reversed(rows)], np.int64).view(np.uint64)
+    return np.array([r.key for r in reversed(rows)], np.int64).view(np.uint64), sum(r["count"] >= HOT for r in rows)
 
 
 def prefix_keys(hashes: np.ndarray, similarity: float, frequent: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
@@ -284,12 +285,22 @@ def prints_of(base: DataFrame, shingle: int, similarity: float, frequent: np.nda
     return base.select("doc_id", "text").mapInArrow(run, PRINTS)
 
 
-def _runs(batches, columns: int, solve):
-    """What ``solve`` gives for whole runs of the first column; batches are sorted by it."""
+def _runs(batches, columns: int, solve, limit: int | None = None, beyond=None):
+    """What ``solve`` gives for whole runs of the first column; batches are sorted by it.  Of a run that is known to be
+    longer than ``limit`` when a batch ends, the rows go to ``beyond`` as they come, so that no run is held whole."""
     held: list[list] = []
+    leaving = None
     for b in batches:
         cols = [b.column(i) for i in range(columns)]
         key = cols[0].to_numpy(zero_copy_only=False)
+        if leaving is not None:
+            n = int(np.searchsorted(key, leaving, side="right"))
+            if n:
+                yield from beyond([c.slice(0, n) for c in cols])
+            cols, key = [c.slice(n) for c in cols], key[n:]
+            if not len(key):
+                continue
+            leaving = None
         first, last = (int(np.searchsorted(key, k)) for k in (key[0], key[-1]))
         if held and held[-1][0][0].as_py() != key[first]:
             yield from solve([pa.concat_arrays(x) for x in zip(*held, strict=True)])
@@ -299,6 +310,9 @@ def _runs(batches, columns: int, solve):
             yield from solve([pa.concat_arrays(x) for x in zip(*held, strict=True)])
             held = []
         held.append([c.slice(last) for c in cols])  # the last run may go on
+        if limit is not None and sum(len(x[0]) for x in held) > limit:
+            yield from beyond([pa.concat_arrays(x) for x in zip(*held, strict=True)])
+            held, leaving = [], key[last]
     if held:
         yield from solve([pa.concat_arrays(x) for x in zip(*held, strict=True)])
 
@@ -308,6 +322,10 @@ def prefix_pairs(keys: DataFrame, similarity: float) -> DataFrame:
     members of a long run, each as an ``a`` without ``b``, with its place ``at`` among the text's keys as ``nb``."""
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
 
+    def members(cols):
+        key, rep, n, place = cols
+        yield batch_of(schema, key, rep, pa.nulls(len(key), pa.int64()), n, place)
+
     def solve(cols):
         key, rep, n, place = (c.to_numpy(zero_copy_only=False) for c in cols)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -316,7 +334,7 @@ def prefix_pairs(keys: DataFrame, similarity: float) -> DataFrame:
         to_end = np.repeat(starts + sizes, sizes) - np.arange(len(key))
         long = of > RUN_PAIRS
         if long.any():
-            yield batch_of(schema, key[long], rep[long], pa.nulls(int(long.sum()), pa.int64()), n[long], place[long])
+            yield from members((key[long], rep[long], n[long], place[long]))
         at = np.flatnonzero((to_end > 1) & ~long)
         gap = 1
         while len(at):
@@ -328,7 +346,7 @@ def prefix_pairs(keys: DataFrame, similarity: float) -> DataFrame:
             at = at[to_end[at] > gap]
 
     dealt = keys.repartition("key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(lambda batches: _runs(batches, 4, solve), "key long, a long, b long, na int, nb int")
+    return dealt.mapInArrow(lambda batches: _runs(batches, 4, solve, RUN_PAIRS, members), "key long, a long, b long, na int, nb int")
 
 
 def sketch_forest(cols: list, similarity: float) -> np.ndarray:
@@ -446,8 +464,9 @@ def spanning_links(rows: DataFrame, payload: list[str], forest, block: int, atta
         return forests(attach(rows.withColumn("cell", F.col("group"))), payload, forest)
     part = lambda n, seed=0: F.pmod(F.xxhash64("member", F.lit(seed)), F.ceil(F.col(n) / block))
     dealt = rows.join(large, "group", "left").withColumn("cell", F.when(F.col("m").isNull(), F.col("group")).otherwise(F.xxhash64("group", part("m"))))
-    first = stored(forests(attach(dealt), payload, forest), "near-first")
-    hot = stored(attach(rows.join(large, "group")), "near-hot")
+    dealt = stored(attach(dealt), "near-dealt")
+    first = stored(forests(dealt, payload, forest), "near-first")
+    hot = dealt.where("m is not null").drop("cell")
 
     def labelled(links: DataFrame) -> DataFrame:
         found = connected_components(links).select(F.col("u").alias("member"), F.col("v").alias("label"))
@@ -519,10 +538,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = stored(ids.join(reps, "tkey").where("not (doc_id <=> rep) or rep is null").select("doc_id", "tkey").distinct(), "near-again")
     hint = F.broadcast if again.count() * 40 <= BROADCAST_BYTES else lambda x: x
     chief = base.alias("x").join(hint(again).alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tkey") == F.col("y.tkey")), "left_anti")
-    prints = stored(prints_of(chief, shingle, similarity, frequent_shingles(chief, shingle)), "near-prints")
+    frequent, n_hot = frequent_shingles(chief, shingle)
+    prints = stored(prints_of(chief, shingle, similarity, frequent), "near-prints")
     keys = prints.select(F.col("doc_id").alias("rep"), "n", F.posexplode("keys").alias("at", "key")).select("key", "rep", "n", "at")
-    met = stored(prefix_pairs(keys, similarity), "near-met")
-    long = met.where("b is null").select(F.col("key").alias("group"), F.col("a").alias("member"), F.col("na").alias("n"), F.col("nb").alias("place"))
+    # A hot shingle's texts count as a long run, however many they are: their rows needn't meet in one task.
+    hot = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in frequent[len(frequent) - n_hot :].view(np.int64).tolist()], "key long"))
+    met = stored(prefix_pairs(keys.join(hot, "key", "left_anti"), similarity), "near-met")
+    apart = keys.join(hot, "key", "left_semi").select(F.col("key").alias("group"), F.col("rep").alias("member"), "n", F.col("at").alias("place"))
+    seen = met.where("b is null").select(F.col("key").alias("group"), F.col("a").alias("member"), F.col("na").alias("n"), F.col("nb").alias("place"))
+    long = stored(seen.unionByName(apart), "near-runs")
     # Of two texts, x with the lesser last key: shingles in common are keys of both, or among x's others.  So a pair
     # needs this many common keys; those in long runs are at most the fewer of the two texts' keys there.
     common = met.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
@@ -536,7 +560,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched = lambda rows: rows.join(prints.select(F.col("doc_id").alias("member"), "sketch"), "member")
     maybe = sketches_allow(short, prints, similarity).unionByName(spanning_links(long, ["n", "place", "sketch"], lambda cols: sketch_forest(cols, similarity), RUN_BLOCK, sketched))
     families = connected_components(maybe)
-    for no_longer_read in (prints, met, in_long, short):
+    for no_longer_read in (prints, met, long, in_long, short):
         discard(no_longer_read)
     members = stored(families.select(F.col("v").alias("group"), F.col("u").alias("member")).unionByName(families.select(F.col("v").alias("group"), F.col("v").alias("member")).distinct()), "near-families")
     sets = stored(shingle_sets(chief, members, shingle), "near-sets")
