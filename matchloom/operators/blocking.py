@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
+from .skew import balanced_join
 
 # They decide which candidates come out.
 TOP_FINAL, TOP_BROAD, TOP_NAME = 20, 50, 15
@@ -33,17 +34,20 @@ def _sides(s1: DataFrame, others: DataFrame, key: Column, **more: Column) -> tup
     return a, b
 
 
+def _key_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct pairs of equal country and key; hot keys are dealt over tasks."""
+    return balanced_join(a.where("key is not null"), b.where("key is not null"), ["n", "key"], *PAIR).select(*PAIR).distinct()
+
+
 def exact_name_pairs(s1: DataFrame, others: DataFrame) -> DataFrame:
     """Pairs with equal normalised names of three characters or more."""
-    a, b = _sides(s1, others, F.when(F.length("norm_name") >= 3, F.col("norm_name")))
-    return a.where("key is not null").join(b.where("key is not null"), ["n", "key"]).select(*PAIR).distinct()
+    return _key_pairs(*_sides(s1, others, F.when(F.length("norm_name") >= 3, F.col("norm_name"))))
 
 
 def sorted_token_pairs(s1: DataFrame, others: DataFrame) -> DataFrame:
     """Pairs whose significant name tokens are equal as sets."""
     key = F.when((F.length("norm_name") >= 3) & (F.size("name_tokens") > 0), X.sorted_key("name_tokens"))
-    a, b = _sides(s1, others, key)
-    return a.where("key is not null").join(b.where("key is not null"), ["n", "key"]).select(*PAIR).distinct()
+    return _key_pairs(*_sides(s1, others, key))
 
 
 def token_frequencies(others: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def _token_rows(s1: DataFrame, others: DataFrame, rare: DataFrame) -> DataFrame:
     """(pair, token, df) of shared rare tokens; a token's rows on the other side are bounded by its df."""
     a, b = _sides(s1, others, F.explode("name_tokens"))
     rare = rare.select("n", F.col("token").alias("key"), "df")
-    return a.join(b.join(rare, ["n", "key"]), ["n", "key"]).select(*PAIR, F.col("key").alias("token"), "df")
+    return balanced_join(a, b.join(rare, ["n", "key"]), ["n", "key"], *PAIR).select(*PAIR, F.col("key").alias("token"), "df")
 
 
 def rare_token_pairs(s1: DataFrame, others: DataFrame, rare: DataFrame | None = None) -> DataFrame:
@@ -201,9 +205,18 @@ def pair_cosine(pairs: DataFrame, s1: DataFrame, others: DataFrame) -> DataFrame
     return pairs.select(*PAIR).join(a, PAIR[0]).join(b, PAIR[1]).select(*PAIR, S.dot("ea", "eb").alias("sim"))
 
 
-def train_like(s1: DataFrame, others: DataFrame, knn: str = "exact") -> DataFrame:
+def neighbours(s1: DataFrame, others: DataFrame, knn: str = "auto") -> DataFrame:
+    """kNN pairs by a named way: ``auto`` compares all in small countries and searches a tree of cells in large ones."""
+    if knn == "auto":
+        from .cells import nearest
+
+        return nearest(s1, others)
+    return {"exact": knn_pairs, "ivf": knn_pairs_ivf}[knn](s1, others)
+
+
+def train_like(s1: DataFrame, others: DataFrame, knn: str = "auto") -> DataFrame:
     """(pair, embed_cos) by the training profile; records carry ``embedding``."""
-    near = (knn_pairs if knn == "exact" else knn_pairs_ivf)(s1, others)
+    near = neighbours(s1, others, knn)
     names = exact_name_pairs(s1, others).union(sorted_token_pairs(s1, others)).union(fuzzy_name_pairs(s1, others)).distinct()
     tokens = rare_token_pairs(s1, others)
     return merge_streams(near, tokens, names, pair_cosine(tokens.union(names).distinct(), s1, others))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import blocking as B
-from ..operators import embedding, features, metrics, sampling, tfidf
+from ..operators import blockmax, cells, embedding, features, metrics, sampling, segments, tfidf
 from ..operators import validate as V
 from ..operators.blocking import PAIR
 from . import fixtures as fx
@@ -176,6 +176,24 @@ def fuzzy_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.fuzzy_name_pairs(*fx.sides(spark, sf_dir))
 
 
+ORACLE_SQL["fuzzy_name_pairs_segments"] = ORACLE_SQL["fuzzy_name_pairs"]
+
+
+@_query()
+def fuzzy_name_pairs_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs by an index of name segments."""
+    return segments.fuzzy_name_pairs(*fx.sides(spark, sf_dir))
+
+
+@_query(f"""WITH {_REC}, sc AS (SELECT {_PAIRS}, {_JAC('a.name_tokens', 'b.name_tokens')} AS score
+    FROM tok p JOIN s1 a ON a.entity_id = p.source1_entity_id JOIN oth b ON b.entity_id = p.candidate_entity_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY score DESC, candidate_entity_id) AS k FROM sc)
+    SELECT {_PAIRS}, round(score, 6) AS score FROM r WHERE k <= 20""")
+def rare_token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs that share a rare token, each record's 20 best by name Jaccard, from a block-max index."""
+    return blockmax.rare_token_topk(*fx.sides(spark, sf_dir)).select(*PAIR, F.round("score", 6).alias("score"))
+
+
 def _met_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s1, others = fx.sides(spark, sf_dir)
     return B.exact_name_pairs(s1, others).union(B.rare_token_pairs(s1, others)).distinct(), s1, others
@@ -236,6 +254,20 @@ def knn_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(*PAIR, F.round("sim", 4).alias("sim"))
 
 
+@_query()
+def knn_topk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours by a tree of cells of at most 64 vectors; tests measure their recall against the exact ones."""
+    near = cells.knn_pairs_tree(*fx.vectors(spark, sf_dir), k=20, min_sim=0.3, leaf=64)
+    return near.select(*PAIR, F.round("sim", 4).alias("sim"))
+
+
+@_query(ORACLE_SQL["knn_topk"])
+def knn_topk_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default way: small countries by comparing all, in blocks."""
+    near = cells.nearest(*fx.vectors(spark, sf_dir), k=20, min_sim=0.3)
+    return near.select(*PAIR, F.round("sim", 4).alias("sim"))
+
+
 @_query(f"""WITH {_REC}{_SCORED},
     nm AS (SELECT * FROM exact UNION SELECT * FROM srt),
     allp AS (SELECT {_PAIRS}, bool_or(nm) AS nm FROM (SELECT *, false AS nm FROM tok UNION ALL SELECT *, true AS nm FROM nm) GROUP BY ALL),

@@ -18,7 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("train")
     p.add_argument("--data-dir", required=True)
     p.add_argument("--out-dir", required=True)
-    p.add_argument("--knn", default="exact", choices=["exact", "ivf"])
+    p.add_argument("--knn", default="auto", choices=["auto", "exact", "ivf"])
     p.add_argument("--iterations", type=int, default=60, help="trees of the classifier")
     p.add_argument("--step", type=float, default=0.1, help="weight of each tree")
     p = sub.add_parser("predict")
@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--model-path")
     p.add_argument("--countries", default="all")
     p.add_argument("--profile", default="train_like", choices=["train_like", "predict_like"])
-    p.add_argument("--knn", default="exact", choices=["exact", "ivf"])
+    p.add_argument("--knn", default="auto", choices=["auto", "exact", "ivf"])
     p.add_argument("--part-files", action="store_true", help="results in one file a task, in place of one file")
     p.add_argument("--split-input", action="store_true", help="no line ends within quotes, so that large files are split")
     p = sub.add_parser("sample")

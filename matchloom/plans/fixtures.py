@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.blocking import PAIR
 from ..sources import tsv
+from ..sources.store import kept
 
 ENTITY = """
     doc_id,
@@ -37,9 +38,9 @@ def _split(select: str) -> list[str]:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(source 1, others) as normalised records."""
-    raw = entities(spark, sf_dir)
-    return tsv.records(raw.where("src = 1")), tsv.records(raw.where("src > 1"))
+    """(source 1, others) as normalised records, normalised once and kept for all streams of a query."""
+    rows = kept(tsv.records(entities(spark, sf_dir)), "records")
+    return rows.where("entity_id like 'S1-%'"), rows.where("entity_id not like 'S1-%'")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

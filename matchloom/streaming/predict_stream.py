@@ -11,7 +11,7 @@ from ..plans import linkage
 from ..sources import tsv
 
 
-def predict_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, linker: linkage.Linker, others: DataFrame, profile: str = "train_like", knn: str = "exact", once: bool = True) -> StreamingQuery:
+def predict_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, linker: linkage.Linker, others: DataFrame, profile: str = "train_like", knn: str = "auto", once: bool = True) -> StreamingQuery:
     """Append candidate and match lists as Parquet, one folder per batch, so a batch that runs again replaces its own."""
     raw = spark.readStream.schema(tsv.RECORD).option("sep", "\t").option("header", True).option("escape", '"').csv(in_dir)
     raw = raw.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in tsv.RECORD.names))
