@@ -6,7 +6,8 @@ case, group 2 of 12 or more characters; access ``AKIA[A-Z0-9]+`` of 18 or more;
 
 The method adds spans of kind markov: runs of 20 or more key-like characters, or what the patterns leave of
 them in pieces of 20 or more, whose log-likelihood under
-a character bigram model of random strings exceeds that under a model of ordinary identifiers.  Both
+a character bigram model of random strings exceeds that under a model of ordinary identifiers.  Of other runs, the stretches
+that do so by themselves are marked, so that what stands beside a key doesn't outweigh it.  Both
 models are counted from labelled strings: values of pattern matches and seeded random strings on one
 side, ordinary words of the documents and a list of identifiers on the other.  The documents for that
 are a bounded sample (``train_docs``), all with small hashes of their id; scanning reads every text.
@@ -39,6 +40,8 @@ TRAIN_DOCS = 2000
 RANDOM_STRINGS = 1500
 #: Natural-log odds a candidate must exceed.
 MARGIN = 10.0
+#: Characters of a stretch within a run, at least.
+STRETCH = 16
 
 #: Ordinary identifiers, labelled 0: words of common programs and addresses.
 IDENTIFIERS = """
@@ -121,7 +124,7 @@ def base_spans(text: Column) -> list[Column]:
 def labelled_strings(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(value, label): 1 for random strings, 0 for ordinary words; from documents (doc_id, text)."""
     spark = docs.sparkSession
-    rank = F.xxhash64("doc_id", F.lit(11))
+    rank = F.xxhash64("doc_id", "text", F.lit(11))  # with the text, as ids may all be null or equal
     last = docs.select(rank.alias("rank")).orderBy("rank").limit(train_docs).agg(F.max("rank")).first()[0]
     sample = docs.where(rank <= (last if last is not None else 0)).select("text")
     values = F.concat(
@@ -174,6 +177,44 @@ def log_ratio(value: Column, table: list[float]) -> Column:
     return _let(F.transform(F.split(value, ""), lambda c: F.ascii(c)), total)
 
 
+def stretches(value: Column, table: list[float], margin: float) -> Column:
+    """Spans (start, end) within a string of ASCII characters that are likelier random than ordinary, whatever stands
+    beside them.
+
+    The running sum of log-likelihood ratios starts anew wherever it falls to its lowest so far; each such start has its
+    highest sum after it.  Where this exceeds the margin over ``STRETCH`` characters or more, the stretch between is
+    marked, widened to the letters and digits that it is part of.
+    """
+    ratios, whole = F.lit([round(x * 10_000) for x in table]), F.lit(round(margin * 10_000))
+    number = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+
+    def scored(codes: Column) -> Column:
+        steps = F.transform(codes, lambda b, i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(ratios, F.get(codes, i - 1) * 128 + b).cast("long")))
+        return _let(steps, lambda steps: F.when(highest(steps) > whole, _let(running(steps, lambda a, b: a + b), lambda sums: found(codes, sums))))
+
+    def highest(steps: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        state = F.struct(zero.alias("s"), zero.alias("top"))
+        add = lambda a, x: _let(F.greatest(a["s"] + x, zero), lambda s: F.struct(s.alias("s"), F.greatest(a["top"], s).alias("top")))
+        return F.aggregate(steps, state, add)["top"]
+
+    def found(codes: Column, sums: Column) -> Column:
+        lows = running(F.transform(sums, lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))), F.least)
+        gains = _let(lows, lambda lows: F.transform(sums, lambda p, j: F.struct((-F.get(lows, j)["i"]).alias("a"), (p - F.get(lows, j)["p"]).alias("s"), (-j).alias("j"))))
+        best = running(gains, lambda x, y: F.when(x["a"] == y["a"], F.greatest(x, y)).otherwise(x))
+        last = lambda best: F.filter(best, lambda x, i: F.coalesce(F.get(best, i + 1)["a"] != x["a"], F.lit(True)))
+        peaks = F.filter(_let(best, last), lambda x: (x["s"] > whole) & (-x["j"] - x["a"] + 1 >= STRETCH))
+        letter = lambda c: c.between(48, 57) | c.between(65, 90) | c.between(97, 122)
+        n = F.size(codes)
+        before = running(F.transform(codes, lambda c, i: F.when(letter(c), F.lit(-1)).otherwise(i)), F.greatest)
+        after = F.reverse(running(F.reverse(F.transform(codes, lambda c, i: F.when(letter(c), n).otherwise(i))), F.least))
+        widened = lambda lo, hi: F.transform(peaks, lambda x: F.struct((F.get(lo, x["a"]) + 1).alias("start"), F.get(hi, -x["j"]).alias("end")))
+        return _let(before, lambda lo: _let(after, lambda hi: F.array_distinct(widened(lo, hi))))
+
+    none = F.filter(F.array(number), lambda _: F.lit(False))
+    return F.coalesce(_let(F.transform(F.split(value, ""), lambda c: F.ascii(c)), scored), none)
+
+
 def with_spans(docs: DataFrame, text: str, table: list[float], margin: float = MARGIN, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
     """docs with two columns more: arrays of (start, end, kind) sorted by start, then kind, of a column of texts.
 
@@ -185,8 +226,9 @@ def with_spans(docs: DataFrame, text: str, table: list[float], margin: float = M
     blank = lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
     held = held.withColumn(bare, rewritten(F.col(text), F.col(names[0]), blank))
     held = held.withColumn(runs, matches(F.col(bare), CANDIDATE, 0, 20, 3, value=True))
-    likely = F.filter(F.col(runs), lambda r: log_ratio(r["value"], table) > margin)
-    likely = F.transform(likely, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))
+    span = lambda r, start, end: F.struct(start.alias("start"), end.alias("end"), r["kind"].alias("kind"))
+    parts = lambda r: F.transform(stretches(r["value"], table, margin), lambda x: span(r, r["start"] + x["start"], r["start"] + x["end"]))
+    likely = F.flatten(F.transform(F.col(runs), lambda r: F.when(log_ratio(r["value"], table) > margin, F.array(span(r, r["start"], r["end"]))).otherwise(parts(r))))
     return held.withColumn(names[1], F.array_sort(F.concat(F.col(names[0]), F.coalesce(likely, none)))).drop(bare, runs)
 
 

@@ -10,8 +10,8 @@ landmarks are words that stand in toxic rows far more often than in clean ones;
 largest kernel values per landmark above ``FLOOR``, mapped by K_LL^(-1/2); a linear SVM with hinge loss is
 fitted to the labels, and its margins are calibrated to probabilities by logistic regression.
 
-Scoring reads whole texts: every word is weighed, one of over ``LONGEST`` letters by its words between signs and, at
-every letter, by windows as long as the landmarks, so that an insult isn't diluted by what it stands in.  A word is
+Scoring reads whole texts: every word is weighed, whole, by its words between signs and, at every letter, by windows as
+long as the landmarks, so that an insult isn't diluted by what it stands in, whatever that word's length.  A word is
 passed over only if the part of its features that any landmark has (``NEAR``) is too small.  Labels, lang, source and doc_id are no inputs.  Null
 and empty texts, and all texts if there is no label of each kind, score the calibrated value of no match.
 Repeated rows score alike; null labels are left out; an empty table gives no rows; extra columns are not read.
@@ -47,7 +47,8 @@ _SPELLED = re.compile(r"(?<!\S)(?:[a-z][ .\-_*]){3,}[a-z](?!\S)")
 _PLAIN = re.compile(r"[a-z]+")
 _OUT = re.compile(r"[^a-z]+")
 _SIGNS = re.compile(r"[^\w@$!]+|_+")
-#: Words of more characters are weighed by their parts.  Windows that are looked at together.
+#: Words of more characters are no landmarks, aren't kept from text to text, and have no kernel value as a whole: it would
+#: be below that of their windows.  Windows that are looked at together.
 LONGEST, WINDOWS = 24, 1 << 12
 
 
@@ -62,9 +63,9 @@ def fold(word: str) -> str:
 
 
 def parts(word: str) -> list[str]:
-    """The folded word; of one over ``LONGEST`` characters, its folded words between signs."""
-    if len(word) <= LONGEST:
-        return [fold(word)]
+    """The folded word and its folded words between signs."""
+    if _PLAIN.fullmatch(word):
+        return [word]
     return sorted({fold(word), *map(fold, _SIGNS.split(word))} - {""})
 
 
@@ -116,7 +117,7 @@ class Kernel:
     """Kernel values of words against landmarks."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks, self.sizes = landmarks, sorted({len(w) for w in landmarks if len(w) <= LONGEST})
+        self.landmarks, self.sizes = landmarks, sorted({len(w) for w in landmarks})
         at, code, weight = features(landmarks)
         used, column = np.unique(code, return_inverse=True)
         dense = np.zeros((len(landmarks), len(used)), np.float32)
@@ -167,6 +168,46 @@ class Kernel:
         """Kernel values above the floor, scaled to 0..1, of folded words."""
         return np.maximum(self.values(words) - FLOOR, 0) / (1 - FLOOR)
 
+    def short_rows(self, words: set[str]) -> dict[str, np.ndarray]:
+        """The largest scaled values of words of up to LONGEST characters: of their parts, and of the windows of these."""
+        owners: dict[str, list[str]] = {}
+        for w in words:
+            for part in parts(w):
+                owners.setdefault(part, []).append(w)
+        best: dict[str, np.ndarray] = {}
+        folded = sorted(owners, key=len)
+        for i in range(0, len(folded), 2048):
+            some = folded[i : i + 2048]
+            letters, sizes = _letters(some)
+            texts, of = [], []
+            hit = np.flatnonzero(self.near(letters, sizes))
+            texts += [some[k] for k in hit.tolist()]
+            of.append(hit)
+            for size in self.sizes:
+                longer = np.flatnonzero(sizes - 1 > size)
+                if not len(longer):
+                    continue
+                places = np.lib.stride_tricks.sliding_window_view(letters[longer, 1:], size, axis=1)
+                row, at = np.nonzero(np.arange(places.shape[1]) + size < sizes[longer, None])
+                windows = np.zeros((len(row), size + 5), np.int32)
+                windows[:, 0], windows[:, 1 : size + 1] = 27, places[row, at]
+                near = np.flatnonzero(self.near(windows, np.full(len(row), size + 1)))
+                row, at = longer[row[near]], at[near]
+                texts += [some[k][j : j + size] for k, j in zip(row.tolist(), at.tolist(), strict=True)]
+                of.append(row)
+            if not texts:
+                continue
+            unique = sorted(set(texts), key=len)
+            number = {t: k for k, t in enumerate(unique)}
+            values = np.concatenate([self.above(unique[k : k + 4096]) for k in range(0, len(unique), 4096)])
+            kept = values.any(axis=1)
+            for text, k in zip(texts, np.concatenate(of).tolist(), strict=True):
+                j = number[text]
+                if kept[j]:
+                    for w in owners[some[k]]:
+                        best[w] = np.maximum(best[w], values[j]) if w in best else values[j]
+        return best
+
     def long_row(self, word: str) -> np.ndarray:
         """The largest scaled values of a long word: of its words between signs, and of windows at every letter."""
         best = self.rows[0].copy()
@@ -204,16 +245,10 @@ class Kernel:
         met = [w for w in new if w in self.older]
         self.known.update((w, self.older[w]) for w in met)
         new.difference_update(met)
-        folded = sorted(((fold(w), w) for w in new), key=lambda x: len(x[0]))
         self.known.update(dict.fromkeys(new, 0))
-        for i in range(0, len(folded), 2048):
-            some = folded[i : i + 2048]
-            near = [some[j] for j in np.flatnonzero(self.near(*_letters([f for f, _ in some]))).tolist()]
-            if near:
-                above = self.above([f for f, _ in near])
-                for j in np.flatnonzero(above.any(axis=1)).tolist():
-                    self.known[near[j][1]] = len(self.rows)
-                    self.rows.append(above[j])
+        for word, row in self.short_rows(new).items():
+            self.known[word] = len(self.rows)
+            self.rows.append(row)
         out = np.zeros((len(texts), len(self.landmarks)), np.float32)
         for k, s in enumerate(sets):
             if near := {self.known[w] for w in s} - {0}:
@@ -239,8 +274,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: s
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     marks = marks.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(train_rows)
-    # at most train_rows pairs of a long and an int
-    return id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    # at most train_rows pairs of a long and an int; of documents that share an id, the text of the smallest hash
+    found = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
 
 
 def pick_landmarks(rows: DataFrame, landmarks: int) -> list[str]:
@@ -252,7 +288,7 @@ def pick_landmarks(rows: DataFrame, landmarks: int) -> list[str]:
             seen: dict[str, list[int]] = {}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w in {part for w in words_of(text) for part in parts(w)}:
-                    if len(w) >= 3:
+                    if 3 <= len(w) <= LONGEST:
                         seen.setdefault(w, [0, 0])[0 if y else 1] += 1
             if seen:
                 yield batch_of(schema, list(seen), [v[0] for v in seen.values()], [v[1] for v in seen.values()])

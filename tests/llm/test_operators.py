@@ -320,6 +320,33 @@ def test_op5_secrets_beside_fixed_spans(spark):
     assert not any(key in rows[d].r for d in range(4)) and rows[3].r == "[SECRET]-short"
 
 
+def brute_stretches(run, table):
+    """Stretches by going along the run once: the sum starts anew at each new lowest, and its highest ends a stretch."""
+    total = low = 0
+    start, top, end, out = 0, 0, 0, []
+
+    def close():
+        if top > secrets.MARGIN * 10_000 and end - start + 1 >= secrets.STRETCH:
+            a, b = start, end
+            while run[a].isalnum() and a and run[a - 1].isalnum():
+                a -= 1
+            while run[b].isalnum() and b + 1 < len(run) and run[b + 1].isalnum():
+                b += 1
+            span = (a + (not run[a].isalnum()), b + run[b].isalnum())
+            if span not in out:
+                out.append(span)
+
+    for j in range(1, len(run)):
+        total += round(table[ord(run[j - 1]) * 128 + ord(run[j])] * 10_000)
+        if total <= low:
+            close()
+            low, start, top, end = total, j, 0, j
+        elif total - low > top:
+            top, end = total - low, j
+    close()
+    return out
+
+
 def brute_scan(t, table):
     """base and all spans (start, kind, end), and the redacted text."""
     base = sorted((int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in brute_spans(t).split(",") if x))
@@ -330,6 +357,8 @@ def brute_scan(t, table):
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(bare)):
         if sum(table[ord(x) * 128 + ord(y)] for x, y in zip(m[0], m[0][1:], strict=False)) > secrets.MARGIN:
             spans.append((m.start(), 3, m.end()))
+        else:
+            spans += [(m.start() + a, 3, m.start() + b) for a, b in brute_stretches(m[0], table)]
     spans.sort()
     out, at = [], 0
     for a, _, b in spans:
@@ -359,6 +388,24 @@ def test_op5_spans_and_redaction_by_brute_force(spark):
     scanned(spark, texts, table)
 
 
+def test_op5_keys_beside_ordinary_text(spark):
+    """Keys of 20 characters behind and within identifiers are found, and the identifiers alone aren't marked."""
+    table = secrets.train(secrets.labelled_strings(spark.createDataFrame([], "doc_id long, text string")))
+    r, letters = random.Random(11), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ["user_interface_component_settings_ab", "customer_relationship_manager_notification_service_url", "organizational-unit/name/authentication-provider/with/the/longest-of-all/identifiers-x"]
+    texts, keys = [], []
+    for name in names:
+        for shape in ("{n}={k}", "{k}/{n}", "{n}_{k}-{n}"):
+            for _ in range(40):
+                key = "".join(r.choices(letters, k=20))
+                texts.append("see " + shape.format(n=name, k=key) + " for it")
+                keys.append(key)
+    found = scanned(spark, texts + names, table).collect()
+    hit = [any(s.start <= texts[x.doc_id].index(keys[x.doc_id]) + 2 and s.end >= texts[x.doc_id].index(keys[x.doc_id]) + 18 for s in x.spans) for x in found if x.doc_id < len(texts)]
+    print(sum(hit) / len(hit))
+    assert sum(hit) >= 0.95 * len(hit) and not any(x.spans for x in found if x.doc_id >= len(texts))
+
+
 def test_op5_long_texts(spark):
     """A run of a megabyte, a name of a megabyte (in the labelled sample too) and 20,000 matches in one text."""
     r, letters = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -415,6 +462,35 @@ def test_op6_held_out(spark):
     assert {x.predicted for x in toxicity.score(docs, nothing).collect()} == {0}
 
 
+def test_op6_insults_within_words_of_any_length():
+    """The same insult has about the same value in words of 9 to 60 letters."""
+    kernel = toxicity.Kernel(["blortwit", "scoundrel"])
+    values = []
+    for n in range(1, 52):
+        filler = ("kemunadi" * 8)[:n]
+        for word in (filler[: n // 2] + "blortwit" + filler[n // 2 :], "blortwit" + filler, filler + "blortwit", filler + "-blortwit."):
+            values.append(kernel.row([f"see {word} there"])[0, 0])
+    assert min(values) > 0.99 and kernel.row(["kemunadi" * 3 + " kemunadi kemuna"])[0].max() == 0
+
+
+def test_op6_query_columns(spark, tmp_path):
+    """held_out is told for every row, scores learn nothing from the held-out fold, and rows that share an id count once."""
+    r = random.Random(3)
+    rows = [(i if i % 50 else None, " ".join([*(f"word{r.randrange(80)}" for _ in range(12)), *(["blortwit"] if i % 4 == 0 else [])])) for i in range(800)] + [(3, "blortwit again")] * 5
+    marks = [(i, int(i % 4 == 0)) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op6_toxicity(spark, str(tmp_path)).collect()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 0
+    assert len(got) == len(rows) and all(x.held_out is held(x.doc_id) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got)
+    assert all(x.predicted == int(x.doc_id % 4 == 0) for x in got if x.doc_id is not None and x.doc_id != 3)
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    assert toxicity.training_rows(docs, labels, 10**6, "doc_id", "text", "toxic").count() == sum(not held(d) for d in {d for d, _ in rows} - {None})
+    flipped = labels.withColumn("toxic", secrets.F.when(secrets.F.pmod(secrets.F.crc32(secrets.F.col("doc_id").cast("string")), secrets.F.lit(5)) == 0, 1 - secrets.F.col("toxic")).otherwise(secrets.F.col("toxic")))
+    same = toxicity.score(docs, toxicity.train(docs, flipped)).select("doc_id", "score").collect()
+    assert sorted((x.doc_id or -1, x.score) for x in same) == sorted((x.doc_id or -1, x.score) for x in got)
+
+
 def test_op6_long_words_are_weighed_by_their_parts():
     kernel = toxicity.Kernel(["scoundrel"])
     letters = "".join(random.Random(3).choice("bcdfghjkmpqtvwxz") for _ in range(500))
