@@ -123,6 +123,20 @@ def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entity_id", "country_norm", "norm_name", "norm_addr", *(X.sorted_key(c).alias(c) for c in ("name_tokens", "addr_tokens", "num_tokens")), "embed_text")
 
 
+@_query("""SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents""")
+def quoted_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written as tab-separated files in order of lang and id, and read back by many tasks a file."""
+    from pyspark.sql import types as T
+
+    from ..sources import quoted
+    from ..sources.store import new_path
+
+    rows, at = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"), new_path(spark, "quoted")
+    quoted.write_quoted(rows, at, ["lang", "doc_id"])
+    back = quoted.read_quoted(spark, at, T.StructType([T.StructField(c, T.StringType()) for c in rows.columns]))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @_query(f"""WITH {_REC} SELECT entity_id, postal_code FROM rec""")
 def postal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import tsv

@@ -22,16 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own below the shared folder; what is there is removed when the driver ends."""
+    path = f"{shared_folder(spark)}/matchloom-store/{tag}-{uuid.uuid4().hex[:12]}"
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
-    """The table, written as Parquet below the shared folder and read back; removed when the driver ends.
+    """The table, written as Parquet below the shared folder and read back.
 
     Its lineage ends there, so a lost executor costs what it was working on and nothing before.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/matchloom-store/{tag}-{uuid.uuid4().hex[:12]}"
-    if not _WRITTEN:
-        atexit.register(_sweep)
-    _WRITTEN.append((spark, path))
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
