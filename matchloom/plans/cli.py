@@ -29,7 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--profile", default="train_like", choices=["train_like", "predict_like"])
     p.add_argument("--knn", default="auto", choices=["auto", "exact", "ivf"])
     p.add_argument("--part-files", action="store_true", help="results in one file a task, in place of one file")
-    p.add_argument("--split-input", action="store_true", help="no line ends within quotes, so that large files are split")
+    p.add_argument("--split-input", action="store_true", help="the default; kept for older calls")
+    p.add_argument("--whole-files", action="store_true", help="a task per file, in place of a task per split")
     p = sub.add_parser("sample")
     for name in ("--full-train-dir", "--full-test-dir", "--out-train-dir", "--out-test-dir"):
         p.add_argument(name, required=True)
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         ceiling.orderBy("overall", "country").show(truncate=False)
         print(linker.threshold, linker.stats)
     elif a.command == "predict":
-        linkage.predict_files(spark, a.test_dir, a.out_dir, a.model_path, a.countries, profile=a.profile, knn=a.knn, single=not a.part_files, multi_line=not a.split_input)
+        linkage.predict_files(spark, a.test_dir, a.out_dir, a.model_path, a.countries, profile=a.profile, knn=a.knn, single=not a.part_files, multi_line=a.whole_files)
     elif a.command == "sample":
         train = {"truth": tsv.read_tsv(spark, f"{a.full_train_dir}/train_ground_truth.tsv", tsv.TRUTH)}
         train |= {f"s{k}": tsv.read_tsv(spark, f"{a.full_train_dir}/train_source{k}.tsv", tsv.RECORD) for k in (1, 2, 3)}

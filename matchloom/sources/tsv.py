@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .quoted import read_quoted
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
@@ -18,9 +19,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """Rows of tab-separated files.  ``multi_line`` allows line ends within quotes, and makes each file one task;
-    without it large files are split."""
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Rows of tab-separated files, with line ends within quotes, read in splits; with ``multi_line`` each file is one task."""
+    if not multi_line:
+        return read_quoted(spark, path, schema)
     rows = spark.read.schema(schema).option("sep", "\t").option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     return rows.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in schema.names))
 
@@ -47,13 +49,13 @@ def records(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str, country: str | None = None, multi_line: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, path: str, country: str | None = None, multi_line: bool = False) -> DataFrame:
     """Normalised records of a file, of one country if given; the filter runs before normalisation."""
     raw = read_tsv(spark, path, RECORD, multi_line)
     return records(raw if country is None else raw.where(X.country_norm("country") == country))
 
 
-def read_others(spark: SparkSession, *paths: str, multi_line: bool = True) -> DataFrame:
+def read_others(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
     """Normalised records of all files that exist; none exist: an empty table."""
     raw = spark.createDataFrame([], RECORD)
     for path in paths:
@@ -67,8 +69,8 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Ids are not trimmed; an empty list is a singleton.
     """
-    rows = read_tsv(spark, path, TRUTH).withColumn("__at", F.monotonically_increasing_id())
-    last = rows.groupBy("source1_entity_id").agg(F.max_by("matched_entity_ids", "__at").alias("ids"))
+    rows = read_quoted(spark, path, TRUTH, place=True)
+    last = rows.groupBy("source1_entity_id").agg(F.max_by("matched_entity_ids", F.struct("file", "start", "at")).alias("ids"))
     edges = last.where("ids <> ''").select("source1_entity_id", F.explode(F.array_distinct(F.split("ids", ","))).alias("entity_id"))
     return edges, last.select("source1_entity_id")
 
@@ -78,6 +80,13 @@ def list_text(ids: str | Column) -> Column:
     return F.coalesce(F.array_join(F.array_distinct(F.col(ids) if isinstance(ids, str) else ids), ","), F.lit(""))
 
 
-def write_tsv(rows: DataFrame, path: str, single: bool = False) -> None:
-    """Write strings as bare tab-separated fields; ``single`` for small results that must be one file."""
+def write_tsv(rows: DataFrame, path: str, single: bool = False, order: list[str] | None = None) -> None:
+    """Write strings as bare tab-separated fields; ``single`` for small results that must be one file.
+
+    With ``order`` lines follow these columns, over part files by their names; those that start with __ aren't written.
+    """
+    if order:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        rows = rows.drop(*(c for c in order if c.startswith("__")))
     (rows.coalesce(1) if single else rows).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)

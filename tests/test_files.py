@@ -37,10 +37,20 @@ def test_line_numbers_over_parts(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_line_ends_within_quotes_are_an_option(spark, tmp_path):
+def test_line_ends_within_quotes(spark, tmp_path):
     (tmp_path / "r.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"a\nb"\tx\tUS\n')
-    assert tsv.read_tsv(spark, str(tmp_path / "r.tsv"), tsv.RECORD).count() == 1
-    assert tsv.read_tsv(spark, str(tmp_path / "r.tsv"), tsv.RECORD, multi_line=False).count() == 2
+    both = [tsv.read_tsv(spark, str(tmp_path / "r.tsv"), tsv.RECORD, multi_line=m).collect() for m in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == 1 and both[0][0].business_name == "a\nb"
+
+
+def test_lists_in_order_of_country_then_id(spark, tmp_path):
+    rows = spark.createDataFrame([(f"S1-{i:03d}", f"S2-{i}", "fr" if i % 3 else "de") for i in range(200)], "source1_entity_id string, matched_entity_ids string, __country string").repartition(7)
+    want = [(r[0], r[1]) for r in sorted(rows.collect(), key=lambda r: (r[2], r[0]))]
+    for single in (True, False):
+        tsv.write_tsv(rows, str(tmp_path / f"out{single}"), single, ["__country", "source1_entity_id"])
+        parts = sorted(p for p in (tmp_path / f"out{single}").iterdir() if p.name.startswith("part-"))
+        lines = [x.split("\t") for p in parts for x in p.read_text().splitlines()]
+        assert [tuple(x) for x in lines if x[0] != "source1_entity_id"] == want and len(parts) == (1 if single else 4)
 
 
 def test_package(tmp_path):
