@@ -10,8 +10,8 @@ landmarks are words that stand in toxic rows far more often than in clean ones;
 largest kernel values per landmark above ``FLOOR``, mapped by K_LL^(-1/2); a linear SVM with hinge loss is
 fitted to the labels, and its margins are calibrated to probabilities by logistic regression.
 
-Scoring reads whole texts: every word is weighed, whole, by its words between signs and, at every letter, by windows as
-long as the landmarks, so that an insult isn't diluted by what it stands in, whatever that word's length.  A word is
+Scoring reads whole texts: every word is weighed, whole and by its words between signs; a landmark that stands within a
+longer word, at any place and whatever that word's length, counts as if it stood alone, so what it stands in doesn't dilute it.  A word is
 passed over only if the part of its features that any landmark has (``NEAR``) is too small.  Labels, lang, source and doc_id are no inputs.  Null
 and empty texts, and all texts if there is no label of each kind, score the calibrated value of no match.
 Repeated rows score alike; null labels are left out; an empty table gives no rows; extra columns are not read.
@@ -47,9 +47,9 @@ _SPELLED = re.compile(r"(?<!\S)(?:[a-z][ .\-_*]){3,}[a-z](?!\S)")
 _PLAIN = re.compile(r"[a-z]+")
 _OUT = re.compile(r"[^a-z]+")
 _SIGNS = re.compile(r"[^\w@$!]+|_+")
-#: Words of more characters are no landmarks, aren't kept from text to text, and have no kernel value as a whole: it would
-#: be below that of their windows.  Windows that are looked at together.
-LONGEST, WINDOWS = 24, 1 << 12
+#: Words of more characters are no landmarks and aren't kept from text to text; beside what they contain their kernel value
+#: as a whole would be nothing.
+LONGEST = 24
 
 
 def fold(word: str) -> str:
@@ -64,8 +64,9 @@ def fold(word: str) -> str:
 
 def parts(word: str) -> list[str]:
     """The folded word and its folded words between signs."""
-    if _PLAIN.fullmatch(word):
-        return [word]
+    bare = word.strip(".,;:!?\"'()")
+    if _PLAIN.fullmatch(bare):
+        return [bare]
     return sorted({fold(word), *map(fold, _SIGNS.split(word))} - {""})
 
 
@@ -117,7 +118,7 @@ class Kernel:
     """Kernel values of words against landmarks."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks, self.sizes = landmarks, sorted({len(w) for w in landmarks})
+        self.landmarks = landmarks
         at, code, weight = features(landmarks)
         used, column = np.unique(code, return_inverse=True)
         dense = np.zeros((len(landmarks), len(used)), np.float32)
@@ -130,6 +131,8 @@ class Kernel:
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.rows: list[np.ndarray] = [np.zeros(len(landmarks), np.float32)]
+        self.within = re.compile("|".join(sorted(map(re.escape, landmarks))) or r"(?!)")
+        self.own = self.above(landmarks)
 
     def near(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which words, as _letters() gives them, have enough features of any landmark to be looked at."""
@@ -168,65 +171,45 @@ class Kernel:
         """Kernel values above the floor, scaled to 0..1, of folded words."""
         return np.maximum(self.values(words) - FLOOR, 0) / (1 - FLOOR)
 
+    def contained(self, word: str) -> np.ndarray | None:
+        """The largest scaled values of the landmarks that stand within a folded word; None if none does."""
+        if not self.within.search(word):
+            return None
+        return self.own[[k for k, w in enumerate(self.landmarks) if w in word]].max(axis=0)
+
     def short_rows(self, words: set[str]) -> dict[str, np.ndarray]:
-        """The largest scaled values of words of up to LONGEST characters: of their parts, and of the windows of these."""
+        """The largest scaled values of words of up to LONGEST characters: of their parts, and of the landmarks within them."""
         owners: dict[str, list[str]] = {}
         for w in words:
             for part in parts(w):
                 owners.setdefault(part, []).append(w)
         best: dict[str, np.ndarray] = {}
+
+        def take(part: str, row: np.ndarray) -> None:
+            for w in owners[part]:
+                best[w] = np.maximum(best[w], row) if w in best else row.copy()
+
         folded = sorted(owners, key=len)
         for i in range(0, len(folded), 2048):
             some = folded[i : i + 2048]
-            letters, sizes = _letters(some)
-            texts, of = [], []
-            hit = np.flatnonzero(self.near(letters, sizes))
-            texts += [some[k] for k in hit.tolist()]
-            of.append(hit)
-            for size in self.sizes:
-                longer = np.flatnonzero(sizes - 1 > size)
-                if not len(longer):
-                    continue
-                places = np.lib.stride_tricks.sliding_window_view(letters[longer, 1:], size, axis=1)
-                row, at = np.nonzero(np.arange(places.shape[1]) + size < sizes[longer, None])
-                windows = np.zeros((len(row), size + 5), np.int32)
-                windows[:, 0], windows[:, 1 : size + 1] = 27, places[row, at]
-                near = np.flatnonzero(self.near(windows, np.full(len(row), size + 1)))
-                row, at = longer[row[near]], at[near]
-                texts += [some[k][j : j + size] for k, j in zip(row.tolist(), at.tolist(), strict=True)]
-                of.append(row)
-            if not texts:
-                continue
-            unique = sorted(set(texts), key=len)
-            number = {t: k for k, t in enumerate(unique)}
-            values = np.concatenate([self.above(unique[k : k + 4096]) for k in range(0, len(unique), 4096)])
-            kept = values.any(axis=1)
-            for text, k in zip(texts, np.concatenate(of).tolist(), strict=True):
-                j = number[text]
-                if kept[j]:
-                    for w in owners[some[k]]:
-                        best[w] = np.maximum(best[w], values[j]) if w in best else values[j]
+            near = [some[j] for j in np.flatnonzero(self.near(*_letters(some))).tolist()]
+            if near:
+                above = self.above(near)
+                for j in np.flatnonzero(above.any(axis=1)).tolist():
+                    take(near[j], above[j])
+        for part in filter(self.within.search, folded):
+            take(part, self.contained(part))
         return best
 
     def long_row(self, word: str) -> np.ndarray:
-        """The largest scaled values of a long word: of its words between signs, and of windows at every letter."""
+        """The largest scaled values of a long word: of its words between signs, and of the landmarks within it."""
         best = self.rows[0].copy()
-        pieces = parts(word)
-        for short in (x for x in pieces if len(x) <= LONGEST):
-            best = np.maximum(best, self.above([short])[0])
-        whole = fold(word)
-        if len(whole) <= LONGEST:
-            return best
-        flat = np.frombuffer(whole.encode(), np.uint8).astype(np.int32) - 96
-        for size in self.sizes:
-            windows = np.lib.stride_tricks.sliding_window_view(flat, size)
-            for at in range(0, len(windows), WINDOWS):
-                some = windows[at : at + WINDOWS]
-                letters = np.zeros((len(some), size + 5), np.int32)
-                letters[:, 0], letters[:, 1 : size + 1] = 27, some
-                hit = at + np.flatnonzero(self.near(letters, np.full(len(some), size + 1)))
-                for k in range(0, len(hit), 4096):
-                    best = np.maximum(best, self.above([whole[i : i + size] for i in hit[k : k + 4096].tolist()]).max(axis=0))
+        for part in parts(word):
+            rows = [self.above([part])[0]] if len(part) <= LONGEST else []
+            if (own := self.contained(part)) is not None:
+                rows.append(own)
+            for row in rows:
+                best = np.maximum(best, row)
         return best
 
     def row(self, texts: list[str]) -> np.ndarray:
