@@ -15,6 +15,8 @@ from ..sources.store import kept
 
 #: Share of a task's even work that makes a key heavy, and that a cell of its grid has at most, about.
 HEAVY, CELL = 0.25, 0.125
+#: Rows and pairs of a whole join that need no dealing: a task does them in about a second.
+LIGHT = 1_000_000
 
 
 def heavy_keys(left: DataFrame, right: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame | None:
@@ -22,14 +24,12 @@ def heavy_keys(left: DataFrame, right: DataFrame, keys: list[str], tasks: int |
     if no key has."""
     tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a, b = (rows.groupBy(*keys).agg(F.count("*").cast("double").alias(n)) for rows, n in ((left, "a"), (right, "b")))
-    work = kept(a.join(b, keys).withColumn("work", F.col("a") + F.col("b") + F.col("a") * F.col("b")), "skew-work")
-    total = work.agg(F.sum("work")).first()[0]  # one number
-    if not total:
+    work = a.join(b, keys).withColumn("work", F.col("a") + F.col("b") + F.col("a") * F.col("b"))
+    total, most = work.agg(F.sum("work"), F.max("work")).first()  # two numbers
+    if not total or total <= LIGHT or most <= HEAVY * total / tasks:
         return None
     even = total / tasks
-    heavy = work.where(F.col("work") > HEAVY * even)
-    if heavy.isEmpty():
-        return None
+    heavy = kept(work.where(F.col("work") > HEAVY * even), "skew-heavy")
     cells = F.ceil(F.col("work") / (CELL * even))
     # The grid is shaped as the sides are, so that about as many rows are copied of either.
     high = F.least(F.col("a"), F.greatest(F.lit(1.0), F.ceil(F.sqrt(cells * F.col("a") / F.col("b")))))

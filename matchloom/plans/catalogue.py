@@ -152,32 +152,32 @@ def postal_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_REC} SELECT n, token, df FROM freq")
 def token_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.token_frequencies(fx.sides(spark, sf_dir)[1]).select("n", "token", "df")
+    return B.token_frequencies(fx.names(spark, sf_dir)[1]).select("n", "token", "df")
 
 
 @_query(f"WITH {_REC} SELECT n, token, df FROM rare")
 def rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.rare_tokens_train(fx.sides(spark, sf_dir)[1]).select("n", "token", "df")
+    return B.rare_tokens_train(fx.names(spark, sf_dir)[1]).select("n", "token", "df")
 
 
 @_query(f"WITH {_REC} SELECT n, token, df FROM rare_p")
 def rarer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.rare_tokens_predict(fx.sides(spark, sf_dir)[1]).select("n", "token", "df")
+    return B.rare_tokens_predict(fx.names(spark, sf_dir)[1]).select("n", "token", "df")
 
 
 @_query(f"WITH {_REC} SELECT * FROM exact")
 def exact_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.exact_name_pairs(*fx.sides(spark, sf_dir))
+    return B.exact_name_pairs(*fx.names(spark, sf_dir))
 
 
 @_query(f"WITH {_REC} SELECT * FROM srt")
 def sorted_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.sorted_token_pairs(*fx.sides(spark, sf_dir))
+    return B.sorted_token_pairs(*fx.names(spark, sf_dir))
 
 
 @_query(f"WITH {_REC} SELECT * FROM tok")
 def rare_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.rare_token_pairs(*fx.sides(spark, sf_dir))
+    return B.rare_token_pairs(*fx.names(spark, sf_dir))
 
 
 @_query(f"""WITH {_REC}{_ALPHABET},
@@ -187,7 +187,7 @@ def rare_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
           WHERE abs(length(a.norm_name) - length(b.norm_name)) <= greatest(1, CAST(floor(0.12 * length(a.norm_name)) AS INT)))
     SELECT {_PAIRS} FROM c WHERE levenshtein({_ONE_BYTE('x')}, {_ONE_BYTE('y')}) * 10 < greatest(length(x), length(y))""")
 def fuzzy_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.fuzzy_name_pairs(*fx.sides(spark, sf_dir))
+    return B.fuzzy_name_pairs(*fx.names(spark, sf_dir))
 
 
 ORACLE_SQL["fuzzy_name_pairs_segments"] = ORACLE_SQL["fuzzy_name_pairs"]
@@ -196,7 +196,7 @@ ORACLE_SQL["fuzzy_name_pairs_segments"] = ORACLE_SQL["fuzzy_name_pairs"]
 @_query()
 def fuzzy_name_pairs_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs by an index of name segments."""
-    return segments.fuzzy_name_pairs(*fx.sides(spark, sf_dir))
+    return segments.fuzzy_name_pairs(*fx.names(spark, sf_dir))
 
 
 @_query(f"""WITH {_REC}, sc AS (SELECT {_PAIRS}, {_JAC('a.name_tokens', 'b.name_tokens')} AS score
@@ -205,11 +205,11 @@ def fuzzy_name_pairs_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {_PAIRS}, round(score, 6) AS score FROM r WHERE k <= 20""")
 def rare_token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the pairs that share a rare token, each record's 20 best by name Jaccard, from a block-max index."""
-    return blockmax.rare_token_topk(*fx.sides(spark, sf_dir)).select(*PAIR, F.round("score", 6).alias("score"))
+    return blockmax.rare_token_topk(*fx.names(spark, sf_dir)).select(*PAIR, F.round("score", 6).alias("score"))
 
 
-def _met_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s1, others = fx.sides(spark, sf_dir)
+def _met_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s1, others = (fx.sides if whole else fx.names)(spark, sf_dir)
     return B.exact_name_pairs(s1, others).union(B.rare_token_pairs(s1, others)).distinct(), s1, others
 
 
@@ -222,7 +222,7 @@ def _met_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     round({_JAC('a.num_tokens', 'b.num_tokens')}, 6) AS num_token_jaccard, CAST(len(list_intersect(a.num_tokens, b.num_tokens)) AS DOUBLE) AS num_token_overlap
     FROM (SELECT * FROM exact UNION SELECT * FROM tok) p JOIN s1 a ON a.entity_id = p.source1_entity_id JOIN oth b ON b.entity_id = p.candidate_entity_id""")
 def pair_lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, s1, others = _met_pairs(spark, sf_dir)
+    pairs, s1, others = _met_pairs(spark, sf_dir, whole=True)
     out = features.lexical(pairs, s1, others)
     rounded = ("name_jaccard", "addr_jaccard", "name_lev", "addr_lev", "num_token_jaccard")
     return out.select(*PAIR, *(F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in out.columns if c not in PAIR))
@@ -291,7 +291,7 @@ def knn_topk_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {_PAIRS}, embed_cos FROM r WHERE k <= 20""")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merge of token and name streams, with the name Jaccard in the place of the cosine."""
-    s1, others = fx.sides(spark, sf_dir)
+    s1, others = fx.names(spark, sf_dir)
     tokens = B.rare_token_pairs(s1, others)
     names = B.exact_name_pairs(s1, others).union(B.sorted_token_pairs(s1, others)).distinct()
     a = s1.select(F.col("entity_id").alias(PAIR[0]), F.col("name_tokens").alias("ta"))
@@ -313,7 +313,7 @@ cap AS (SELECT {_PAIRS}, fst.rank = 0 AS exact FROM fst JOIN bf USING (source1_e
 
 @_query(f"WITH {_REC}{_CAPPED} SELECT {_PAIRS}, exact FROM cap")
 def capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.capped_candidates(*fx.sides(spark, sf_dir))
+    return B.capped_candidates(*fx.names(spark, sf_dir))
 
 
 @_query(f"""WITH {_REC}{_CAPPED}{_ALPHABET},
@@ -322,7 +322,7 @@ def capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY name_sim DESC, candidate_entity_id) AS k FROM sc WHERE exact OR name_sim >= 0.25)
     SELECT {_PAIRS}, round(name_sim, 6) AS name_sim FROM r WHERE k <= 15""")
 def name_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, others = fx.sides(spark, sf_dir)
+    s1, others = fx.names(spark, sf_dir)
     return B.name_top(B.capped_candidates(s1, others), s1, others).select(*PAIR, F.round("name_sim", 6).alias("name_sim"))
 
 
@@ -375,7 +375,7 @@ def macro_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_REC}{_SCORED} SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(candidate_entity_id, ',' ORDER BY prob DESC, candidate_entity_id), '') AS candidate_entity_ids
     FROM s1 e LEFT JOIN scored s ON s.source1_entity_id = e.entity_id GROUP BY 1""")
 def output_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, _ = fx.sides(spark, sf_dir)
+    s1, _ = fx.names(spark, sf_dir)
     return linkage.output_lists(fx.scored(spark, sf_dir), s1, "candidate_entity_ids", order="prob")
 
 

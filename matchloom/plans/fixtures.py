@@ -37,12 +37,24 @@ def _split(select: str) -> list[str]:
     return [*out, select[start:]]
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(source 1, others) as normalised records, normalised once and kept for all streams of a query."""
-    rows = kept(tsv.records(entities(spark, sf_dir)), "records")
+#: What the streams of names read of a record.
+NAMES = ["entity_id", "country_norm", "norm_name", "name_tokens"]
+
+
+def sides(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(source 1, others) as normalised records, or some of their columns, normalised once and kept for all streams of a query."""
+    rows = tsv.records(entities(spark, sf_dir))
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # few splits: normalising is work for all cores
+        rows = tsv.records(entities(spark, sf_dir).repartition(cores))
+    rows = kept(rows.select(*columns) if columns else rows, "records")
     return rows.where("entity_id like 'S1-%'"), rows.where("entity_id not like 'S1-%'")
 
 
+def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return sides(spark, sf_dir, *NAMES)
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True edges (source1_entity_id, entity_id): same country and same first 20 characters."""
     raw = entities(spark, sf_dir).select("entity_id", "src", "country", "head")
@@ -62,7 +74,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import similarity as S
     from ..operators import blocking
 
-    s1, others = sides(spark, sf_dir)
+    s1, others = names(spark, sf_dir)
     pairs = blocking.exact_name_pairs(s1, others).union(blocking.rare_token_pairs(s1, others)).distinct()
     a = s1.select(F.col("entity_id").alias(PAIR[0]), F.col("name_tokens").alias("ta"))
     b = others.select(F.col("entity_id").alias(PAIR[1]), F.col("name_tokens").alias("tb"))
