@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import blocking as B
-from ..operators import blockmax, cells, embedding, features, metrics, sampling, segments, tfidf
+from ..operators import blockmax, cells, embedding, features, metrics, sampling, segments, tfidf, tuning
 from ..operators import validate as V
 from ..operators.blocking import PAIR
 from . import fixtures as fx
@@ -433,6 +433,17 @@ def positive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.positive_pairs(*fx.sides(spark, sf_dir), fx.gold(spark, sf_dir))
 
 
+@_query()
+def tuned_pair_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true pairs of held-out entities with their cosines before and after the embedder is tuned on the others."""
+    s1, others = fx.sides(spark, sf_dir, "entity_id", "embed_text")
+    fit, held = sampling.group_split(fx.gold(spark, sf_dir))
+    model = tuning.tune(linkage.positive_pairs(s1, others, fit))
+    side = lambda rows, key, tag: embedding.embed(embedding.embed(rows).withColumnRenamed("embedding", f"plain_{tag}"), load=model.load).select(F.col("entity_id").alias(key), f"plain_{tag}", F.col("embedding").alias(f"tuned_{tag}"))
+    met = held.join(side(s1, PAIR[0], "a"), PAIR[0]).join(side(others, "entity_id", "b"), "entity_id")
+    return met.select(PAIR[0], "entity_id", *(F.round(S.dot(f"{w}_a", f"{w}_b"), 4).alias(f"{w}_cos") for w in ("plain", "tuned")))
+
+
 @_query()
 def train_like_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training profile end to end with the default embedder."""

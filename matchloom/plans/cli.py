@@ -1,4 +1,4 @@
-"""Command line: python -m matchloom.plans.cli train|predict|sample|validate|package ..."""
+"""Command line: python -m matchloom.plans.cli train|predict|finetune|sample|validate|package ..."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from ..operators import sampling, validate
+from ..operators import sampling, tuning, validate
 from ..sources import tsv
 from . import linkage
 
@@ -21,10 +21,17 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--knn", default="auto", choices=["auto", "exact", "ivf"])
     p.add_argument("--iterations", type=int, default=60, help="trees of the classifier")
     p.add_argument("--step", type=float, default=0.1, help="weight of each tree")
+    p.add_argument("--embedder", help="folder that finetune wrote")
+    p = sub.add_parser("finetune")
+    p.add_argument("--data-dir", required=True)
+    p.add_argument("--out-dir", required=True)
+    p.add_argument("--epochs", type=int, default=3)
+    p.add_argument("--batch-size", type=int, default=32)
     p = sub.add_parser("predict")
     p.add_argument("--test-dir", required=True)
     p.add_argument("--out-dir", required=True)
     p.add_argument("--model-path")
+    p.add_argument("--embedder", help="folder that finetune wrote; the one that train had")
     p.add_argument("--countries", default="all")
     p.add_argument("--profile", default="train_like", choices=["train_like", "predict_like"])
     p.add_argument("--knn", default="auto", choices=["auto", "exact", "ivf"])
@@ -49,12 +56,15 @@ def main(argv: list[str] | None = None) -> int:
         print(linkage.package_run(a.team_name, a.root_dir, a.output_tsv_dir, a.zip_dest_dir))
         return 0
     spark = SparkSession.builder.appName("matchloom").getOrCreate()
+    load = tuning.Projection.read(spark, a.embedder).load if getattr(a, "embedder", None) else None
     if a.command == "train":
-        linker, ceiling = linkage.train_files(spark, a.data_dir, a.out_dir, knn=a.knn, iterations=a.iterations, step=a.step)
+        linker, ceiling = linkage.train_files(spark, a.data_dir, a.out_dir, load, knn=a.knn, iterations=a.iterations, step=a.step)
         ceiling.orderBy("overall", "country").show(truncate=False)
         print(linker.threshold, linker.stats)
+    elif a.command == "finetune":
+        print(linkage.tune_files(spark, a.data_dir, a.out_dir, a.epochs, a.batch_size).facts)
     elif a.command == "predict":
-        linkage.predict_files(spark, a.test_dir, a.out_dir, a.model_path, a.countries, profile=a.profile, knn=a.knn, single=not a.part_files, multi_line=a.whole_files)
+        linkage.predict_files(spark, a.test_dir, a.out_dir, a.model_path, a.countries, load, profile=a.profile, knn=a.knn, single=not a.part_files, multi_line=a.whole_files)
     elif a.command == "sample":
         train = {"truth": tsv.read_tsv(spark, f"{a.full_train_dir}/train_ground_truth.tsv", tsv.TRUTH)}
         train |= {f"s{k}": tsv.read_tsv(spark, f"{a.full_train_dir}/train_source{k}.tsv", tsv.RECORD) for k in (1, 2, 3)}
