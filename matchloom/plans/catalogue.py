@@ -466,67 +466,67 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.score(linkage.fit_classifier(fit_rows), held).select(*PAIR, "label", "prob")
 
 
-# ------------------------------------------------------------------ validation rules over literal files
-_VALUES = lambda lines: ", ".join(f"({i + 2}, '{x}')" for i, x in enumerate(lines)).replace("\t", "' || chr(9) || '")
-_LIST = lambda lines, t="": f"""{t}l AS (SELECT * FROM (VALUES {_VALUES(lines)}) t(line_no, value)),
+# ------------------------------------------------------------------ validation rules over lists made of all documents
+_DUCK = lambda sql: sql.format(documents="documents")
+_LIST = lambda lines, t="": f"""{t}l AS ({_DUCK(lines)}),
     {t}r AS (SELECT line_no, contains(value, chr(9)) AS tab, split_part(value, chr(9), 1) AS s1,
           CASE WHEN contains(value, chr(9)) AND trim(split_part(value, chr(9), 2)) <> '' THEN string_split(split_part(value, chr(9), 2), ',') ELSE [] END AS ids FROM {t}l),
     {t}i AS (SELECT DISTINCT s1, unnest(ids) AS id FROM {t}r WHERE tab)"""
-_L = _LIST(fx.LIST_LINES)
-_REQ = ", ".join(f"('{x}')" for x in fx.REQUIRED)
+_L = _LIST(fx.MATCH_LINES)
+_REQ = f"({_DUCK(fx.REQUIRED)})"
 
 
-def _rows(spark: SparkSession) -> DataFrame:
-    return V.parse_lines(fx.list_lines(spark))
+def _rows(spark: SparkSession, sf_dir: str, lines: str = fx.MATCH_LINES) -> DataFrame:
+    return V.parse_lines(fx.of_documents(spark, sf_dir, lines))
 
 
-def _required(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in fx.REQUIRED], "s1 string")
+def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.of_documents(spark, sf_dir, fx.REQUIRED)
 
 
 @_query(f"WITH {_L} SELECT count(*) FILTER (tab) AS n_rows, count(*) FILTER (tab AND len(ids) = 0) AS n_empty, count(*) FILTER (tab AND len(ids) > 0) AS n_nonempty FROM r")
 def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.counts(_rows(spark))
+    return V.counts(_rows(spark, sf_dir))
 
 
 @_query(f"WITH {_L} SELECT line_no FROM r WHERE NOT tab AND trim(s1) <> ''")
 def validate_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.malformed_rows(_rows(spark)).select(F.trim(F.substring_index("line", ":", 1)).cast("int").alias("line_no"))
+    return V.malformed_rows(_rows(spark, sf_dir)).select(F.trim(F.substring_index("line", ":", 1)).cast("int").alias("line_no"))
 
 
 @_query(f"WITH {_L} SELECT s1 FROM r WHERE tab GROUP BY s1 HAVING count(*) > 1")
 def validate_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.duplicate_rows(_rows(spark))
+    return V.duplicate_rows(_rows(spark, sf_dir))
 
 
 @_query(f"WITH {_L} SELECT DISTINCT s1 FROM r WHERE tab AND len(ids) <> len(list_distinct(ids))")
 def validate_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.repeated_ids(_rows(spark))
+    return V.repeated_ids(_rows(spark, sf_dir))
 
 
 @_query(f"WITH {_L} SELECT DISTINCT id FROM i WHERE id LIKE 'S1-%'")
 def validate_self_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.self_matches(_rows(spark))
+    return V.self_matches(_rows(spark, sf_dir))
 
 
 @_query(f"WITH {_L} SELECT DISTINCT id FROM i WHERE NOT regexp_matches(id, '^S[123]-')")
 def validate_wrong_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.wrong_prefixes(_rows(spark))
+    return V.wrong_prefixes(_rows(spark, sf_dir))
 
 
-@_query(f"WITH {_L} SELECT DISTINCT id FROM i WHERE regexp_matches(id, '^S[23]-') AND id NOT IN ({_IN(fx.TARGETS)})")
+@_query(f"WITH {_L} SELECT DISTINCT id FROM i WHERE regexp_matches(id, '^S[23]-') AND id NOT IN ({_DUCK(fx.TARGETS)})")
 def validate_unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.unknown_ids(_rows(spark), spark.createDataFrame([(x,) for x in fx.TARGETS], "id string"))
+    return V.unknown_ids(_rows(spark, sf_dir), fx.of_documents(spark, sf_dir, fx.TARGETS))
 
 
-@_query(f"WITH {_L} SELECT s1 FROM (VALUES {_REQ}) q(s1) WHERE s1 NOT IN (SELECT s1 FROM r WHERE tab)")
+@_query(f"WITH {_L} SELECT s1 FROM {_REQ} q WHERE s1 NOT IN (SELECT s1 FROM r WHERE tab)")
 def validate_missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.missing_rows(_rows(spark), _required(spark))
+    return V.missing_rows(_rows(spark, sf_dir), _required(spark, sf_dir))
 
 
-@_query(f"WITH {_L} SELECT DISTINCT s1 FROM r WHERE tab AND s1 NOT IN (SELECT s1 FROM (VALUES {_REQ}) q(s1))")
+@_query(f"WITH {_L} SELECT DISTINCT s1 FROM r WHERE tab AND s1 NOT IN (SELECT s1 FROM {_REQ} q)")
 def validate_unexpected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.unexpected_rows(_rows(spark), _required(spark))
+    return V.unexpected_rows(_rows(spark, sf_dir), _required(spark, sf_dir))
 
 
 _LAST = lambda t="": f"(SELECT s1, unnest(max_by(ids, line_no)) AS id FROM {t}r WHERE tab GROUP BY s1)"
@@ -534,4 +534,4 @@ _LAST = lambda t="": f"(SELECT s1, unnest(max_by(ids, line_no)) AS id FROM {t}r
 
 @_query(f"WITH {_L}, {_LIST(fx.CANDIDATE_LINES, 'c_')} SELECT DISTINCT s1 FROM (SELECT * FROM {_LAST()} EXCEPT SELECT * FROM {_LAST('c_')})")
 def validate_outside_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.outside_candidates(_rows(spark), V.parse_lines(fx.list_lines(spark, fx.CANDIDATE_LINES)))
+    return V.outside_candidates(_rows(spark, sf_dir), _rows(spark, sf_dir, fx.CANDIDATE_LINES))

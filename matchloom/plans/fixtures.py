@@ -89,14 +89,21 @@ def postal_cases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POSTAL_CASES, "case_id int, address string, country string").withColumn("code", X.postal_code("address", "country"))
 
 
-LIST_LINES = [
-    "S1-1\tS2-1,S3-2", "S1-2\t", "S1-2\tS2-9", "S1-3\tS2-4,S2-4", "S1-4\tS1-9,S2-1", "S1-5\tX-1", "S1-6 without a tab", "",
-    "S1-7\tS2-1, S3-2", "S1-99\tS3-7",
-]
-CANDIDATE_LINES = ["S1-1\tS2-1", "S1-2\tS2-9", "S1-3\tS2-4", "S1-4\tS2-1,S1-9", "S1-5\tX-1", "S1-7\tS2-1, S3-2", "S1-99\tS3-8"]
-REQUIRED = ["S1-1", "S1-2", "S1-3", "S1-4", "S1-5", "S1-7", "S1-8"]
-TARGETS = ["S2-1", "S3-2", "S2-4", "S3-7"]
-
-
-def list_lines(spark: SparkSession, lines: list[str] | None = None) -> DataFrame:
-    return spark.createDataFrame([(i + 2, x) for i, x in enumerate(LIST_LINES if lines is None else lines)], "line_no long, value string")
+#: Documents as lines of a match list, by their id and size: good rows, rows without a tab, empty lines and lists, rows of
+#: entities that aren't asked for, keys of the row before, ids that repeat, belong to source 1, have a space or a wrong prefix.
+_KEY = "concat('S1-', CAST(doc_id - CASE WHEN n % 11 = 0 THEN 3 ELSE 0 END AS STRING))"
+_ID = "concat('S', CAST(1 + (doc_id + n) % 3 AS STRING), '-', CAST(n AS STRING))"
+_MORE = f"""CASE n % 4 WHEN 0 THEN concat(',', {_ID}) WHEN 1 THEN concat(', S3-', CAST(doc_id AS STRING))
+    WHEN 2 THEN CASE WHEN n % 9 = 0 THEN concat(',X-', CAST(n AS STRING)) ELSE '' END ELSE concat(',S2-', CAST(n + 1 AS STRING)) END"""
+_SIZES = "(SELECT doc_id, coalesce(n_chars, 0) AS n FROM {documents}) t WHERE doc_id % 3 = 0 OR n % 13 = 0"
+MATCH_LINES = f"""SELECT doc_id + 2 AS line_no, CASE WHEN n % 17 = 0 THEN concat({_KEY}, ' without a tab') WHEN n % 19 = 0 THEN ''
+    WHEN n % 5 = 0 THEN concat({_KEY}, chr(9)) ELSE concat({_KEY}, chr(9), {_ID}, {_MORE}) END AS value FROM {_SIZES}"""
+#: The same rows as candidates, with every second id left out of some.
+CANDIDATE_LINES = f"SELECT doc_id + 2 AS line_no, concat({_KEY}, chr(9), {_ID}, CASE WHEN n % 7 = 0 THEN '' ELSE {_MORE} END) AS value FROM {_SIZES}"
+REQUIRED = "SELECT concat('S1-', CAST(doc_id AS STRING)) AS s1 FROM {documents} WHERE doc_id % 3 = 0"
+TARGETS = "SELECT concat('S', CAST(1 + doc_id % 3 AS STRING), '-', CAST(doc_id AS STRING)) AS id FROM {documents} WHERE doc_id % 3 > 0"
+
+
+def of_documents(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """One of the selections above over a data folder."""
+    return spark.sql(sql, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
