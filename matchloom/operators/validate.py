@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,14 +120,28 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.substring_index("value", "\t", 1)).alias("id")).distinct()
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame | None:
+    """The finding of a file that isn't UTF-8 or that storage fails to give (the error's first line); None if all of it can be read."""
+    file = path.rsplit("/", 1)[-1]
+    try:
+        if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count():
+            return _note(spark, file, "not_utf8")
+    except (PySparkException, Py4JJavaError) as e:
+        told = str(e)
+        if "FAILED_READ_FILE" not in told and "java.io." not in told and "AccessControlException" not in told:
+            raise
+        return _note(spark, file, "unreadable_file", text=told.strip().splitlines()[0][:200])
+    return None
+
+
 def validate_list(spark: SparkSession, path: str, header: list[str], required: DataFrame, targets: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """(findings, parsed lines or None if the file can't be read on) of one list file."""
     file = path.rsplit("/", 1)[-1]
     if not path_exists(spark, path):
         return _note(spark, file, "missing_file"), None
+    if (fault := unreadable(spark, path)) is not None:
+        return fault, None
     lines = read_lines(spark, path)
-    if lines.where(~F.is_valid_utf8("value")).limit(1).count():
-        return _note(spark, file, "not_utf8"), None
     first = lines.where("line_no = 1").first()
     if first is None:
         return _note(spark, file, "empty_file"), None
@@ -153,8 +169,11 @@ def validate(spark: SparkSession, matching: str, candidates: str | None, test_di
     source = f"{test_dir}/test_source1.tsv"
     if not path_exists(spark, source):
         return _note(spark, "test_source1.tsv", "missing_file")
-    required, targets, out = read_ids(spark, source), None, []
     others = [f"{test_dir}/test_source{k}.tsv" for k in (2, 3)]
+    for path in (source, *(p for p in others if check_ids and path_exists(spark, p))):
+        if (fault := unreadable(spark, path)) is not None:
+            return fault
+    required, targets, out = read_ids(spark, source), None, []
     if not check_ids:
         out.append(_note(spark, "", "ids_not_checked", "warning"))
     elif all(path_exists(spark, p) for p in others):

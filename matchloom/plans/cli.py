@@ -19,8 +19,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--data-dir", required=True)
     p.add_argument("--out-dir", required=True)
     p.add_argument("--knn", default="auto", choices=["auto", "exact", "ivf"])
-    p.add_argument("--iterations", type=int, default=60, help="trees of the classifier")
-    p.add_argument("--step", type=float, default=0.1, help="weight of each tree")
+    p.add_argument("--iterations", type=int, default=300, help="trees of the classifier")
+    p.add_argument("--step", type=float, default=0.05, help="weight of each tree")
     p.add_argument("--embedder", help="folder that finetune wrote")
     p = sub.add_parser("finetune")
     p.add_argument("--data-dir", required=True)

@@ -28,3 +28,13 @@ def test_rules(spark, parsed):
     assert found(V.unknown_ids(rows, targets)) == {"S2-9"}
     assert found(V.missing_rows(rows, required)) == {"S1-8"} and found(V.unexpected_rows(rows, required)) == {"S1-99"}
     assert found(V.outside_candidates(rows, candidates)) == {"S1-1", "S1-99"}
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "test_source1.tsv").write_text("entity_id\tbusiness_name\nS1-1\tx\n")
+    (tmp_path / "list.tsv.gz").write_bytes(b"no gzip at all\n" * 9)
+    found = V.validate(spark, str(tmp_path / "list.tsv.gz"), None, str(tmp_path))
+    assert {r.rule for r in found.collect()} == {"ids_not_checked", "unreadable_file"} and V.exit_code(found) == 1
+    (tmp_path / "test_source2.tsv").write_bytes(b"entity_id\nS2-\xff\n")
+    assert [(r.file, r.rule) for r in V.validate(spark, "none", None, str(tmp_path), check_ids=True).collect()] == [("test_source2.tsv", "not_utf8")]
+    assert V.unreadable(spark, str(tmp_path / "test_source1.tsv")) is None
