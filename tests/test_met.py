@@ -61,3 +61,18 @@ def test_scored_pairs_are_not_joined_again(spark, sf, name):
     df = catalogue.QUERIES[name](spark, sf)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "source1_entity_id" not in " ".join(x for x in plan.splitlines() if "Join " in x)
+
+
+def test_neighbours_in_blocks_keep_the_last_bits(spark):
+    """Sums that differ in the last digits are no tie, equal ones go to the smaller id, and blocks don't matter."""
+    from matchloom.operators import cells
+
+    rows = spark.createDataFrame([("q", "us", [1.0, 1.0]), ("a", "us", [0.5, 0.25]), ("b", "us", [0.5, 0.25 + 2e-14]), ("d", "us", [0.5, 0.25]), ("c", "fr", [9.0, 9.0])], "entity_id string, country_norm string, embedding array<double>")
+    got = cells.knn_pairs_blocks(rows.where("entity_id = 'q'"), rows.where("entity_id <> 'q'"), 2).collect()
+    assert sorted((r[1], r.sim) for r in got) == [("a", 0.75), ("b", 0.75 + 2e-14)]
+    assert "CoGroups" in catalogue.QUERIES["knn_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strata_need_no_lists(spark, sf):
+    plan = catalogue.QUERIES["stratified_sample"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
