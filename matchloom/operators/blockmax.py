@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import kept
+from . import met
 from .blocking import PAIR, TOP_FINAL, rare_tokens_train, top_k
 
 #: Classes of a block, about.
@@ -134,3 +135,16 @@ class TokenIndex:
 def rare_token_topk(s1: DataFrame, others: DataFrame, k: int = TOP_FINAL) -> DataFrame:
     """(pair, score): of the pairs that share a rare name token, each record's k best by Jaccard similarity, then id."""
     return TokenIndex(others, k).search(s1)
+
+
+def met_topk(s1: DataFrame, others: DataFrame, k: int = TOP_FINAL, tokens: bool = False) -> DataFrame:
+    """(pair, score): rare_token_topk for records with a rare token; others have the k smallest ids of equal names or, with
+    ``tokens``, of equal tokens, at a score of 1.  Names that are equal have equal tokens, so with a rare token they meet by it."""
+    rare = kept(rare_tokens_train(others).select("n", "token", "df"), "blockmax-rare")
+    with_rare = lambda rows: rows.select(F.col("country_norm").alias("n"), "name_tokens").distinct().select("n", "name_tokens", F.explode("name_tokens").alias("token")).join(rare, ["n", "token"]).select(F.col("n").alias("country_norm"), "name_tokens").distinct()
+    named = [F.col("country_norm").alias("n"), F.col("norm_name").alias("name_x"), F.col("name_tokens").alias("tokens_x"), F.col("entity_id").alias("id")]
+    keyed = lambda rows: rows.join(with_rare(rows), ["country_norm", "name_tokens"], "left_anti").select(*named).select("n", met.same_key("x", tokens).alias("key"), "id").where("key is not null")
+    low = keyed(others).withColumn("rank", F.row_number().over(Window.partitionBy("n", "key").orderBy("id"))).where(F.col("rank") <= k)
+    low = low.groupBy("n", "key").agg(F.collect_list("id").alias("ids"))
+    same = keyed(s1).join(low, ["n", "key"]).select(F.col("id").alias(PAIR[0]), F.explode("ids").alias(PAIR[1]), F.lit(1.0).alias("score"))
+    return TokenIndex(others, k, rare=rare).search(s1).unionByName(same)

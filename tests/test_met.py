@@ -76,3 +76,24 @@ def test_neighbours_in_blocks_keep_the_last_bits(spark):
 def test_strata_need_no_lists(spark, sf):
     plan = catalogue.QUERIES["stratified_sample"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
+
+
+@pytest.mark.parametrize("name", ["best_candidates", "merge_candidates"])
+def test_best_pairs_come_from_the_index(spark, sf, name):
+    """No table of all pairs is ranked: what reaches the last ranking is what the index opened."""
+    files = " ".join(catalogue.QUERIES[name](spark, sf).inputFiles())
+    assert "blockmax-first" in files and "met-a" not in files
+
+
+def test_cosines_are_products_of_blocks(spark):
+    """The same cosines as by a map per pair, whatever the blocks; a pair of two common tokens comes once."""
+    from matchloom.operators import tfidf
+
+    s1, others = made(spark, copies=100)
+    rare = B.rare_tokens_train(others, 0.3)
+    got = [tuple(r) for r in tfidf.name_cosines(s1, others, rare, "c").collect()]
+    idf = tfidf.fit(s1.select("norm_name").union(others.select("norm_name")), "norm_name")
+    left, right = (tfidf.weigh(x, idf, "entity_id", "norm_name") for x in (s1, others))
+    pairs = B.rare_token_pairs(s1, others, rare).union(B.exact_name_pairs(s1, others)).distinct()
+    want = {r[:2]: r[2] for r in map(tuple, tfidf.pair_cosine(pairs, left, right, *B.PAIR, "c").collect())}
+    assert len(got) == len(want) and all(abs(want[r[:2]] - r[2]) < 1e-9 for r in got)
