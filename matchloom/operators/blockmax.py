@@ -5,60 +5,41 @@ token with it, by the Jaccard similarity of name tokens, ties to the smaller id.
 share of all records, the pairs that share one grow with the square of the table.  Here:
 
 1.  Records with equal country and tokens are one class on either side; of a class's ids the k smallest are enough.
-    Tokens have one order: rare ones first, then those of fewer classes.
-2.  A class is answered for by the list of the first token it shares with a query, or, where that token is *heavy* (in
-    more than k classes), by the list of the first two it shares.  A class that shares a heavy token alone scores by
-    its number of tokens, so of that token's list only the k classes with the fewest tokens, then the smallest ids,
-    are kept.
-3.  Lists are dealt into blocks of about ``BLOCK`` classes of one size whose next token is the same, if it can be.  A
-    block knows the size, how many ids it holds, its smallest id, and the union of its tokens as bits.  With the
-    query's tokens behind those of the list these bound the score of any class that the list answers for.
-4.  A query opens the blocks of the highest bounds that together hold twice k ids; the k-th best of what is in them is
-    the score to beat.  Of the other blocks it opens those whose bound is above it, or equal with a smaller id.
-
-The result is exact, and a query opens few blocks beside those that hold its result.  Lists of single tokens are cut by
-a window with a group limit before the shuffle, blocks are made by hashing and counting: no list is gathered, sorted or
-held by a task.
+2.  A rare token's list has the classes with it.  Queries go to the lists of their rare tokens, and come back with their
+    k best of each: lists and queries meet in cells (operators.grid), so neither blocks nor bounds are shuffled or stored.
+3.  In a cell, a list is dealt into blocks of ``BLOCK`` classes of one size, alike in their commonest tokens.  A block knows the
+    size, its smallest id, and which of the cell's tokens it has; with the query's tokens these bound the score of its classes.
+4.  A class that shares the list's token alone scores by its number of tokens, so of those the k with the fewest tokens, then
+    the smallest ids, are looked at.  A query opens the blocks of the highest bounds that together hold twice k classes; the k-th
+    best is the score to beat.  Of the other blocks it opens those whose bound is above it, or equal with a smaller id.
+
+The result is exact, and a query opens few blocks beside those that hold its result.  What is shuffled is a row per
+class and rare token, a query's k best per list, and a copy more per ``SIDE`` rows that a list has on the other side.
 
 Records with null or empty tokens have no candidates; records that repeat an id count once; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import kept
 from . import met
-from .blocking import PAIR, TOP_FINAL, rare_tokens_train, top_k
+from .blocking import PAIR, TOP_FINAL, rare_tokens_train
+from .grid import in_cells
 
-#: Classes of a block, about.
+#: Classes of a block.
 BLOCK = 8
-#: A union of tokens is so many numbers of so many bits; a token has one bit of one of them.
-WORDS, BITS = 4, 63
-
-
-def _bit(token: Column, word: int) -> Column:
-    """The token's bit in a number of a union, 0 if it is in another."""
-    at = F.pmod(F.xxhash64(token), F.lit(WORDS * BITS)).cast("int")
-    return F.when(F.floor(at / BITS) == word, F.call_function("shiftleft", F.lit(1).cast("long"), at % BITS)).otherwise(F.lit(0).cast("long"))
-
-
-def _union(tokens: str) -> list[Column]:
-    """The numbers bits0, bits1, ... of all the tokens of a group's rows."""
-    own = lambda w: F.aggregate(F.transform(tokens, lambda t: _bit(t, w)), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-    return [F.bit_or(own(w)).alias(f"bits{w}") for w in range(WORDS)]
-
+#: Rows of a side of a cell, and of the cells that a task takes at a time, about.
+SIDE, ROWS = 4096, 8192
 
-def _inside(token: Column) -> Column:
-    """Whether a union may have the token."""
-    hits = [F.col(f"bits{w}").bitwiseAND(_bit(token, w)) for w in range(WORDS)]
-    return sum(hits[1:], hits[0]) != 0
-
-
-def _score(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+FOUND = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("first", pa.string()), ("score", pa.float64())])
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
@@ -69,67 +50,140 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     return low.groupBy("n", "tokens").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("n", "tokens", F.col("ids")[0].alias("first"), "ids")
 
 
-def _keyed(classes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The lists of each class: (n, x, y, alone, next, rest, ...), y null in lists of one token.
-
-    ``rest`` has the class's tokens behind the list's, ``next`` the first of them; ``alone``: x is heavy and y null.
-    """
-    rest = [c for c in classes.columns if c not in ("n", "tokens")]
-    each = classes.withColumn("token", F.explode("tokens")).join(tokens, ["n", "token"])
-    order = F.array_sort(F.collect_list(F.struct((~F.col("rare")).alias("common"), "df", "token", "heavy")))
-    ordered = each.groupBy("n", "tokens").agg(order.alias("o"), *(F.first(c).alias(c) for c in rest))
-    behind = lambda k: F.transform(F.slice("o", k, F.size("o")), lambda t: t["token"])
-    key = lambda t, y, after: F.struct(t["token"].alias("x"), y.alias("y"), (t["heavy"] & y.isNull()).alias("alone"), behind(after).alias("rest"))
-    one = F.transform("o", lambda t, i: F.when(~t["common"], key(t, F.lit(None).cast("string"), i + 2)))
-    two = F.flatten(F.transform("o", lambda t, i: F.transform(F.slice("o", i + 2, F.when(~t["common"] & t["heavy"], F.size("o")).otherwise(0)), lambda u, j: key(t, u["token"], i + j + 3))))
-    keys = F.filter(F.concat(one, two), lambda s: s.isNotNull())
-    return ordered.select("n", "tokens", *rest, F.explode(keys).alias("key")).select("n", "tokens", *rest, "key.*", F.get("key.rest", F.lit(0)).alias("next"))
+def _coded(classes: DataFrame, tokens: DataFrame, by: str) -> DataFrame:
+    """(by, codes, rare): the numbers of a class's tokens, the commonest first, and of its rare ones; classes without are left out."""
+    each = classes.select(by, "n", F.explode("tokens").alias("token")).join(tokens, ["n", "token"])
+    ordered = each.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("df", "t", "rare")), asc=False).alias("o"))
+    return ordered.select(by, F.col("o.t").alias("codes"), F.filter("o", lambda t: t["rare"])["t"].alias("rare")).where(F.size("rare") > 0)
+
+
+def _best(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The rows of the k best (score, place), the best first; rows that are equal in both count once and all come."""
+    order = np.lexsort((place, -score))
+    s, p = score[order], place[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1])
+    return order[np.cumsum(new) <= k]
+
+
+class _List:
+    """The blocks of a list's classes in a cell: ``codes`` in a row each, padded by -1, ``place`` the order of their first ids."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, place: np.ndarray, tokens: int, k: int, block: int):
+        self.k, self.block = k, block
+        self.order = order = np.lexsort((*codes.T[::-1], sizes))
+        self.codes, self.sizes, self.place = codes[order], sizes[order], place[order]
+        at = np.arange(len(order))
+        since = np.searchsorted(self.sizes, self.sizes)  # the first class of the size
+        starts = np.flatnonzero((at - since) % block == 0)
+        self.starts, self.ends = starts, np.append(starts[1:], len(order))
+        self.block_sizes, self.low = self.sizes[starts], np.minimum.reduceat(self.place, starts)
+        row, col = np.nonzero(self.codes >= 0)
+        of = np.searchsorted(starts, row, "right") - 1
+        has = np.unique(self.codes[row, col] * len(starts) + of)
+        self.blocks, self.offsets = has % len(starts), np.searchsorted(has // len(starts), np.arange(tokens + 1))
+        self.heads = _best(-self.sizes, self.place, k)
+        self.mark = np.zeros(tokens + 1, bool)  # the last is the padding's
+
+    def _scores(self, rows: np.ndarray, size: int) -> np.ndarray:
+        shared = self.mark[self.codes[rows]].sum(1)
+        return shared / (size + self.sizes[rows] - shared)
+
+    def _of(self, blocks: np.ndarray) -> np.ndarray:
+        rows = (self.starts[blocks, None] + np.arange(self.block)).ravel()
+        return rows[rows < np.repeat(self.ends[blocks], self.block)]
+
+    def looked_at(self, tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the classes that are compared with a query of ``size`` tokens, of which the cell knows ``tokens``."""
+        self.mark[tokens] = True
+        rows = np.arange(len(self.place))
+        if len(rows) > 2 * self.k:
+            own = np.concatenate([self.blocks[self.offsets[t] : self.offsets[t + 1]] for t in tokens])
+            most = np.minimum(np.bincount(own, minlength=len(self.low)), self.block_sizes)
+            may = np.flatnonzero(most > 1)
+            bound, low = (most / (size + self.block_sizes - most))[may], self.low[may]
+            order = np.lexsort((low, -bound))
+            opens = -(-2 * self.k // self.block)
+            rows = np.union1d(self.heads, self._of(may[order[:opens]]))
+            scores = self._scores(rows, size)
+            last = _best(scores, self.place[rows], self.k)[-1]  # the heads alone are k, or all places
+            beat, at, rest = scores[last], self.place[rows[last]], order[opens:]
+            more = rest[(bound[rest] > beat) | ((bound[rest] == beat) & (low[rest] < at))]
+            if len(more):
+                rows = np.union1d(rows, self._of(may[more]))
+        scores = self._scores(rows, size)
+        self.mark[tokens] = False
+        return rows, scores
+
+
+def _searched(k: int, block: int, every: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What a cell gives out: each query's k best classes or, for ``every``, all that were compared with it."""
+
+    def cell(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by("first")
+        first, ids = y["first"].combine_chunks(), y["c"].to_numpy()
+        place = np.zeros(len(y), np.int64)
+        place[1:] = np.cumsum(pc.not_equal(first[1:], first[:-1]).to_numpy(zero_copy_only=False))
+        sizes = pc.list_value_length(y["codes"]).to_numpy().astype(np.int64)
+        known, codes = np.unique(pc.list_flatten(y["codes"]).to_numpy(), return_inverse=True)
+        padded = np.full((len(y), sizes.max()), -1, np.int64)
+        padded[np.arange(sizes.max()) < sizes[:, None]] = codes
+        of = _List(padded, sizes, place, len(known), k, block)
+        asked = pc.list_flatten(x["codes"]).to_numpy()
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        hits = known[at] == asked
+        ends = np.cumsum(pc.list_value_length(x["codes"]).to_numpy())
+        rows, scores = [], []
+        for start, end, size in zip([0, *ends[:-1]], ends, x["size"].to_numpy()):
+            found, score = of.looked_at(at[start:end][hits[start:end]], size)
+            best = slice(None) if every else _best(score, of.place[found], k)
+            rows.append(of.order[found[best]])
+            scores.append(score[best])
+        row = np.concatenate(rows)
+        q = np.repeat(x["q"].to_numpy(), [len(r) for r in rows])
+        return pa.table([q, ids[row], first.take(pa.array(row)), np.concatenate(scores)], schema=FOUND)
+
+    return cell
 
 
 class TokenIndex:
-    """Blocks of the other sources' postings: stored tables, for any number of searches."""
+    """The other sources' classes by rare token: stored tables, for any number of searches."""
 
     def __init__(self, others: DataFrame, k: int = TOP_FINAL, block: int = BLOCK, rare: DataFrame | None = None):
-        self.k = k
-        classes = kept(_classes(others, k), "blockmax-classes")
+        self.k, self.block = k, block
+        self.classes = kept(_classes(others, k).withColumn("c", F.monotonically_increasing_id()), "blockmax-classes")
         rare = (rare if rare is not None else rare_tokens_train(others)).select("n", "token", F.lit(True).alias("rare"))
-        counts = classes.select("n", F.explode("tokens").alias("token")).groupBy("n", "token").agg(F.count("*").alias("df"))
-        self.tokens = kept(counts.join(rare, ["n", "token"], "left").select("n", "token", "df", F.coalesce("rare", F.lit(False)).alias("rare"), (F.col("df") > k).alias("heavy")), "blockmax-tokens")
-        postings = _keyed(classes, self.tokens).select("n", "x", F.coalesce("y", F.lit("")).alias("y"), "alone", F.size("tokens").alias("b"), "next", "tokens", "first", "ids")
-        postings = kept(postings, "blockmax-postings")
-        heads = postings.where("alone").withColumn("rank", F.row_number().over(Window.partitionBy("n", "x").orderBy("b", "first"))).where(F.col("rank") <= k).drop("rank")
-        lists = heads.unionByName(postings.where("not alone"))
-        sizes = lists.groupBy("n", "x", "y", "b").agg(F.count("*").alias("m"))
-        cell = F.pmod(F.xxhash64(F.coalesce("next", F.lit(""))), F.ceil(F.col("m") / block))
-        self.postings = kept(lists.join(sizes, ["n", "x", "y", "b"]).withColumn("cell", cell).select("n", "x", "y", "b", "cell", "tokens", "first", "ids"), "blockmax-lists")
-        self.blocks = kept(self.postings.groupBy("n", "x", "y", "b", "cell").agg(F.min("first").alias("low"), F.sum(F.size("ids")).alias("holds"), *_union("tokens")), "blockmax-blocks")
+        counts = self.classes.select("n", F.explode("tokens").alias("token")).groupBy("n", "token").agg(F.count("*").alias("df"))
+        known = counts.join(rare, ["n", "token"], "left").select("n", "token", "df", F.coalesce("rare", F.lit(False)).alias("rare"), F.monotonically_increasing_id().alias("t"))
+        self.tokens = kept(known, "blockmax-tokens")
+        self.coded = kept(_coded(self.classes, self.tokens, "c").join(self.classes.select("c", "first"), "c"), "blockmax-coded")
 
-    def looked_at(self, s1: DataFrame) -> DataFrame:
-        """(n, q, tokens, first, ids, score): the classes that are compared with each class of queries (n, q)."""
+    def _queries(self, s1: DataFrame) -> DataFrame:
+        """(n, tokens, q, size): the classes of queries, stored."""
         queries = s1.where(F.size("name_tokens") > 0).select(F.col("country_norm").alias("n"), F.col("name_tokens").alias("tokens")).distinct()
-        keys = _keyed(queries, self.tokens).select("n", "x", F.coalesce("y", F.lit("")).alias("y"), "alone", F.col("tokens").alias("q"), "rest")
-        sure = F.when(F.col("y") == "", 1).otherwise(2)
-        more = F.when(F.col("alone"), 0).otherwise(F.size(F.filter("rest", _inside)))
-        most = F.least(sure + more, F.col("b"))
-        bound = most / (F.size("q") + F.col("b") - most)
-        on = ["n", "x", "y", "b", "cell"]
-        blocks = keys.join(self.blocks, ["n", "x", "y"]).select(*on, "q", bound.alias("bound"), "low", "holds")
-        before = F.sum("holds").over(Window.partitionBy("n", "q").orderBy(F.desc("bound"), "low", "x", "y", "b", "cell").rowsBetween(Window.unboundedPreceding, -1))
-        blocks = kept(blocks.withColumn("opens", F.coalesce(before, F.lit(0)) < 2 * self.k), "blockmax-blocks-of-queries")
-        opened = lambda rows: rows.join(self.postings, on).select("n", "q", "tokens", "first", "ids", _score(F.col("q"), F.col("tokens")).alias("score"))
-        first = kept(opened(blocks.where("opens")), "blockmax-first")
-        one = first.select("n", "q", "score", F.explode("ids").alias("id")).distinct()
-        last = one.withColumn("rank", F.row_number().over(Window.partitionBy("n", "q").orderBy(F.desc("score"), "id"))).where(F.col("rank") == self.k)
-        beat = blocks.where("not opens").join(last.select("n", "q", F.col("score").alias("beat"), F.col("id").alias("last")), ["n", "q"], "left")
-        fit = F.col("beat").isNull() | (F.col("bound") > F.col("beat")) | ((F.col("bound") == F.col("beat")) & (F.col("low") < F.col("last")))
-        return first.unionByName(opened(beat.where(fit)))
+        return kept(queries.withColumn("q", F.monotonically_increasing_id()).withColumn("size", F.size("tokens")), "blockmax-queries")
+
+    def _met(self, queries: DataFrame, every: bool = False) -> DataFrame:
+        """(q, c, first, score) as the cells give them out; a class may come from several lists of a query."""
+        asked = kept(_coded(queries, self.tokens, "q").join(queries.select("q", "size"), "q"), "blockmax-asked")
+        left, right = (x.select(F.explode("rare").alias("key"), by) for x, by in ((asked, "q"), (self.coded, "c")))
+        wide = asked.select("q", "codes", "size"), self.coded.select("c", "codes", "first")
+        return in_cells(left, right, "key", "q", "c", _searched(self.k, self.block, every), "q long, c long, first string, score double", SIDE, ROWS, wide)
+
+    def looked_at(self, s1: DataFrame) -> DataFrame:
+        """(q, c, first, score): the classes c that are compared with each class of queries q, once a list."""
+        return self._met(self._queries(s1), every=True)
 
     def search(self, s1: DataFrame) -> DataFrame:
         """(pair, score): the k best candidates of each record of source 1."""
-        pairs = self.looked_at(s1).select("n", "q", "score", F.explode("ids").alias(PAIR[1])).distinct()
-        best = top_k(pairs.withColumn("query", F.struct("n", "q")), self.k, "score", by="query").drop("query")
-        own = s1.select(F.col("country_norm").alias("n"), F.col("name_tokens").alias("q"), F.col("entity_id").alias(PAIR[0])).distinct()
-        return own.join(best, ["n", "q"]).select(*PAIR, "score")
+        queries = self._queries(s1)
+        # The k best classes hold the k best ids.  Equal rows of several lists, and of an id of several classes, count once.
+        best = lambda rows, tie: rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score"), tie))).where(F.col("rank") <= self.k)
+        classes = kept(best(self._met(queries), "first").select("q", "c", "score").distinct(), "blockmax-first")
+        each = classes.join(self.classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias(PAIR[1]))
+        found = best(each, PAIR[1]).select("q", PAIR[1], "score").distinct()
+        own = s1.select(F.col("country_norm").alias("n"), F.col("name_tokens").alias("tokens"), F.col("entity_id").alias(PAIR[0])).distinct()
+        return own.join(queries, ["n", "tokens"]).select("q", PAIR[0]).join(found, "q").select(*PAIR, "score")
 
 
 def rare_token_topk(s1: DataFrame, others: DataFrame, k: int = TOP_FINAL) -> DataFrame:
