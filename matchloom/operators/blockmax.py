@@ -73,14 +73,12 @@ class _List:
         self.k, self.block = k, block
         self.order = order = np.lexsort((*codes.T[::-1], sizes))
         self.codes, self.sizes, self.place = codes[order], sizes[order], place[order]
-        at = np.arange(len(order))
         since = np.searchsorted(self.sizes, self.sizes)  # the first class of the size
-        starts = np.flatnonzero((at - since) % block == 0)
-        self.starts, self.ends = starts, np.append(starts[1:], len(order))
+        starts = np.flatnonzero((np.arange(len(order)) - since) % block == 0)
+        self.of = np.searchsorted(starts, np.arange(len(order)), "right") - 1
         self.block_sizes, self.low = self.sizes[starts], np.minimum.reduceat(self.place, starts)
         row, col = np.nonzero(self.codes >= 0)
-        of = np.searchsorted(starts, row, "right") - 1
-        has = np.unique(self.codes[row, col] * len(starts) + of)
+        has = np.unique(self.codes[row, col].astype(np.int64) * len(starts) + self.of[row])
         self.blocks, self.offsets = has % len(starts), np.searchsorted(has // len(starts), np.arange(tokens + 1))
         self.heads = _best(-self.sizes, self.place, k)
         self.mark = np.zeros(tokens + 1, bool)  # the last is the padding's
@@ -89,29 +87,33 @@ class _List:
         shared = self.mark[self.codes[rows]].sum(1)
         return shared / (size + self.sizes[rows] - shared)
 
-    def _of(self, blocks: np.ndarray) -> np.ndarray:
-        rows = (self.starts[blocks, None] + np.arange(self.block)).ravel()
-        return rows[rows < np.repeat(self.ends[blocks], self.block)]
-
-    def looked_at(self, tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the classes that are compared with a query of ``size`` tokens, of which the cell knows ``tokens``."""
+    def looked_at(self, tokens: np.ndarray, size: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the classes that are compared with a query of ``size`` tokens, of which the cell knows ``tokens``;
+        without ``every``, of those that may be among the k best."""
         self.mark[tokens] = True
-        rows = np.arange(len(self.place))
+        rows, more = np.arange(len(self.place)), None
         if len(rows) > 2 * self.k:
             own = np.concatenate([self.blocks[self.offsets[t] : self.offsets[t + 1]] for t in tokens])
             most = np.minimum(np.bincount(own, minlength=len(self.low)), self.block_sizes)
-            may = np.flatnonzero(most > 1)
-            bound, low = (most / (size + self.block_sizes - most))[may], self.low[may]
-            order = np.lexsort((low, -bound))
-            opens = -(-2 * self.k // self.block)
-            rows = np.union1d(self.heads, self._of(may[order[:opens]]))
+            bound, may = most / (size + self.block_sizes - most), most > 1
+            best, opens = np.flatnonzero(may), -(-2 * self.k // self.block)
+            if len(best) > opens:  # of equal bounds the smaller ids, as far as doubles tell
+                best = best[np.argpartition(self.low[best] * 1e-9 - bound[best], opens)[:opens]]
+            opened = np.zeros(len(self.low), bool)
+            opened[best] = True
+            first = opened[self.of]
+            first[self.heads] = True
+            rows = np.flatnonzero(first)
             scores = self._scores(rows, size)
             last = _best(scores, self.place[rows], self.k)[-1]  # the heads alone are k, or all places
-            beat, at, rest = scores[last], self.place[rows[last]], order[opens:]
-            more = rest[(bound[rest] > beat) | ((bound[rest] == beat) & (low[rest] < at))]
-            if len(more):
-                rows = np.union1d(rows, self._of(may[more]))
-        scores = self._scores(rows, size)
+            beat, at = scores[last], self.place[rows[last]]
+            more = np.flatnonzero((may & ~opened & ((bound > beat) | ((bound == beat) & (self.low < at))))[self.of] & ~first)
+        else:
+            scores = self._scores(rows, size)
+        if more is not None and len(more):
+            score = self._scores(more, size)
+            good = every | (score > beat) | ((score == beat) & (self.place[more] < at))
+            rows, scores = np.concatenate([rows, more[good]]), np.concatenate([scores, score[good]])
         self.mark[tokens] = False
         return rows, scores
 
@@ -126,7 +128,7 @@ def _searched(k: int, block: int, every: bool) -> Callable[[pa.Table, pa.Table],
         place[1:] = np.cumsum(pc.not_equal(first[1:], first[:-1]).to_numpy(zero_copy_only=False))
         sizes = pc.list_value_length(y["codes"]).to_numpy().astype(np.int64)
         known, codes = np.unique(pc.list_flatten(y["codes"]).to_numpy(), return_inverse=True)
-        padded = np.full((len(y), sizes.max()), -1, np.int64)
+        padded = np.full((len(y), sizes.max()), -1, np.int32)
         padded[np.arange(sizes.max()) < sizes[:, None]] = codes
         of = _List(padded, sizes, place, len(known), k, block)
         asked = pc.list_flatten(x["codes"]).to_numpy()
@@ -135,7 +137,7 @@ def _searched(k: int, block: int, every: bool) -> Callable[[pa.Table, pa.Table],
         ends = np.cumsum(pc.list_value_length(x["codes"]).to_numpy())
         rows, scores = [], []
         for start, end, size in zip([0, *ends[:-1]], ends, x["size"].to_numpy()):
-            found, score = of.looked_at(at[start:end][hits[start:end]], size)
+            found, score = of.looked_at(at[start:end][hits[start:end]], size, every)
             best = slice(None) if every else _best(score, of.place[found], k)
             rows.append(of.order[found[best]])
             scores.append(score[best])
