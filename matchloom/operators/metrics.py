@@ -68,11 +68,10 @@ def entity_scores(scored: DataFrame, truth: DataFrame, entities: DataFrame, grid
 def chunk_scores(met: DataFrame, entities: DataFrame, grid: list[float] | None = None) -> DataFrame:
     """entity_scores by chunk of source 1 (operators.met), with the chunk's number of entities as weight.
 
-    met: chunks that met, with prob and hit; entities: (chunk_a, n_true, weight) of all chunks.  Entities of a chunk have the same
+    met: (chunk_a, m: a number of pairs of each of its entities, prob, hit); entities: (chunk_a, n_true, weight) of all chunks.  Entities of a chunk have the same
     candidates, scores and truth, so pairs are counted, not made.
     """
-    marked = met.select("chunk_a", "prob", "hit", F.size("ids_b").alias("m"))
-    return _group_scores(marked, entities, "chunk_a", grid or GRID)
+    return _group_scores(met, entities, "chunk_a", grid or GRID)
 
 
 def _group_scores(marked: DataFrame, every: DataFrame, by: str, grid: list[float]) -> DataFrame:

@@ -97,3 +97,25 @@ def test_cosines_are_products_of_blocks(spark):
     pairs = B.rare_token_pairs(s1, others, rare).union(B.exact_name_pairs(s1, others)).distinct()
     want = {r[:2]: r[2] for r in map(tuple, tfidf.pair_cosine(pairs, left, right, *B.PAIR, "c").collect())}
     assert len(got) == len(want) and all(abs(want[r[:2]] - r[2]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("few", [0, 1024])
+def test_chunks_meet_in_cells_of_any_size(spark, monkeypatch, few):
+    """The same pairs and scores as by joins, whatever the cells; pairs of a row are gathered by score, or counted."""
+    s1, others = made(spark, copies=200)
+    a, b = met.keyed(s1, others, B.rare_tokens_train(others, 0.3))
+    monkeypatch.setattr(met, "SIDE", 5)
+    monkeypatch.setattr(met, "FEW", few)
+    want = sorted(map(tuple, met.pairs(met.by_either(a, b).withColumn("prob", F.round(met.jaccard(), 6)), "prob").collect()))
+    cells = lambda **x: met.in_cells(a, b, met.scores, "prob double", ["tokens"], **x)
+    assert want == sorted(map(tuple, met.pairs(cells(), "prob").collect())) == sorted(map(tuple, met.pairs(cells(gather=False), "prob").collect()))
+    assert cells().count() < cells(gather=False).count()
+    sums = cells(sizes=True).join(a.select("chunk_a", F.size("ids_a").alias("k")), "chunk_a").groupBy("prob").agg(F.sum(F.col("m") * F.col("k")))
+    assert dict(map(tuple, sums.collect())) == {p: sum(r[2] == p for r in want) for p in {r[2] for r in want}}
+
+
+@pytest.mark.parametrize("name", ["rare_token_pairs", "label_pairs", "group_split", "macro_f05", "threshold_grid"])
+def test_pairs_are_told_in_cells(spark, sf, name):
+    """No row per pair and token is joined, and group_split makes its pairs once."""
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CoGroups") == 1 and "array_intersect" not in plan
